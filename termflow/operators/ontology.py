@@ -127,6 +127,53 @@ def closure(edges: DataFrame, checkpoint_every: int = 1, max_rounds: int = 10_00
     return Closure(known, total, rounds)
 
 
+def closure_and_levels(edges: DataFrame, terms: DataFrame, checkpoint_every: int = 4,
+                       max_rounds: int = 10_000):
+    """G6 + G2/G3 in one loop: layer r holds the distinct (child, ancestor)
+    pairs joined by a path of exactly r edges.
+
+    * closure  = distinct union of all layers
+    * depth(t) = last layer in which t is a child (longest path to a root; 0 for roots)
+    * height(a)= last layer in which a is an ancestor (longest path to a leaf)
+
+    The loop ends when a layer is empty, i.e. after (longest path + 1) rounds; a
+    cycle would never end, so more rounds than terms raises.  Returns
+    ``(Closure, (depth_df, max_depth), (height_df, max_height))``.
+    """
+    e = edges.select("child", "parent").distinct()
+    e_rows = e.count()
+    e_join = broadcast_if_small(e.select(F.col("child").alias("_c"), F.col("parent").alias("_p")), rows=e_rows)
+    layer = cut_lineage(e.select("child", F.col("parent").alias("ancestor")))
+    n_terms = terms.count()
+    layers, r = [], 1
+    while True:
+        if layer.count() == 0:
+            break
+        if r > min(max_rounds, n_terms + 1):
+            raise ValueError("the term graph has a cycle")
+        layers.append(layer.withColumn("_r", F.lit(r)))
+        nxt = (layer.join(e_join, layer.ancestor == e_join._c)
+               .select("child", F.col("_p").alias("ancestor")).distinct())
+        layer = cut_lineage(nxt) if r % checkpoint_every == 0 else nxt.persist()
+        r += 1
+    max_len = r - 1
+    spark = terms.sparkSession
+    if layers:
+        allp = layers[0]
+        for x in layers[1:]:
+            allp = allp.unionByName(x)
+    else:
+        allp = spark.createDataFrame([], "child long, ancestor long, _r int")
+    allp = cut_lineage(allp)
+    clo_df = cut_lineage(allp.select("child", "ancestor").distinct())
+    t = terms.select(TERM)
+    depth = cut_lineage(t.join(allp.groupBy(F.col("child").alias(TERM)).agg(F.max("_r").alias("_d")), TERM, "left")
+                        .select(TERM, F.coalesce("_d", F.lit(0)).alias("level")))
+    height = cut_lineage(t.join(allp.groupBy(F.col("ancestor").alias(TERM)).agg(F.max("_r").alias("_h")), TERM, "left")
+                         .select(TERM, F.coalesce("_h", F.lit(0)).alias("level")))
+    return Closure(clo_df, clo_df.count(), max_len), (depth, max_len), (height, max_len)
+
+
 def descendants(clo: Closure) -> DataFrame:
     """(term, descendant) -- the closure read downwards."""
     return clo.df.select(F.col("ancestor").alias(TERM), F.col("child").alias("descendant"))
@@ -160,7 +207,7 @@ def term_levels(terms: DataFrame, edges: DataFrame, direction: str = "down",
         rounds += 1
         if rounds > min(max_rounds, n_terms + 1):
             raise ValueError("the term graph has a cycle")
-        cand = (changed.join(e, changed[TERM] == e._s)
+        cand = (changed.join(e, F.col(TERM) == F.col("_s"))
                 .groupBy(F.col("_d").alias(TERM)).agg((F.max("level") + 1).alias("_cand")))
         joined = lv.join(cand, TERM, "left")
         upd = cut_lineage(joined.select(TERM, F.greatest("level", F.coalesce("_cand", F.lit(0))).alias("level"),
@@ -191,7 +238,7 @@ def propagate_max(scores: DataFrame, clo: Closure, terms: DataFrame, value: str
     """
     s = clip_scores(scores, value) if clip else scores.select(ENTRY, TERM, value)
     c = clo.for_join(terms)
-    return (s.join(c, s[TERM] == c.child)
+    return (s.join(c, F.col(TERM) == F.col("child"))
             .groupBy(ENTRY, F.col("ancestor").alias(TERM))
             .agg(F.max(value).alias(value))
             .where(F.col(value) != 0))
@@ -203,7 +250,7 @@ def propagate_labels(positives: DataFrame, clo: Closure, terms: DataFrame) -> Da
     c = clo.for_join(terms)
     t = broadcast_if_small(terms.select(F.col(TERM).alias("_t"), F.col("namespace").alias("aspect")))
     p = positives.select(ENTRY, TERM).distinct()
-    return (p.join(c, p[TERM] == c.child).select(ENTRY, F.col("ancestor").alias(TERM)).distinct()
+    return (p.join(c, F.col(TERM) == F.col("child")).select(ENTRY, F.col("ancestor").alias(TERM)).distinct()
             .join(t, F.col(TERM) == t._t).select(ENTRY, TERM, "aspect"))
 
 
@@ -219,11 +266,11 @@ def propagate_min(scores: DataFrame, clo: Closure, terms: DataFrame, value: str
     n_anc = clo.df.groupBy(F.col("child").alias("_t")).agg(F.count("*").alias("_n"))
     up = clo.for_join(terms, reflexive=False)
     a = s.select(F.col(ENTRY).alias("_e"), F.col(TERM).alias("_a"), F.col(value).alias("_v"))
-    anc_vals = (s.join(up, s[TERM] == up.child)
+    anc_vals = (s.join(up, F.col(TERM) == F.col("child"))
                 .join(a, (F.col(ENTRY) == a._e) & (F.col("ancestor") == a._a))
                 .groupBy(ENTRY, TERM).agg(F.count("*").alias("_m"), F.min("_v").alias("_minv")))
     out = (s.join(anc_vals, [ENTRY, TERM], "left")
-           .join(n_anc, s[TERM] == n_anc._t, "left")
+           .join(n_anc, F.col(TERM) == F.col("_t"), "left")
            .select(ENTRY, TERM, F.when(F.coalesce("_n", F.lit(0)) == F.coalesce("_m", F.lit(0)),
                                        F.least(F.col(value), F.coalesce("_minv", F.col(value))))
                    .otherwise(F.lit(0.0)).alias(value)))
@@ -269,7 +316,7 @@ def enforce_parent_ge_child(scores: DataFrame, edges: DataFrame, clo: Closure |
     cur = scores.select(ENTRY, TERM, value)
     e = broadcast_if_small(edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")))
     for _ in range(max_hops):
-        up = cur.join(e, cur[TERM] == e._c).select(ENTRY, F.col("_p").alias(TERM), value)
+        up = cur.join(e, F.col(TERM) == F.col("_c")).select(ENTRY, F.col("_p").alias(TERM), value)
         cur = cut_lineage(cur.unionByName(up).groupBy(ENTRY, TERM).agg(F.max(value).alias(value)))
     return cur
 
@@ -295,7 +342,7 @@ def ternary_labels(positives: DataFrame, entries: DataFrame, edges: DataFrame,
     """
     p = positives.select(ENTRY, TERM).distinct()
     e = broadcast_if_small(edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")))
-    cand_children = p.join(e, p[TERM] == e._p).select(ENTRY, F.col("_c").alias(TERM))
+    cand_children = p.join(e, F.col(TERM) == F.col("_p")).select(ENTRY, F.col("_c").alias(TERM))
     # one root per namespace: a bounded list, so it is exploded per entry
     root_ids = [r[0] for r in root_terms.select(TERM).limit(MAX_ROOTS + 1).collect()]
     if len(root_ids) > MAX_ROOTS:
@@ -318,11 +365,12 @@ def _level_loop(cells: DataFrame, levels: DataFrame, max_level: int, step, value
     ``done`` holds the final values of all lower levels (level 0 is kept as is).
     ``cells`` is (entry, term, value) and is tagged with the level first."""
     lv = broadcast_if_small(levels.select(F.col(TERM).alias("_t"), F.col("level").alias("_lv")))
-    tagged = cut_lineage(cells.join(lv, cells[TERM] == lv._t).select(ENTRY, TERM, value, "_lv"))
+    tagged = cut_lineage(cells.join(lv, F.col(TERM) == F.col("_t")).select(ENTRY, TERM, value, "_lv"))
     done = tagged.where(F.col("_lv") == 0).select(ENTRY, TERM, value)
     for level in range(1, max_level + 1):
         cur = tagged.where(F.col("_lv") == level).select(ENTRY, TERM, value)
-        done = done.unionByName(step(level, cur, done))
+        # each level's values are read by all later levels: materialise them
+        done = done.unionByName(cut_lineage(step(level, cur, done)))
         if level % checkpoint_every == 0:
             done = cut_lineage(done)
     return done
@@ -340,12 +388,14 @@ def propagate_fill(scores: DataFrame, edges: DataFrame, terms: DataFrame, value:
     candidates = s
 
     def step(level, cur, done):
-        from_children = (done.join(e, done[TERM] == e._c)
+        from_children = (done.join(e, F.col(TERM) == F.col("_c"))
                          .join(lvb.where(F.col("_plv") == level), F.col("_p") == F.col("_pt"))
                          .groupBy(ENTRY, F.col("_p").alias(TERM)).agg(F.max(value).alias("_fill")))
-        return (from_children.join(cur, [ENTRY, TERM], "full")
-                .select(ENTRY, TERM, F.when(F.coalesce(F.col(value), F.lit(0.0)) != 0, F.col(value))
-                        .otherwise(F.col("_fill")).alias(value))
+        own = cur.select(F.col(ENTRY).alias("_e2"), F.col(TERM).alias("_t2"), F.col(value).alias("_own"))
+        j = from_children.join(own, (F.col(ENTRY) == F.col("_e2")) & (F.col(TERM) == F.col("_t2")), "full")
+        return (j.select(F.coalesce(ENTRY, "_e2").alias(ENTRY), F.coalesce(TERM, "_t2").alias(TERM),
+                         F.when(F.coalesce(F.col("_own"), F.lit(0.0)) != 0, F.col("_own"))
+                         .otherwise(F.col("_fill")).alias(value))
                 .where(F.col(value) != 0))
 
     return _level_loop(candidates, lv, max_level, step, value)
@@ -370,7 +420,7 @@ def conditional_to_marginal(scores: DataFrame, edges: DataFrame, terms: DataFram
 
     def step(level, cur, done):
         d = done.select(F.col(ENTRY).alias("_e"), F.col(TERM).alias("_pt"), F.col(value).alias("_pv"))
-        j = (cur.join(e, cur[TERM] == e._c)
+        j = (cur.join(e, F.col(TERM) == F.col("_c"))
              .join(d, (F.col(ENTRY) == d._e) & (F.col("_p") == d._pt), "left"))
         if mode == "any":
             agg = j.groupBy(ENTRY, TERM, value).agg(
@@ -407,7 +457,7 @@ def suppress_children(scores: DataFrame, edges: DataFrame, terms: DataFrame,
 
     def step(level, cur, done):
         d = done.select(F.col(ENTRY).alias("_e"), F.col(TERM).alias("_pt"), F.col(value).alias("_pv"))
-        j = (cur.join(e, cur[TERM] == e._c)
+        j = (cur.join(e, F.col(TERM) == F.col("_c"))
              .join(d, (F.col(ENTRY) == d._e) & (F.col("_p") == d._pt), "left")
              .groupBy(ENTRY, TERM, value).agg(F.max(F.coalesce("_pv", F.lit(0.0))).alias("_mp")))
         return j.select(ENTRY, TERM, F.when(F.col("_mp") < threshold, F.col(value) * F.col("_mp"))

@@ -64,15 +64,20 @@ class Dims:
     def edges(self) -> DataFrame:
         return fx.edges(self.spark, self.sf_dir)
 
+    def _build(self):
+        clo, down, up = onto.closure_and_levels(self.edges, self.terms)
+        self._closure = clo
+        self._levels = {"down": down, "up": up}
+
     @property
     def closure(self) -> onto.Closure:
         if self._closure is None:
-            self._closure = onto.closure(self.edges)
+            self._build()
         return self._closure
 
     def levels(self, direction: str) -> tuple[DataFrame, int]:
         if direction not in self._levels:
-            self._levels[direction] = onto.term_levels(self.terms, self.edges, direction)
+            self._build()
         return self._levels[direction]
 
 
