@@ -118,7 +118,7 @@ PRED_B = """pred_b AS (
   FROM lineitem GROUP BY l_orderkey, l_partkey)"""
 
 PRED_RAW = """pred_raw AS (
-  SELECT l_orderkey AS entry, l_partkey AS term, l_tax * 10 AS prob, l_linenumber AS ord FROM lineitem)"""
+  SELECT l_orderkey AS entry, l_partkey AS term, abs(l_tax) * 10 AS prob, l_linenumber AS ord FROM lineitem)"""
 
 ANNOT = """annot AS (
   SELECT DISTINCT l_orderkey AS entry, l_partkey AS term, l_partkey % 3 AS aspect
@@ -129,10 +129,18 @@ NEG = """neg AS (
   WHERE l_linestatus = 'O' AND l_linenumber = 1)"""
 
 
-def snapshot_cte(name: str, cut: str) -> str:
+def snapshot_cte(name: str, window: tuple) -> str:
+    start, end = window
+    cond = f"l_shipdate < TIMESTAMP '{end} 00:00:00'"
+    if start is not None:
+        cond += f" AND l_shipdate >= TIMESTAMP '{start} 00:00:00'"
     return f"""{name} AS (
   SELECT l_orderkey AS entry, l_partkey AS term, l_returnflag || l_linestatus AS source
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '{cut} 00:00:00')"""
+  FROM lineitem WHERE {cond})"""
+
+
+SNAP_OLD = snapshot_cte("snap_old", fx.OLD_SNAPSHOT)
+SNAP_NEW = snapshot_cte("snap_new", fx.NEW_SNAPSHOT)
 
 
 EVIDENCE = """evidence AS (

@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 # evidence column (l_returnflag || l_linestatus).
 EXPERIMENTAL_CODES = ("RF", "AF")
 
-# Snapshot cut dates of the two annotation releases.
-OLD_SNAPSHOT_CUT = "1999-01-01"
-NEW_SNAPSHOT_CUT = "2000-01-01"
+# The two annotation releases.  The old release holds rows
+# shipped before 1999; the new one rows shipped in [1996, 2000) -- it both adds
+# recent rows and retracts the oldest ones, so old-minus-new is not empty.
+OLD_SNAPSHOT = (None, "1999-01-01")
+NEW_SNAPSHOT = ("1996-01-01", "2000-01-01")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,10 +112,10 @@ def predictions_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Un-aggregated prediction rows with repeats (entry, term, prob, ord):
-    one row per line item, prob = l_tax * 10, ord = l_linenumber."""
+    one row per line item, prob = |l_tax| * 10, ord = l_linenumber."""
     li = _lineitem(spark, sf_dir, "l_orderkey", "l_partkey", "l_tax", "l_linenumber")
     return li.select(F.col("l_orderkey").alias("entry"), F.col("l_partkey").alias("term"),
-                     (F.col("l_tax") * 10).alias("prob"), F.col("l_linenumber").alias("ord"))
+                     (F.abs(F.col("l_tax")) * 10).alias("prob"), F.col("l_linenumber").alias("ord"))
 
 
 def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +128,15 @@ def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapshot(spark: SparkSession, sf_dir: str, cut: str) -> DataFrame:
-    """Annotation release (entry, term, source) of everything shipped before ``cut``."""
+def snapshot(spark: SparkSession, sf_dir: str, window: tuple) -> DataFrame:
+    """Annotation release (entry, term, source) of rows shipped in [start, end)."""
+    start, end = window
     li = _lineitem(spark, sf_dir, "l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "l_shipdate")
+    cond = F.col("l_shipdate") < F.lit(end).cast("timestamp")
+    if start is not None:
+        cond = cond & (F.col("l_shipdate") >= F.lit(start).cast("timestamp"))
     return (
-        li.where(F.col("l_shipdate") < F.lit(cut).cast("timestamp"))
+        li.where(cond)
         .select(F.col("l_orderkey").alias("entry"), F.col("l_partkey").alias("term"),
                 F.concat("l_returnflag", "l_linestatus").alias("source"))
     )
