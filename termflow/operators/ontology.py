@@ -154,6 +154,8 @@ def closure_and_levels(edges: DataFrame, terms: DataFrame, checkpoint_every: int
         layers.append(layer.withColumn("_r", F.lit(r)))
         nxt = (layer.join(e_join, layer.ancestor == e_join._c)
                .select("child", F.col("_p").alias("ancestor")).distinct())
+        # persisted layers are recomputed from a short lineage if an executor
+        # is lost; every few rounds the lineage is cut with a reliable checkpoint
         layer = cut_lineage(nxt) if r % checkpoint_every == 0 else nxt.persist()
         r += 1
     max_len = r - 1
@@ -165,12 +167,12 @@ def closure_and_levels(edges: DataFrame, terms: DataFrame, checkpoint_every: int
     else:
         allp = spark.createDataFrame([], "child long, ancestor long, _r int")
     allp = cut_lineage(allp)
-    clo_df = cut_lineage(allp.select("child", "ancestor").distinct())
+    clo_df = allp.select("child", "ancestor").distinct().persist()
     t = terms.select(TERM)
-    depth = cut_lineage(t.join(allp.groupBy(F.col("child").alias(TERM)).agg(F.max("_r").alias("_d")), TERM, "left")
-                        .select(TERM, F.coalesce("_d", F.lit(0)).alias("level")))
-    height = cut_lineage(t.join(allp.groupBy(F.col("ancestor").alias(TERM)).agg(F.max("_r").alias("_h")), TERM, "left")
-                         .select(TERM, F.coalesce("_h", F.lit(0)).alias("level")))
+    depth = (t.join(allp.groupBy(F.col("child").alias(TERM)).agg(F.max("_r").alias("_d")), TERM, "left")
+             .select(TERM, F.coalesce("_d", F.lit(0)).alias("level")).persist())
+    height = (t.join(allp.groupBy(F.col("ancestor").alias(TERM)).agg(F.max("_r").alias("_h")), TERM, "left")
+              .select(TERM, F.coalesce("_h", F.lit(0)).alias("level")).persist())
     return Closure(clo_df, clo_df.count(), max_len), (depth, max_len), (height, max_len)
 
 
@@ -370,7 +372,10 @@ def _level_loop(cells: DataFrame, levels: DataFrame, max_level: int, step, value
     for level in range(1, max_level + 1):
         cur = tagged.where(F.col("_lv") == level).select(ENTRY, TERM, value)
         # each level's values are read by all later levels: materialise them
-        done = done.unionByName(cut_lineage(step(level, cur, done)))
+        # (persisted; the union is cut with a reliable checkpoint every few levels)
+        new = step(level, cur, done).persist()
+        new.count()
+        done = done.unionByName(new)
         if level % checkpoint_every == 0:
             done = cut_lineage(done)
     return done

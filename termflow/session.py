@@ -31,6 +31,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # iterative plans (closure, level loops) grow long unions; constraint
+        # propagation over them is costly and hits a union-rewrite bug
+        .config("spark.sql.constraintPropagation.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
