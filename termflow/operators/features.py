@@ -79,6 +79,27 @@ def stratified_folds(df: DataFrame, key: str, stratum: Sequence[str] | str, k: i
     return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
 
 
+def int_hash(key, seed: int = 42):
+    """Repeatable integer hash of a non-negative integer key (Park-Miller
+    multiplier, exact in 64-bit arithmetic for keys below 1e14)."""
+    c = F.col(key) if isinstance(key, str) else key
+    return F.pmod(c * 48271 + seed, F.lit(2147483647))
+
+
+def salted_folds(df: DataFrame, key: str, stratum: str, k: int = 5, buckets: int = 16,
+                 seed: int = 42) -> DataFrame:
+    """E12 at scale: each stratum is split into ``buckets`` hash buckets (so no
+    window partition holds a whole large stratum); inside a (stratum, bucket)
+    rows are ordered by the hash and dealt round-robin into k folds, starting
+    at the bucket number so the buckets do not all favour fold 0."""
+    h = int_hash(key, seed)
+    b = F.pmod(h, F.lit(buckets))
+    w = Window.partitionBy(stratum, "_b").orderBy("_h", key)
+    return (df.withColumn("_h", h).withColumn("_b", b)
+            .withColumn("fold", F.pmod(F.row_number().over(w) - 1 + F.col("_b"), F.lit(k)).cast("int"))
+            .drop("_h", "_b"))
+
+
 def hash_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Plain seeded k-fold by a hash bucket of the key (no shuffle)."""
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))

@@ -84,7 +84,9 @@ class Dims:
 # ----------------------------------------------------------- oracle SQL pieces
 
 def sql(*ctes: str, body: str) -> str:
-    """Assemble ``WITH RECURSIVE <ctes> <body>``."""
+    """Assemble ``WITH RECURSIVE <ctes> <body>`` (just the body without CTEs)."""
+    if not ctes:
+        return body
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
 
 
