@@ -142,7 +142,7 @@ def e18_root_positive_entries(s, d):
 
 @register("j14_horizontal_feature_join", sql(body="""
 SELECT a.vec_id AS entry, CAST(len(a.embedding) + len(b.embedding) AS INTEGER) AS dim,
-       round(sqrt(list_sum(list_transform(list_concat(a.embedding, b.embedding), x -> CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm
+       round(sqrt(list_sum(list_transform(list_concat(a.embedding, b.embedding), lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""".replace("WITH RECURSIVE \n", "")))
 def j14_horizontal_feature_join(s, d):
     e = fx.embeddings(s, d)
