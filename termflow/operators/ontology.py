@@ -392,8 +392,12 @@ def propagate_fill(scores: DataFrame, edges: DataFrame, terms: DataFrame, value:
     # every cell that can be filled: (entry, parent-of-a-present-cell) at the parent's level
     candidates = s
 
+    lv_p = lv.select(F.col(TERM).alias("_pp"), F.col("level").alias("_pl"))
+    edge_lv = edges.select(F.col("child").alias(TERM), F.col("parent").alias("_pp")).join(lv_p, "_pp")
+
     def step(level, cur, done):
-        from_children = (done.join(e, F.col(TERM) == F.col("_c"))
+        children = F.broadcast(edge_lv.where(F.col("_pl") == level).select(TERM).distinct())
+        from_children = (done.join(children, TERM, "left_semi").join(e, F.col(TERM) == F.col("_c"))
                          .join(lvb.where(F.col("_plv") == level), F.col("_p") == F.col("_pt"))
                          .groupBy(ENTRY, F.col("_p").alias(TERM)).agg(F.max(value).alias("_fill")))
         own = cur.select(F.col(ENTRY).alias("_e2"), F.col(TERM).alias("_t2"), F.col(value).alias("_own"))
@@ -423,8 +427,14 @@ def conditional_to_marginal(scores: DataFrame, edges: DataFrame, terms: DataFram
     n_par = broadcast_if_small(edges.groupBy(F.col("child").alias("_c2")).agg(F.count("*").alias("_np")))
     keep = None if only_terms is None else broadcast_if_small(only_terms.select(F.col(TERM).alias("_k")).distinct())
 
+    lv_c = lv.select(F.col(TERM).alias("_c"), F.col("level").alias("_cl"))
+    edge_lv = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_pt")).join(lv_c, "_c")
+
     def step(level, cur, done):
-        d = done.select(F.col(ENTRY).alias("_e"), F.col(TERM).alias("_pt"), F.col(value).alias("_pv"))
+        # only the values of parents of this level's terms are shuffled
+        parents = F.broadcast(edge_lv.where(F.col("_cl") == level).select("_pt").distinct())
+        d = (done.select(F.col(ENTRY).alias("_e"), F.col(TERM).alias("_pt"), F.col(value).alias("_pv"))
+             .join(parents, "_pt", "left_semi"))
         j = (cur.join(e, F.col(TERM) == F.col("_c"))
              .join(d, (F.col(ENTRY) == d._e) & (F.col("_p") == d._pt), "left"))
         if mode == "any":
@@ -460,8 +470,13 @@ def suppress_children(scores: DataFrame, edges: DataFrame, terms: DataFrame,
     lv, max_level = levels or term_levels(terms, edges, direction="down")
     e = broadcast_if_small(edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")))
 
+    lv_c = lv.select(F.col(TERM).alias("_c"), F.col("level").alias("_cl"))
+    edge_lv = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_pt")).join(lv_c, "_c")
+
     def step(level, cur, done):
-        d = done.select(F.col(ENTRY).alias("_e"), F.col(TERM).alias("_pt"), F.col(value).alias("_pv"))
+        parents = F.broadcast(edge_lv.where(F.col("_cl") == level).select("_pt").distinct())
+        d = (done.select(F.col(ENTRY).alias("_e"), F.col(TERM).alias("_pt"), F.col(value).alias("_pv"))
+             .join(parents, "_pt", "left_semi"))
         j = (cur.join(e, F.col(TERM) == F.col("_c"))
              .join(d, (F.col(ENTRY) == d._e) & (F.col("_p") == d._pt), "left")
              .groupBy(ENTRY, TERM, value).agg(F.max(F.coalesce("_pv", F.lit(0.0))).alias("_mp")))

@@ -30,16 +30,24 @@ def top_k(df: DataFrame, group: str | Sequence[str], order: str, k: int,
 
 
 def dense_rank_cut(df: DataFrame, group: str | Sequence[str], order: str, k: int,
-                   rank_col: str = "rank") -> DataFrame:
+                   rank_col: str = "rank", distinct_values: bool = False) -> DataFrame:
     """Keep rows whose 0-based dense rank (by ``order`` descending) is < k.
 
-    Skew-safe form: the dense rank of a row is the position of its value among
+    Default: ``dense_rank() <= k`` -- Spark plans a partial WindowGroupLimit
+    before the shuffle, so each map task forwards only the rows holding the
+    top-k distinct values of each group.
+
+    ``distinct_values=True`` (for groups with huge runs of tied values): the dense rank of a row is the position of its value among
     the *distinct* values of its group.  Distinct values are found first
     (partial aggregation), the first k of them per group are ranked (window
     group limit bounds what reaches one task), and rows are matched back with
     an equi-join on (group, value).  No group is ever sorted whole.
     """
     g = _cols(group)
+    if not distinct_values:
+        w = Window.partitionBy(*g).orderBy(F.col(order).desc())
+        return (df.withColumn(rank_col, F.dense_rank().over(w)).where(F.col(rank_col) <= k)
+                .withColumn(rank_col, F.col(rank_col) - 1))
     vals = df.select(*g, order).distinct()
     w = Window.partitionBy(*g).orderBy(F.col(order).desc())
     top = vals.withColumn(rank_col, F.row_number().over(w) - 1).where(F.col(rank_col) < k)
