@@ -102,15 +102,15 @@ def jaccard_per_entity(a: DataFrame, b: DataFrame, min_score: float = 0.1, keep_
     return j.select("*", dist.alias("jaccard_dist")).where(F.col("jaccard_dist") > keep_above)
 
 
-def priors(labels: DataFrame, n_entities: DataFrame, term: str = "term", label: str = "label") -> DataFrame:
+def priors(labels: DataFrame, entities: DataFrame, term: str = "term", label: str = "label") -> DataFrame:
     """A15 (D17): per term, prior = positives / non-null cells (0 if none),
     null rate = 1 - non-null / N, prior_raw = prior * (1 - null rate).
-    ``labels`` holds only non-null cells; ``n_entities`` is a one-row (N)."""
+    ``labels`` holds only non-null cells; N = distinct ``entities``."""
+    n = entities.select("entry").distinct().agg(F.count("*")).scalar()
     g = labels.groupBy(term, "namespace").agg(F.sum(label).alias("_pos"), F.count("*").alias("_nn"))
-    j = g.join(F.broadcast(n_entities), "namespace")
     prior = F.when(F.col("_nn") > 0, F.col("_pos") / F.col("_nn")).otherwise(F.lit(0.0))
-    null_rate = 1 - F.col("_nn") / F.col("N")
-    return j.select(term, "namespace", prior.alias("prior"), null_rate.alias("null_rate"),
+    null_rate = 1 - F.col("_nn") / n
+    return g.select(term, "namespace", prior.alias("prior"), null_rate.alias("null_rate"),
                     (prior * (1 - null_rate)).alias("prior_raw"))
 
 

@@ -132,3 +132,23 @@ def align(source: DataFrame, reference: DataFrame, ref_id: str = "id", src_id: s
                                          F.col(ord_col)).alias("_v")))
     ref = reference.select(clean_id(ref_id).alias("_cid"), F.col(ord_col).alias("ref_ord"))
     return ref.join(src, "_cid", "left").select(F.col("_cid").alias("id"), "ref_ord", "_v.*")
+
+
+def rarest_label_strata(labels: DataFrame, top: int = 32, entity: str = "entry", term: str = "term") -> DataFrame:
+    """E14 (approximation of iterative multi-label stratification): among the
+    ``top`` most frequent labels, each entity's stratum is its rarest label
+    (ties by term); entities without one of them form stratum -1."""
+    freq = labels.groupBy(term).agg(F.count("*").alias("_f"))
+    w = Window.orderBy(F.col("_f").desc(), F.col(term).asc())
+    topl = freq.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
+    j = labels.join(F.broadcast(topl), term)
+    s = j.groupBy(entity).agg(F.min_by(term, F.struct("_f", term)).alias("stratum"))
+    ents = labels.select(entity).distinct()
+    return ents.join(s, entity, "left").select(entity, F.coalesce("stratum", F.lit(-1)).alias("stratum"))
+
+
+def species_one_hot(df: DataFrame, taxon: str, species: list, out: str = "species_onehot") -> DataFrame:
+    """E5: a fixed species list -> one-hot of width len+1; position 0 = other."""
+    from ..functions.scalar import one_hot
+    idx = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in species]), F.col(taxon)).cast("int"), F.lit(0))
+    return df.withColumn(out, one_hot(idx, len(species) + 1))

@@ -192,3 +192,18 @@ def weight_diff(old: DataFrame, new: DataFrame, key: str = "term", value: str =
     changed = F.abs(_z("old") - _z("new")) > tol
     zero_one_side = (_z("old") == 0) != (_z("new") == 0)
     return j.where(changed | zero_one_side).select(key, "old", "new", (_z("new") - _z("old")).alias("delta"))
+
+
+def hit_label_transfer(hits: DataFrame, annotations: DataFrame, k: int = 5, max_evalue: float = 0.02,
+                       score: str = "bits") -> DataFrame:
+    """J16 (re-aimed similarity join): for each query take its k best hits by
+    ``score`` with evalue <= ``max_evalue`` (ties by target), transfer the
+    targets' terms, scoring a term by the best hit identity carrying it.
+    ``annotations`` are (entry, term) of the targets."""
+    from pyspark.sql import Window
+    h = hits.where(F.col("evalue") <= max_evalue)
+    w = Window.partitionBy("query").orderBy(F.col(score).desc(), F.col("target").asc())
+    top = h.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    a = annotations.select(F.col("entry").alias("target"), "term").distinct()
+    return top.join(a, "target").groupBy(F.col("query").alias("entry"), "term").agg(
+        F.max("identity").alias("prob"), F.count("*").alias("n_hits"))

@@ -311,3 +311,116 @@ def w13_suffix_sum_bins(s, d):
          .agg(F.sum("prob").alias("w")))
     out = rk.suffix_sum(b, "entry", "bin", "w", "above")
     return out.select("entry", "bin", r6("w").alias("w"), r6("above").alias("above"))
+
+
+# ------------------------------------------------------------- more aggregates
+
+@register("a15_term_priors", sql(EDGE, CLOSURE, RCLOSURE, TERMS, ANNOT, body="""
+, pos AS (SELECT DISTINCT a.entry, r.ancestor AS term FROM annot a JOIN rclosure r ON a.term = r.child),
+roots AS (SELECT p_partkey AS term FROM part WHERE p_partkey NOT IN (SELECT child FROM edge)),
+cand AS (SELECT p.entry, e.child AS term FROM pos p JOIN edge e ON e.parent = p.term
+         UNION SELECT a.entry, r.term FROM (SELECT DISTINCT entry FROM annot) a, roots r),
+lab AS (SELECT c.entry, c.term, t.namespace, CASE WHEN p.term IS NULL THEN 0 ELSE 1 END AS label
+        FROM cand c LEFT JOIN pos p ON p.entry = c.entry AND p.term = c.term JOIN terms t ON t.term = c.term),
+n AS (SELECT count(DISTINCT entry) AS n FROM annot),
+g AS (SELECT term, namespace, sum(label) AS pos, count(*) AS nn FROM lab GROUP BY term, namespace)
+SELECT term, namespace, round(CASE WHEN nn > 0 THEN pos / nn ELSE 0 END, 6) AS prior,
+       round(1 - nn / (SELECT n FROM n), 6) AS null_rate,
+       round(CASE WHEN nn > 0 THEN pos / nn ELSE 0 END * (nn / (SELECT n FROM n)), 6) AS prior_raw FROM g"""
+   .replace("\n, pos AS", ",\npos AS", 1)))
+def a15_term_priors(s, d):
+    dims = Dims.of(s, d)
+    ann = fx.annotations(s, d)
+    pos = onto.propagate_labels(ann, dims.closure, dims.terms)
+    lab = onto.ternary_labels(pos, ann, dims.edges, dims.terms, onto.roots(dims.terms, dims.edges))
+    out = ag.priors(lab, ann)
+    return out.select("term", "namespace", *[r6(c).alias(c) for c in ("prior", "null_rate", "prior_raw")])
+
+
+@register("a27_masked_bce", sql(EDGE, CLOSURE, RCLOSURE, TERMS, ANNOT, PRED_B, body="""
+, pos AS (SELECT DISTINCT a.entry, r.ancestor AS term FROM annot a JOIN rclosure r ON a.term = r.child),
+roots AS (SELECT p_partkey AS term FROM part WHERE p_partkey NOT IN (SELECT child FROM edge)),
+cand AS (SELECT p.entry, e.child AS term FROM pos p JOIN edge e ON e.parent = p.term
+         UNION SELECT a.entry, r.term FROM (SELECT DISTINCT entry FROM annot) a, roots r),
+lab AS (SELECT c.entry, c.term, CASE WHEN p.term IS NULL THEN 0 ELSE 1 END AS y
+        FROM cand c LEFT JOIN pos p ON p.entry = c.entry AND p.term = c.term),
+x AS (SELECT l.y, least(greatest(coalesce(b.prob, 0), 1e-7), 1 - 1e-7) AS p
+      FROM lab l LEFT JOIN pred_b b ON b.entry = l.entry AND b.term = l.term)
+SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS bce, count(*) AS cells,
+       round(avg(y), 6) AS base_rate, round(ln(avg(y) / (1 - avg(y))), 6) AS base_logit FROM x"""
+   .replace("\n, pos AS", ",\npos AS", 1)))
+def a27_masked_bce(s, d):
+    dims = Dims.of(s, d)
+    ann = fx.annotations(s, d)
+    pos = onto.propagate_labels(ann, dims.closure, dims.terms)
+    lab = onto.ternary_labels(pos, ann, dims.edges, dims.terms, onto.roots(dims.terms, dims.edges))
+    x = lab.join(fx.predictions_b(s, d), ["entry", "term"], "left").select(
+        F.col("label").alias("y"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
+    out = ag.masked_bce(x, y="y", p="prob")
+    return out.select(r6("bce").alias("bce"), "cells", r6("base_rate").alias("base_rate"),
+                      r6("base_logit").alias("base_logit"))
+
+
+@register("a16_fold_merge", sql(PRED_A, body="""
+, f AS (SELECT entry, term, prob, (entry * 48271 + 7) % 2147483647 % 3 AS fold FROM pred_a)
+SELECT entry, term, round(sum(prob), 6) AS oof, round(sum(prob * 0.5) / 3, 6) AS test FROM f GROUP BY entry, term"""
+   .replace("\n, f AS", ",\nf AS", 1)))
+def a16_fold_merge(s, d):
+    from ..operators import features as fe
+    from ..operators import pairs as pr
+    a = fx.predictions_a(s, d).withColumn("fold", F.pmod(fe.int_hash("entry", 7), F.lit(3)))
+    oof_parts = [a.where(F.col("fold") == k) for k in range(3)]
+    test_parts = [a.withColumn("prob", F.col("prob") * 0.5).where(F.col("fold") == k) for k in range(3)]
+    oof = pr.fold_merge(oof_parts, "oof").withColumnRenamed("prob", "oof")
+    test = pr.fold_merge(test_parts, "test").withColumnRenamed("prob", "test")
+    return oof.join(test, ["entry", "term"]).select("entry", "term", r6("oof").alias("oof"), r6("test").alias("test"))
+
+
+@register("w2_w16_top_k_then_tau", sql(PRED_B, body="""
+SELECT entry, term, round(prob, 6) AS prob, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY entry ORDER BY prob DESC, term) AS rank FROM pred_b)
+WHERE rank <= 3 AND prob > 0.3"""))
+def w2_w16_top_k_then_tau(s, d):
+    out = rk.top_k(fx.predictions_b(s, d), "entry", "prob", 3, tie="term").where(F.col("prob") > 0.3)
+    return out.select("entry", "term", r6("prob").alias("prob"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("w3_aspect_quota_top_k", sql(PRED_B, body="""
+, r AS (SELECT entry, term, term % 3 AS aspect, prob,
+        row_number() OVER (PARTITION BY entry, term % 3 ORDER BY prob DESC, term) AS rn FROM pred_b),
+q AS (SELECT * FROM r WHERE rn <= CASE aspect WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 3 END)
+SELECT entry, term, aspect, round(prob, 6) AS prob,
+       row_number() OVER (PARTITION BY entry ORDER BY prob DESC, term) AS rank FROM q""".replace("\n, r AS", ",\nr AS", 1)))
+def w3_aspect_quota_top_k(s, d):
+    p = fx.predictions_b(s, d).withColumn("aspect", F.col("term") % 3)
+    out = rk.ranked_quota(p, "entry", "aspect", "prob", {0: 2, 1: 1}, default_k=3, tie="term")
+    return out.select("entry", "term", "aspect", r6("prob").alias("prob"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("l8_seeded_sample")
+def l8_seeded_sample(s, d):
+    return rk.seeded_sample(fx.annotations(s, d), ["entry", "term"], 100)
+
+
+@register("l9_hash_fraction_sample")
+def l9_hash_fraction_sample(s, d):
+    return rk.hash_fraction(fx.annotations(s, d), ["entry", "term"], 0.1)
+
+
+@register("f_numeric_functions", sql(HITS, body="""
+SELECT query, target, CAST(floor(identity * 1000) AS INTEGER) AS bin,
+       round(CASE WHEN evalue > 0 THEN log10(evalue) ELSE -300 END, 6) AS log_evalue,
+       round(1 / (1 + exp(-(bits / 10000.0) / 2.0)), 6) AS sig,
+       round(ln(least(greatest(identity * 10, 1e-6), 1 - 1e-6) / (1 - least(greatest(identity * 10, 1e-6), 1 - 1e-6))), 6) AS lgt,
+       round(CASE WHEN identity + alnlen / 50.0 > 0 THEN 2 * identity * (alnlen / 50.0) / (identity + alnlen / 50.0) ELSE 0 END, 6) AS f,
+       round(sqrt(identity * identity + (alnlen / 50.0) * (alnlen / 50.0)), 6) AS s
+FROM hits"""))
+def f_numeric_functions(s, d):
+    h = fx.hits(s, d)
+    rc = F.col("alnlen") / 50.0
+    return h.select("query", "target", fn.score_bin("identity").alias("bin"),
+                    r6(fn.log10_floor("evalue")).alias("log_evalue"),
+                    r6(fn.sigmoid(F.col("bits") / 10000.0, 2.0)).alias("sig"),
+                    r6(fn.logit(F.col("identity") * 10)).alias("lgt"),
+                    r6(fn.safe_f(F.col("identity"), rc)).alias("f"),
+                    r6(fn.s_distance(F.col("identity"), rc)).alias("s"))

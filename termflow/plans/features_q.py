@@ -160,3 +160,48 @@ def j13_target_densification(s, d):
     ids = fx.table(s, d, "orders").select(F.col("o_orderkey").alias("entry"))
     n = fx.annotations(s, d).groupBy("entry").agg(F.count("*").alias("_n"))
     return ids.join(n, "entry", "left").select("entry", F.coalesce("_n", F.lit(0)).alias("n_terms"))
+
+
+@register("e5_species_one_hot", sql(TAXONOMY, body="""
+SELECT entry, CAST(coalesce(list_position([0, 3, 7, 11, 19], taxon), 0) AS INTEGER) AS idx FROM taxonomy"""))
+def e5_species_one_hot(s, d):
+    out = fe.species_one_hot(fx.taxonomy(s, d), "taxon", [0, 3, 7, 11, 19])
+    return out.select("entry", F.array_position("species_onehot", F.lit(1.0)).cast("int").alias("_p")).select(
+        "entry", (F.col("_p") - 1).cast("int").alias("idx"))
+
+
+@register("e14_rarest_label_strata", sql(ANNOT, body="""
+, f AS (SELECT term, count(*) AS n FROM annot GROUP BY term),
+t AS (SELECT term, n FROM f QUALIFY row_number() OVER (ORDER BY n DESC, term) <= 32),
+s AS (SELECT a.entry, arg_min(a.term, (t.n, a.term)) AS stratum FROM annot a JOIN t ON a.term = t.term GROUP BY a.entry)
+SELECT e.entry, coalesce(s.stratum, -1) AS stratum FROM (SELECT DISTINCT entry FROM annot) e
+LEFT JOIN s ON s.entry = e.entry""".replace("\n, f AS", ",\nf AS", 1)))
+def e14_rarest_label_strata(s, d):
+    return fe.rarest_label_strata(fx.annotations(s, d).select("entry", "term"))
+
+
+@register("j16_hit_label_transfer", sql(ANNOT, body="""
+, h AS (SELECT l_orderkey AS query, l_partkey AS target, l_discount AS identity, power(10.0, -l_quantity) AS evalue,
+        l_extendedprice AS bits FROM lineitem),
+pt AS (SELECT DISTINCT CAST(l_partkey AS BIGINT) AS target, l_suppkey AS term FROM lineitem WHERE l_returnflag = 'A'),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY bits DESC, target) AS rn
+        FROM h WHERE evalue <= 0.02) WHERE rn <= 5)
+SELECT top.query AS entry, pt.term, round(max(identity), 6) AS prob, count(*) AS n_hits
+FROM top JOIN pt ON top.target = pt.target GROUP BY 1, 2""".replace("\n, h AS", ",\nh AS", 1)))
+def j16_hit_label_transfer(s, d):
+    from ..operators import pairs as pr
+    li = fx.table(s, d, "lineitem")
+    target_terms = (li.where(F.col("l_returnflag") == "A")
+                    .select(F.col("l_partkey").alias("entry"), F.col("l_suppkey").alias("term")))
+    out = pr.hit_label_transfer(fx.hits(s, d), target_terms, k=5, max_evalue=0.02)
+    return out.select("entry", "term", r6("prob").alias("prob"), "n_hits")
+
+
+@register("j11_alignment_join")
+def j11_alignment_join(s, d):
+    e = fx.table(s, d, "embeddings")
+    ref = e.select(F.concat(F.lit("sp|V"), F.col("vec_id").cast("string"), F.lit("|X")).alias("id"),
+                   F.col("vec_id").alias("ord"))
+    src = e.where(F.col("vec_id") % 2 == 0).select(F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("id"),
+                                                   (-F.col("vec_id")).alias("ord"), "label")
+    return fe.align(src, ref)

@@ -310,3 +310,21 @@ def g19_suppress_children(spark, d):
     s = onto.propagate_max(fx.predictions_b(spark, d), dims.closure, dims.terms)
     out = onto.suppress_children(s, dims.edges, dims.terms, threshold=0.5, levels=dims.levels("down"))
     return out.select("entry", "term", r6("prob").alias("prob"))
+
+
+@register("g4_terms_of_interest", sql(TERMS, body="SELECT term, namespace FROM terms WHERE ia > 0"))
+def g4_terms_of_interest(spark, d):
+    return fx.terms(spark, d).where(F.col("ia") > 0).select("term", "namespace")
+
+
+@register("g22_namespace_mapping", sql(TERMS, body="""
+, p AS (SELECT l_orderkey AS entry, l_partkey + l_linenumber * 10 AS term FROM lineitem)
+SELECT coalesce(CAST(t.namespace AS VARCHAR), 'unmapped') AS namespace, count(*) AS rows
+FROM p LEFT JOIN terms t ON p.term = t.term GROUP BY 1""".replace("\n, p AS", ",\np AS", 1)))
+def g22_namespace_mapping(spark, d):
+    li = fx.table(spark, d, "lineitem")
+    p = li.select(F.col("l_orderkey").alias("entry"), (F.col("l_partkey") + F.col("l_linenumber") * 10).alias("term"))
+    t = broadcast_if_small(fx.terms(spark, d).select("term", "namespace"))
+    return (p.join(t, "term", "left")
+            .groupBy(F.coalesce(F.col("namespace").cast("string"), F.lit("unmapped")).alias("namespace"))
+            .agg(F.count("*").alias("rows")))
