@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_MAX_ROWS, broadcast_if_small, cut_lineage
+from ..session import BROADCAST_MAX_ROWS, broadcast_if_small, cut_lineage, write_table
 
 ENTRY, TERM = "entry", "term"
 MAX_ROOTS = 64
@@ -361,53 +361,67 @@ def ternary_labels(positives: DataFrame, entries: DataFrame, edges: DataFrame,
 
 # ---------------------------------------------------------------- level form
 
-def _level_loop(cells: DataFrame, levels: DataFrame, max_level: int, step, value: str,
-                checkpoint_every: int = 3) -> DataFrame:
-    """Run ``step(level, cells_at_level, done)`` for levels 1..max_level, where
-    ``done`` holds the final values of all lower levels (level 0 is kept as is).
-    ``cells`` is (entry, term, value) and is tagged with the level first."""
+def _message_loop(cells: DataFrame, levels: DataFrame, max_level: int, route: DataFrame, combine,
+                  value: str) -> DataFrame:
+    """Level-synchronous message passing over the DAG.
+
+    ``cells`` (entry, term, value) are tagged with their term's level.  Level 0
+    keeps its values.  After a level is computed, each value is sent once
+    along ``route`` (src -> dst edges, dst on a higher level) as a message
+    (entry, term=dst, _mv) tagged with the receiver's level.  Level L then
+    combines its own cells with exactly the messages addressed to it:
+    ``combine(cur, msgs) -> (entry, term, value)``.  So every value crosses the
+    network once, instead of the whole result being re-joined at every level.
+    """
     lv = broadcast_if_small(levels.select(F.col(TERM).alias("_t"), F.col("level").alias("_lv")))
-    tagged = cut_lineage(cells.join(lv, F.col(TERM) == F.col("_t")).select(ENTRY, TERM, value, "_lv"))
-    done = tagged.where(F.col("_lv") == 0).select(ENTRY, TERM, value)
+    # written once, partitioned by level: each level reads only its own slice
+    tagged = write_table(cells.join(lv, F.col(TERM) == F.col("_t")).select(ENTRY, TERM, value, "_lv"),
+                         partition_by="_lv")
+    r = route.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"))
+    r = r.join(levels.select(F.col(TERM).alias("_dst"), F.col("level").alias("_dlv")), "_dst")
+    r = broadcast_if_small(r)
+
+    def send(vals):
+        return (vals.join(r, F.col(TERM) == F.col("_src"))
+                .select(ENTRY, F.col("_dst").alias(TERM), F.col(value).alias("_mv"), "_dlv"))
+
+    current = tagged.where(F.col("_lv") == 0).select(ENTRY, TERM, value)
+    parts, batches = [current], [write_table(send(current), partition_by="_dlv")]
     for level in range(1, max_level + 1):
         cur = tagged.where(F.col("_lv") == level).select(ENTRY, TERM, value)
-        # each level's values are read by all later levels: materialise them
-        # (persisted; the union is cut with a reliable checkpoint every few levels)
-        new = step(level, cur, done).persist()
-        new.count()
-        done = done.unionByName(new)
-        if level % checkpoint_every == 0:
-            done = cut_lineage(done)
-    return done
+        msgs = None
+        for b in batches:
+            x = b.where(F.col("_dlv") == level).select(ENTRY, TERM, "_mv")
+            msgs = x if msgs is None else msgs.unionByName(x)
+        # every level is cut to a checkpointed leaf: later levels reference it
+        # many times, and an uncut plan would grow with each level
+        new = write_table(combine(cur, msgs))
+        parts.append(new)
+        if level < max_level:
+            batches.append(write_table(send(new), partition_by="_dlv"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def propagate_fill(scores: DataFrame, edges: DataFrame, terms: DataFrame, value: str = "prob",
                    levels: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Children first; a cell with s = 0 receives the max of its children's
-    already filled values, a non-zero cell keeps its own value (blocks)."""
+    already filled values, a non-zero cell keeps its own value (blocks).
+    Levels are heights (leaves 0); filled values travel child -> parent."""
     s = clip_scores(scores, value)
     lv, max_level = levels or term_levels(terms, edges, direction="up")
-    e = broadcast_if_small(edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")))
-    lvb = broadcast_if_small(lv.select(F.col(TERM).alias("_pt"), F.col("level").alias("_plv")))
-    # every cell that can be filled: (entry, parent-of-a-present-cell) at the parent's level
-    candidates = s
-
-    lv_p = lv.select(F.col(TERM).alias("_pp"), F.col("level").alias("_pl"))
-    edge_lv = edges.select(F.col("child").alias(TERM), F.col("parent").alias("_pp")).join(lv_p, "_pp")
-
-    def step(level, cur, done):
-        children = F.broadcast(edge_lv.where(F.col("_pl") == level).select(TERM).distinct())
-        from_children = (done.join(children, TERM, "left_semi").join(e, F.col(TERM) == F.col("_c"))
-                         .join(lvb.where(F.col("_plv") == level), F.col("_p") == F.col("_pt"))
-                         .groupBy(ENTRY, F.col("_p").alias(TERM)).agg(F.max(value).alias("_fill")))
-        own = cur.select(F.col(ENTRY).alias("_e2"), F.col(TERM).alias("_t2"), F.col(value).alias("_own"))
-        j = from_children.join(own, (F.col(ENTRY) == F.col("_e2")) & (F.col(TERM) == F.col("_t2")), "full")
-        return (j.select(F.coalesce(ENTRY, "_e2").alias(ENTRY), F.coalesce(TERM, "_t2").alias(TERM),
-                         F.when(F.coalesce(F.col("_own"), F.lit(0.0)) != 0, F.col("_own"))
+    route = edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+
+    def combine(cur, msgs):
+        m = msgs.groupBy(ENTRY, TERM).agg(F.max("_mv").alias("_fill"))
+        j = cur.join(m, [ENTRY, TERM], "full")
+        return (j.select(ENTRY, TERM, F.when(F.coalesce(F.col(value), F.lit(0.0)) != 0, F.col(value))
                          .otherwise(F.col("_fill")).alias(value))
                 .where(F.col(value) != 0))
 
-    return _level_loop(candidates, lv, max_level, step, value)
+    return _message_loop(s, lv, max_level, route, combine, value)
 
 
 def conditional_to_marginal(scores: DataFrame, edges: DataFrame, terms: DataFrame,
@@ -423,27 +437,18 @@ def conditional_to_marginal(scores: DataFrame, edges: DataFrame, terms: DataFram
     """
     s = scores.select(ENTRY, TERM, value)
     lv, max_level = levels or term_levels(terms, edges, direction="down")
-    e = broadcast_if_small(edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")))
+    route = edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
     n_par = broadcast_if_small(edges.groupBy(F.col("child").alias("_c2")).agg(F.count("*").alias("_np")))
     keep = None if only_terms is None else broadcast_if_small(only_terms.select(F.col(TERM).alias("_k")).distinct())
 
-    lv_c = lv.select(F.col(TERM).alias("_c"), F.col("level").alias("_cl"))
-    edge_lv = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_pt")).join(lv_c, "_c")
-
-    def step(level, cur, done):
-        # only the values of parents of this level's terms are shuffled
-        parents = F.broadcast(edge_lv.where(F.col("_cl") == level).select("_pt").distinct())
-        d = (done.select(F.col(ENTRY).alias("_e"), F.col(TERM).alias("_pt"), F.col(value).alias("_pv"))
-             .join(parents, "_pt", "left_semi"))
-        j = (cur.join(e, F.col(TERM) == F.col("_c"))
-             .join(d, (F.col(ENTRY) == d._e) & (F.col("_p") == d._pt), "left"))
+    def combine(cur, msgs):
+        j = cur.join(msgs, [ENTRY, TERM], "left")
         if mode == "any":
-            agg = j.groupBy(ENTRY, TERM, value).agg(
-                F.product(1 - F.coalesce("_pv", F.lit(0.0))).alias("_q"))
+            agg = j.groupBy(ENTRY, TERM, value).agg(F.product(1 - F.coalesce("_mv", F.lit(0.0))).alias("_q"))
             new = agg.select(ENTRY, TERM, (F.col(value) * (1 - F.col("_q"))).alias("_new"), F.col(value).alias("_old"))
         elif mode == "all":
             agg = (j.groupBy(ENTRY, TERM, value)
-                   .agg(F.product(F.coalesce("_pv", F.lit(0.0))).alias("_q"), F.count("_pv").alias("_m"))
+                   .agg(F.product(F.coalesce("_mv", F.lit(0.0))).alias("_q"), F.count("_mv").alias("_m"))
                    .join(n_par, F.col(TERM) == F.col("_c2")))
             new = agg.select(ENTRY, TERM, F.when(F.col("_m") == F.col("_np"), F.col(value) * F.col("_q"))
                              .otherwise(F.lit(0.0)).alias("_new"), F.col(value).alias("_old"))
@@ -455,7 +460,7 @@ def conditional_to_marginal(scores: DataFrame, edges: DataFrame, terms: DataFram
                 "_old")
         return new.select(ENTRY, TERM, F.col("_new").alias(value)).where(F.col(value) != 0)
 
-    return _level_loop(s, lv, max_level, step, value)
+    return _message_loop(s, lv, max_level, route, combine, value)
 
 
 def suppress_children(scores: DataFrame, edges: DataFrame, terms: DataFrame,
@@ -463,28 +468,20 @@ def suppress_children(scores: DataFrame, edges: DataFrame, terms: DataFrame,
                       levels: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Top-down; when the max over a term's parents (already processed,
     missing = 0) is below ``threshold``, the term's score is multiplied by that
-    max.  ``threshold = 0`` changes nothing."""
+    max.  ``threshold = 0`` changes nothing.  Terms without parents keep s."""
     s = scores.select(ENTRY, TERM, value)
     if threshold <= 0:
         return s
     lv, max_level = levels or term_levels(terms, edges, direction="down")
-    e = broadcast_if_small(edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")))
-
-    lv_c = lv.select(F.col(TERM).alias("_c"), F.col("level").alias("_cl"))
-    edge_lv = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_pt")).join(lv_c, "_c")
+    route = edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
 
-    def step(level, cur, done):
-        parents = F.broadcast(edge_lv.where(F.col("_cl") == level).select("_pt").distinct())
-        d = (done.select(F.col(ENTRY).alias("_e"), F.col(TERM).alias("_pt"), F.col(value).alias("_pv"))
-             .join(parents, "_pt", "left_semi"))
-        j = (cur.join(e, F.col(TERM) == F.col("_c"))
-             .join(d, (F.col(ENTRY) == d._e) & (F.col("_p") == d._pt), "left")
-             .groupBy(ENTRY, TERM, value).agg(F.max(F.coalesce("_pv", F.lit(0.0))).alias("_mp")))
+    def combine(cur, msgs):
+        j = (cur.join(msgs, [ENTRY, TERM], "left")
+             .groupBy(ENTRY, TERM, value).agg(F.max(F.coalesce("_mv", F.lit(0.0))).alias("_mp")))
         return j.select(ENTRY, TERM, F.when(F.col("_mp") < threshold, F.col(value) * F.col("_mp"))
                         .otherwise(F.col(value)).alias(value)).where(F.col(value) != 0)
 
-    # terms without parents (level 0) keep their value
-    return _level_loop(s, lv, max_level, step, value)
+    return _message_loop(s, lv, max_level, route, combine, value)
 
 
 def neighbour_aggregate(features: DataFrame, edges: DataFrame, direction: str = "bwd",
