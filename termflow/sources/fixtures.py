@@ -3,19 +3,20 @@
 The annotation model is a long fact table ``(entry, term, value)`` over a term
 DAG.  The driver ships TPC-H-like tables, so every input of the library is
 derived from them with plain column expressions (the same expressions appear in
-the DuckDB oracles in ``termflow.plans.oracle``):
+the DuckDB oracle SQL in ``termflow.plans.common``):
 
 * term / namespace     ``part``: term = p_partkey, namespace = p_partkey % 3
 * DAG edges            child p (i = p div 3 >= 1) has parents
                        3*(i div 2) + p%3 and 3*(i div 3) + p%3
 * term weight (IA)     p_retailprice / 1000, roots (i = 0) weigh 0
 * annotations          distinct (l_orderkey, l_partkey) with l_returnflag = 'R'
-* predictions A / B    max(l_discount*10) / max(l_quantity/50) per pair
+* predictions A / B    max(l_discount*10) / max(l_quantity/50) per pair;
+                       raw scores |l_tax|*10 per line item (with repeats)
 * negatives            l_linestatus = 'O' and l_linenumber = 1
-* snapshots            lineitem shipped before 1999-01-01 (old) / 2000-01-01 (new)
+* snapshots            lineitem shipped before 1999 (old) / in [1996, 2000) (new)
 * evidence code        l_returnflag || l_linestatus
 * taxonomy             order -> customer nation; lineage nation -> region
-* interaction graph    supplier-part pairs weighted by max(l_quantity)
+* interaction graph    part-supplier links weighted by l_quantity
 * id mapping           supplier -> nation
 * hit table            lineitem as (query=order, target=part) alignment hits
 
@@ -64,7 +65,6 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     the key of ``part``).
     """
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("child"))
-    i = F.expr("child div 3")
     ns = F.col("child") % 3
     return (
         p.where(F.expr("child div 3") >= 1)
