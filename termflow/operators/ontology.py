@@ -145,7 +145,7 @@ def closure_and_levels(edges: DataFrame, terms: DataFrame, checkpoint_every: int
     e_join = broadcast_if_small(e.select(F.col("child").alias("_c"), F.col("parent").alias("_p")), rows=e_rows)
     layer = cut_lineage(e.select("child", F.col("parent").alias("ancestor")))
     n_terms = terms.count()
-    layers, r = [], 1
+    layers, cached, r = [], [], 1
     while True:
         if layer.count() == 0:
             break
@@ -156,7 +156,11 @@ def closure_and_levels(edges: DataFrame, terms: DataFrame, checkpoint_every: int
                .select("child", F.col("_p").alias("ancestor")).distinct())
         # persisted layers are recomputed from a short lineage if an executor
         # is lost; every few rounds the lineage is cut with a reliable checkpoint
-        layer = cut_lineage(nxt) if r % checkpoint_every == 0 else nxt.persist()
+        if r % checkpoint_every == 0:
+            layer = cut_lineage(nxt)
+        else:
+            layer = nxt.persist()
+            cached.append(layer)
         r += 1
     max_len = r - 1
     spark = terms.sparkSession
@@ -167,6 +171,8 @@ def closure_and_levels(edges: DataFrame, terms: DataFrame, checkpoint_every: int
     else:
         allp = spark.createDataFrame([], "child long, ancestor long, _r int")
     allp = cut_lineage(allp)
+    for x in cached:
+        x.unpersist()
     clo_df = allp.select("child", "ancestor").distinct().persist()
     t = terms.select(TERM)
     depth = (t.join(allp.groupBy(F.col("child").alias(TERM)).agg(F.max("_r").alias("_d")), TERM, "left")
