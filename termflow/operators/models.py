@@ -7,7 +7,7 @@ only the fitted coefficients (labels x features) reach the driver.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,20 @@ def fit_multilabel_logreg(features: DataFrame, labels: DataFrame, alpha: float =
     return models
 
 
+def fit_multilabel_gbt(features: DataFrame, labels: DataFrame, label_ids: list, max_iter: int = 20,
+                      max_depth: int = 4, seed: int = 42, vec: str = "vec") -> dict:
+    """M2: boosted trees for the selected labels, each trained on the rows
+    whose label is not null (MLlib GBT: trees are grown from distributed
+    histogram aggregates)."""
+    x = features.select("entry", array_to_vector(vec).alias("features"))
+    models = {}
+    for lid in label_ids:
+        d = (labels.where(F.col("label_id") == lid).select("entry", F.col("y").cast("double").alias("label"))
+             .join(x, "entry"))
+        models[lid] = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed).fit(d)
+    return models
+
+
 def score_multilabel(models: dict, features: DataFrame, vec: str = "vec") -> DataFrame:
     """M3: batch scoring of every entry by every label model -> long
     (entry, label_id, prob); runs as MLlib transforms (JVM side)."""

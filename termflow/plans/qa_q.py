@@ -132,3 +132,12 @@ def m1_m3_multilabel_logreg(s, d):
         "entry", "label_id", (F.col("label") == F.col("label_id")).cast("int").alias("y"))
     models = md.fit_multilabel_logreg(e.select("entry", "vec"), labels, alpha=1e-2, max_iter=30)
     return md.score_multilabel(models, e.select("entry", "vec")).select("entry", "label_id", r6("prob").alias("prob"))
+
+
+@register("m2_gbt_selected_labels")
+def m2_gbt_selected_labels(s, d):
+    e = fx.embeddings(s, d)
+    labels = e.select("entry", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("label_id"), "label").select(
+        "entry", "label_id", (F.col("label") == F.col("label_id")).cast("int").alias("y"))
+    models = md.fit_multilabel_gbt(e.select("entry", "vec"), labels, [0, 1, 2], max_iter=10, max_depth=3)
+    return md.score_multilabel(models, e.select("entry", "vec")).select("entry", "label_id", r6("prob").alias("prob"))
