@@ -348,7 +348,7 @@ def ternary_labels(positives: DataFrame, entries: DataFrame, edges: DataFrame,
     parent of t is positive; its label is 1 if (entry, t) is positive else 0.
     ``positives`` should already be propagated (G7) for the usual targets.
     """
-    p = positives.select(ENTRY, TERM).distinct()
+    p = positives.select(ENTRY, TERM)
     e = broadcast_if_small(edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")))
     cand_children = p.join(e, F.col(TERM) == F.col("_p")).select(ENTRY, F.col("_c").alias(TERM))
     # one root per namespace: a bounded list, so it is exploded per entry
@@ -357,12 +357,15 @@ def ternary_labels(positives: DataFrame, entries: DataFrame, edges: DataFrame,
         raise ValueError("more roots than namespaces expected")
     cand_roots = entries.select(ENTRY).distinct().select(
         ENTRY, F.explode(F.array(*[F.lit(r) for r in root_ids])).alias(TERM))
-    cand = cand_children.unionByName(cand_roots).distinct()
-    pos = p.withColumn("_pos", F.lit(1))
+    # candidates and positives meet in a single aggregate (one shuffle on the
+    # cell key) instead of a distinct followed by a join
+    flags = (cand_children.unionByName(cand_roots).select(ENTRY, TERM, F.lit(1).alias("_cand"), F.lit(0).alias("_pos"))
+             .unionByName(p.select(ENTRY, TERM, F.lit(0).alias("_cand"), F.lit(1).alias("_pos"))))
+    cells = (flags.groupBy(ENTRY, TERM).agg(F.max("_cand").alias("_cand"), F.max("_pos").alias("_pos"))
+             .where(F.col("_cand") == 1))
     t = broadcast_if_small(terms.select(F.col(TERM).alias("_t"), F.col("namespace")))
-    return (cand.join(pos, [ENTRY, TERM], "left")
-            .join(t, F.col(TERM) == t._t)
-            .select(ENTRY, TERM, "namespace", F.coalesce("_pos", F.lit(0)).cast("tinyint").alias("label")))
+    return (cells.join(t, F.col(TERM) == t._t)
+            .select(ENTRY, TERM, "namespace", F.col("_pos").cast("tinyint").alias("label")))
 
 
 # ---------------------------------------------------------------- level form
