@@ -45,11 +45,10 @@ def _out(df, value="prob"):
     return df.select("entry", "term", r6(value).alias(value))
 
 
-@register("j4_full_blend", sql(HIGH_A.replace("high_a", "ha"), PRED_A, PRED_B, HIGH_A, HIGH_B, body="""
+@register("j4_full_blend", sql(PRED_A, PRED_B, HIGH_A, HIGH_B, body="""
 SELECT coalesce(a.entry, b.entry) AS entry, coalesce(a.term, b.term) AS term,
        round(0.6 * coalesce(a.prob, 0) + 0.4 * coalesce(b.prob, 0), 6) AS prob
-FROM high_a a FULL JOIN high_b b ON a.entry = b.entry AND a.term = b.term""").replace(
-    "WITH RECURSIVE ha AS (SELECT * FROM pred_a WHERE prob >= 0.5),\n", "WITH RECURSIVE "))
+FROM high_a a FULL JOIN high_b b ON a.entry = b.entry AND a.term = b.term"""))
 def j4_full_blend(s, d):
     return _out(pr.full_blend(_high(_a(s, d)), _high(_b(s, d)), 0.6, 0.4))
 
