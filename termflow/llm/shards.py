@@ -118,22 +118,22 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(frames):
         c = codec(path)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         part = None
         docs_, counts, ids, size, file = [], [], [], 0, 0
 
         def close():
-            image = write_image(docs_, counts, np.frombuffer(b"".join(ids), "<u4"), block, bits)
+            image = write_image(docs_, counts, np.concatenate(ids), block, bits)
             return pd.DataFrame({"part": [part], "file": [file], "n_ids": [size], "image": [image]})
 
         for f in frames:
-            for doc, text, p in zip(f["doc_id"].astype("object").where(f["doc_id"].notna(), None), f["text"], f["part"]):
+            known = f["doc_id"].astype("object").where(f["doc_id"].notna(), None)
+            for doc, got, p in zip(known, c.encode_many(f["text"].tolist()), f["part"]):
                 part = p
-                raw = c.encode(text) + end
                 docs_.append(doc)
-                counts.append(len(raw) // 4)
-                ids.append(raw)
-                size += len(raw) // 4
+                counts.append(len(got) + 1)
+                ids += [got, end]
+                size += len(got) + 1
                 if size >= file_ids:
                     yield close()
                     docs_, counts, ids, size, file = [], [], [], 0, file + 1

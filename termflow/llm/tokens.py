@@ -17,15 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import query, table, text_of
+from .common import mix64, query, table, text_of
 
 #: Entries and bytes up to which a worker keeps encoded pieces and chunk bodies.
-MAX_PIECES = 400_000
+MAX_PIECES = 600_000
 MAX_CHUNK_BYTES = 32 << 20
 CHUNK_BITS = 9  # a chunk has 2^9 characters on average
-#: A pre-token always starts at a single blank between two characters that are not white space.
-AGREED = re.compile(r"(?<=\S) (?=\S)")
-
+SLICE_BYTES = 4 << 20  # text taken through the arrays at once
+LONG_PIECE = 64  # pieces of more bytes are not kept
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -40,46 +39,134 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BLANK, _LETTER, _POINT = (np.isin(np.arange(256), [*x]) for x in (b" \t\n\x0b\x0c\r", range(65, 91), b",.;:!?"))
+_LETTER |= np.isin(np.arange(256), range(97, 123))
+_BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64))
+_POWERS = np.cumprod(np.full(LONG_PIECE, _MIX, np.uint64))
+
+
 class Codec:
-    """Encodes as the tokenizers library does; one per Python worker and vocabulary."""
+    """Encodes as the tokenizers library does; one per Python worker and vocabulary.
+
+    A pre-token always starts where white space follows something else, and
+    where a point follows a letter, so a text falls into pieces that are
+    encoded apart with the same ids.  Arrays find the different pieces of many
+    texts at once; each is encoded once and its ids are gathered for every place.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces: dict[str, bytes | None] = {}
+        self.model = self.tokenizer.model
         values = byte_values()
+        self.letters = {v: c for c, v in values.items()}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         strings = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            strings[i] = token.encode() if token in special else bytes(values[c] for c in token)
+            strings[i] = token.encode() if token in self.special else bytes(values[c] for c in token)
         self.lengths = np.array([len(x) for x in strings], np.int64)
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
         self.bytes = np.frombuffer(b"".join(strings), np.uint8)
-
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.pieces) + len(missing) > MAX_PIECES:
-            self.pieces.clear()
-        for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            self.pieces[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
-
-        The text is cut before blanks where a pre-token must start; a piece that
-        was seen before is looked up, the others go to the tokenizers library."""
-        if not text:
-            return b""
-        parts = AGREED.split(text)
-        keys = [parts[0], *[" " + p for p in parts[1:]]]
-        got = list(map(self.pieces.get, keys))
-        if None in got:
-            self._learn(list({k for k, g in zip(keys, got) if g is None}))
-            got = list(map(self.pieces.get, keys))
-            if None in got:  # more new pieces than the table holds
-                got = [g if g is not None else np.array(self.tokenizer.encode(k, add_special_tokens=False).ids, "<u4").tobytes() for k, g in zip(keys, got)]
-        return b"".join(got)
+        self.written = str.maketrans({chr(v): c for v, c in self.letters.items()})
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot_of: dict[int, int] = {}
+        self.n_slots = 0
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        self.at = np.zeros(1 << 14, np.int64)
+        self.count = np.zeros(1 << 14, np.int64)
+
+    def _word(self, piece: str) -> list[int]:
+        """Ids of one piece: a plain word is one pre-token and goes to the model of the
+        tokenizers library as it stands, any other piece through its whole encoder."""
+        bare = piece[1:] if piece[:1] == " " else piece
+        if bare.isalpha() and max(bare) < "\u0250" or bare in (".", ",") and bare == piece:
+            return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.written))]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def _keep(self, hashes: list[int], pieces: list[str]) -> None:
+        got = [self._word(p) for p in pieces]
+        flat = np.array([i for g in got for i in g], np.uint32)
+        counts = np.array([len(g) for g in got], np.int64)
+        first = self.n_slots
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        while first + len(counts) > len(self.at):
+            self.at, self.count = np.r_[self.at, np.zeros_like(self.at)], np.r_[self.count, np.zeros_like(self.count)]
+        self.ids[self.used:self.used + len(flat)] = flat
+        self.at[first:first + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.count[first:first + len(counts)] = counts
+        self.used += len(flat)
+        self.n_slots += len(counts)
+        self.slot_of.update(zip(hashes, range(first, first + len(counts))))
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (uint32) of each text."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        held, size = [], 0
+        for k, text in enumerate(texts):
+            if any(x in text for x in self.special):  # a special token splits a text before all else
+                out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                continue
+            raw = text.encode("utf-8", "surrogatepass")
+            if raw:
+                held.append((k, raw))
+                size += len(raw)
+            if size >= SLICE_BYTES:
+                self._slice(held, out)
+                held, size = [], 0
+        if held:
+            self._slice(held, out)
+        return out
+
+    def _slice(self, held: list[tuple[int, bytes]], out: list[np.ndarray]) -> None:
+        raw = b"".join(x for _, x in held)
+        b = np.frombuffer(raw, np.uint8)
+        first = np.cumsum([0, *[len(x) for _, x in held]])
+        blank = _BLANK[b]
+        cut = np.empty(len(b), bool)
+        cut[0] = True
+        # beyond ASCII only two-byte characters are known to be no white space here (C2 may be)
+        lead = np.zeros(len(b), bool)
+        lead[2:] = (b[:-2] >= 0xC3) & (b[:-2] <= 0xDF)
+        solid = (b < 0x80) & (b > 0x20) & (b != 0x7F) | (b >= 0x80) & np.r_[lead[1:], False]
+        cut[1:] = blank[1:] & solid[:-1] | _POINT[b[1:]] & _LETTER[b[:-1]]
+        cut[first[:-1]] = True
+        start = np.flatnonzero(cut)
+        end = np.r_[start[1:], len(b)]
+        n = end - start
+        place = np.arange(len(b), dtype=np.int64) - np.repeat(start, n)
+        h = np.add.reduceat(_BYTE_HASH[b] * _POWERS[np.minimum(place, LONG_PIECE - 1)], start)
+        h = mix64(h + n.astype(np.uint64))
+        h[n > LONG_PIECE] = mix64(np.flatnonzero(n > LONG_PIECE).astype(np.uint64)) | np.uint64(1)  # on its own
+        kinds, where, which = np.unique(h, return_index=True, return_inverse=True)
+        if self.n_slots + len(kinds) > MAX_PIECES:
+            self.clear()
+        keys = kinds.tolist()
+        long = n[where] > LONG_PIECE
+        slots = list(map(self.slot_of.get, keys))
+        new = [i for i, s in enumerate(slots) if s is None or long[i]]
+        if new:
+            self._keep([keys[i] for i in new], [raw[start[where[i]]:end[where[i]]].decode("utf-8", "surrogatepass") for i in new])
+            for i in new:
+                slots[i] = self.slot_of[keys[i]]
+        slot = np.array(slots, np.int64)[which]
+        count = self.count[slot]
+        ends = np.cumsum(count)
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.at[slot] - (ends - count), count)]
+        bounds = np.r_[0, ends][np.searchsorted(start, first)]
+        for (k, _), i, j in zip(held, bounds, bounds[1:]):
+            out[k] = ids[i:j]
+        for i in np.flatnonzero(long):
+            self.slot_of.pop(keys[i], None)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -102,9 +189,6 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
 def chunk_cuts(text: str, bits: int = CHUNK_BITS) -> list[int]:
     """Places (in characters) after which a rolling hash of the last 16 characters has ``bits`` zero bits."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -118,49 +202,74 @@ def chunk_cuts(text: str, bits: int = CHUNK_BITS) -> list[int]:
     return at[at < len(points)].tolist()
 
 
+#: Where a pre-token must start, as in the codec: a body lies between two such places.
+AGREED = re.compile(r"(?<=[!-~]) ")
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk; bodies of chunks are kept and shared by the documents of a worker."""
 
     def __init__(self, codec_: Codec, bits: int = CHUNK_BITS):
         self.codec, self.bits = codec_, bits
-        self.bodies: dict[str, tuple[int, int, bytes]] = {}
+        self.bodies: dict[str, tuple[int, int, np.ndarray]] = {}
         self.held = 0
         self.reused = 0
 
-    def _body(self, chunk: str) -> tuple[int, int, bytes] | None:
-        """(start, end, ids) of what lies between the first and the last agreed place of a chunk."""
-        if chunk in self.bodies:
-            self.reused += 1
-            return self.bodies[chunk]
+    @staticmethod
+    def body_of(chunk: str) -> tuple[int, int] | None:
+        """(start, end) of what lies between the first and the last agreed place of a chunk."""
         first = AGREED.search(chunk)
-        body = None
-        if first:
-            last = max(m.start() for m in AGREED.finditer(chunk))
-            if last > first.start():
-                body = (first.start(), last, self.codec.encode(chunk[first.start():last]))
-        size = len(chunk) + (len(body[2]) if body else 0)
-        if self.held + size > MAX_CHUNK_BYTES:
+        if not first:
+            return None
+        last = chunk.rfind(" ")
+        while last > first.start() and not "!" <= chunk[last - 1] <= "~":
+            last = chunk.rfind(" ", 0, last)
+        return (first.start(), last) if last > first.start() else None
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text: bodies of chunks that were met before are looked up, the new
+        ones and the windows over the joins are encoded together."""
+        if self.held > MAX_CHUNK_BYTES:
             self.bodies.clear()
             self.held = 0
-        self.bodies[chunk] = body
-        self.held += size
-        return body
-
-    def encode(self, text: str) -> bytes:
-        cuts = [0, *chunk_cuts(text, self.bits), len(text)]
-        out, done = [], 0  # text[:done] is encoded
-        for start, end in zip(cuts, cuts[1:]):
-            body = self._body(text[start:end])
-            if body is None:  # no agreed place: the window over the join grows
+        todo: list[str] = []
+        fresh: dict[str, tuple[int, int, int]] = {}  # chunk -> its body's place, number in todo
+        plans = []
+        for text in texts:
+            plan: list = []
+            if any(x in text for x in self.codec.special):  # special tokens split a text first: one window
+                plan.append(len(todo))
+                todo.append(text)
+                plans.append(plan)
                 continue
-            first, last, ids = body
-            if start + first > done:
-                out.append(self.codec.encode(text[done:start + first]))  # the join, encoded again
-            out.append(ids)
-            done = start + last
-        if done < len(text):
-            out.append(self.codec.encode(text[done:]))
-        return b"".join(out)
+            cuts = [0, *chunk_cuts(text, self.bits), len(text)]
+            done = 0  # text[:done] is planned
+            for start, end in zip(cuts, cuts[1:]):
+                chunk = text[start:end]
+                body = self.bodies.get(chunk) or fresh.get(chunk)
+                if body is None:
+                    span = self.body_of(chunk)
+                    if span is None:  # no agreed place: the window over the join grows
+                        continue
+                    body = fresh[chunk] = (*span, len(todo))
+                    todo.append(chunk[span[0]:span[1]])
+                else:
+                    self.reused += 1
+                first, last, ids = body
+                if start + first > done:
+                    plan.append(len(todo))
+                    todo.append(text[done:start + first])  # the join, encoded again
+                plan.append(ids)
+                done = start + last
+            if done < len(text):
+                plan.append(len(todo))
+                todo.append(text[done:])
+            plans.append(plan)
+        got = self.codec.encode_many(todo)
+        for chunk, (first, last, k) in fresh.items():
+            self.bodies[chunk] = (first, last, got[k].copy())
+            self.held += 2 * len(chunk) + got[k].nbytes + 200
+        return [np.concatenate([got[x] if isinstance(x, int) else x for x in p]) if p else np.zeros(0, np.uint32) for p in plans]
 
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -180,10 +289,9 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         chunks = ChunkEncoder(c)
         for f in frames:
             rows = []
-            for text in f["text"]:
-                ids = chunks.encode(text)
-                back = c.decode(np.frombuffer(ids, "<u4"))
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+            for ids in chunks.encode_many(f["text"].tolist()):
+                back = c.decode(ids)
+                rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
             got = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             got.insert(0, "doc_id", f["doc_id"].astype("Int64"))
             yield got
@@ -200,7 +308,7 @@ def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         chunks = ChunkEncoder(codec(path))
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"),
-                                "ids": [np.frombuffer(chunks.encode(t), "<u4").astype(np.int32) for t in f["text"]]})
+                                "ids": [x.astype(np.int32) for x in chunks.encode_many(f["text"].tolist())]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return rows.mapInPandas(run, "doc_id long, ids array<int>")
