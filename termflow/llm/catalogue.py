@@ -3,6 +3,7 @@
 from . import (  # noqa: F401  (registers)
     licences,
     mixture,
+    near_dedup,
     quality,
     shards,
     tokens,
