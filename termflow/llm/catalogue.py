@@ -6,6 +6,7 @@ from . import (  # noqa: F401  (registers)
     near_dedup,
     quality,
     shards,
+    suffix,
     tokens,
 )
 from .common import ORACLES, QUERIES

@@ -7,6 +7,7 @@ import functools
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.session import write_table
+from termflow.session import ensure_checkpoint_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -70,7 +71,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a restart point
     that survives lost executors, and a plain scan for the plans above it."""
-    return write_table(df)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_of(name: str = "text") -> Column:
