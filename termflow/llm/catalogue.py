@@ -1,6 +1,7 @@
 """All queries of the subpackage and their DuckDB SQL."""
 
 from . import (  # noqa: F401  (registers)
+    forest,
     licences,
     mixture,
     near_dedup,
