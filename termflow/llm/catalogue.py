@@ -1,7 +1,9 @@
 """All queries of the subpackage and their DuckDB SQL."""
 
 from . import (  # noqa: F401  (registers)
+    chat,
     forest,
+    html,
     licences,
     mixture,
     near_dedup,
