@@ -245,6 +245,29 @@ def compare_buckets(open_rows: DataFrame, sets: DataFrame, percent: int, block:
     return full.repartition("place").sortWithinPartitions("place").mapInPandas(run, "a long, b long")
 
 
+def gathered(open_rows: DataFrame, block: int) -> DataFrame:
+    """``open_rows`` with large buckets that overlap put together where that is cheaper.
+
+    One large group of near copies fills a large bucket in every band.  Compared once
+    as a whole it costs the square of its size, bucket by bucket the sum of the
+    buckets' squares; each cluster of overlapping buckets takes the cheaper way."""
+    large = open_rows.where(F.col("size") > block)
+    if large.isEmpty():
+        return open_rows
+    per = large.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n"))
+    large = store(large.join(store(per), "bucket"))
+    cluster = store(components(large.select(F.col("first").alias("a"), F.col("node").alias("b"))))
+    of = cluster.select(F.col("node").alias("first"), F.col("root").alias("cluster"))
+    apart = large.select("bucket", "first", "n").distinct().join(of, "first").groupBy("cluster").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    whole = cluster.groupBy(F.col("root").alias("cluster")).agg(F.count("*").alias("size"))
+    plan = store(whole.join(apart, "cluster").where(F.col("size").cast("double") * F.col("size") < F.col("apart")).select("cluster", "size"))
+    at_once = (cluster.withColumnRenamed("root", "cluster").join(plan, "cluster")
+               .join(large.groupBy("node").agg(F.first("root").alias("root")), "node")
+               .select(F.xxhash64("cluster", F.lit("cluster")).alias("bucket"), "node", "size", "root"))
+    done = large.select("bucket", "first").distinct().join(of, "first").join(plan, "cluster").select("bucket")
+    return open_rows.join(done, "bucket", "left_anti").unionByName(at_once)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -276,8 +299,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     state = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"),
                                      F.sum(F.xxhash64("node").cast("decimal(30,0)")).alias("who"))
     still = store(state.where("lo <> hi").groupBy("c", "who").agg(F.min("bucket").alias("bucket")).select("bucket"))
-    at = store(at)
-    more = compare_buckets(at.join(still, "bucket", "left_semi"), sets, percent, block)
+    at = store(at.join(still, "bucket", "left_semi"))
+    more = compare_buckets(gathered(at, block), sets, percent, block)
     labels = components(links.unionByName(store(more)))
 
     rep = classes.select("node", "fp", "rep")
