@@ -81,6 +81,16 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+KEY = "__row_key"
+
+
+def with_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with a unique row key: the id, or, where ids repeat or are missing
+    anywhere, a number in scan order (the same for every reading of stored rows)."""
+    n, known, kinds = docs.select(F.col(id_col).alias("i")).agg(F.count(F.lit(1)), F.count("i"), F.count_distinct("i")).first()
+    return docs.withColumn(KEY, F.col(id_col).cast("long") if n == known == kinds else F.monotonically_increasing_id())
+
+
 def words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8."""
     return text.encode("utf-8", "surrogatepass").split()
