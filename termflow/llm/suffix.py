@@ -228,7 +228,7 @@ def common_prefixes(b: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     left = np.empty(n, np.int64)
     left[sa[0]] = -1
     left[sa[1:]] = sa[:-1]
-    start = np.flatnonzero((left <= 0) | (np.arange(n) == 0) | (b[np.arange(n) - 1] != b[left - 1]))
+    start = np.flatnonzero((left <= 0) | (np.arange(n) == 0) | (b[np.arange(n) - 1] != b[np.maximum(left - 1, 0)]))
     have = np.zeros(len(start), np.int64)
     live = np.flatnonzero(left[start] >= 0)
     while len(live):
