@@ -33,12 +33,14 @@ def fit_multilabel_logreg(features: DataFrame, labels: DataFrame, alpha: float =
     return models
 
 
-def fit_multilabel_gbt(features: DataFrame, labels: DataFrame, label_ids: list, max_iter: int = 20,
+def fit_multilabel_gbt(features: DataFrame, labels: DataFrame, label_ids: list | None = None, max_iter: int = 20,
                       max_depth: int = 4, seed: int = 42, vec: str = "vec") -> dict:
-    """M2: boosted trees for the selected labels, each trained on the rows
+    """M2: boosted trees for the selected labels (default: every label of the table), each trained on the rows
     whose label is not null (MLlib GBT: trees are grown from distributed
     histogram aggregates)."""
     x = features.select("entry", array_to_vector(vec).alias("features"))
+    if label_ids is None:
+        label_ids = [r[0] for r in labels.select("label_id").distinct().orderBy("label_id").collect()]
     models = {}
     for lid in label_ids:
         d = (labels.where(F.col("label_id") == lid).select("entry", F.col("y").cast("double").alias("label"))

@@ -24,10 +24,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_MAX_ROWS, broadcast_if_small, cut_lineage, write_table
+from ..session import broadcast_if_small, cut_lineage, write_table
 
 ENTRY, TERM = "entry", "term"
-MAX_ROOTS = 64
 
 
 # ------------------------------------------------------------------ graph build
@@ -95,14 +94,14 @@ class Closure:
         return broadcast_if_small(self.reflexive(terms), rows=self.rows + terms.count())
 
 
-def closure(edges: DataFrame, checkpoint_every: int = 1, max_rounds: int = 10_000) -> Closure:
+def closure(edges: DataFrame, checkpoint_every: int = 1) -> Closure:
     """Transitive closure of child->parent edges by a semi-naive loop.
 
     ``delta`` holds the pairs first found in the previous round; each round
     extends them by one edge, removes known pairs, and stops when nothing new
     appears.  Rounds = longest path length.  A cycle would never stop adding
-    longer paths but *does* stop adding new pairs, so termination is
-    guaranteed; ``max_rounds`` is only a safety net.
+    longer paths but *does* stop adding new pairs, so the loop always ends with
+    the whole closure.
     """
     e = edges.select("child", "parent").distinct()
     e_rows = e.count()
@@ -110,7 +109,7 @@ def closure(edges: DataFrame, checkpoint_every: int = 1, max_rounds: int = 10_00
     known = cut_lineage(e.select("child", F.col("parent").alias("ancestor")))
     delta = known
     total, rounds = e_rows, 0
-    while rounds < max_rounds:
+    while True:
         rounds += 1
         step = (delta.join(e_join, delta.ancestor == e_join._c)
                 .select("child", F.col("_p").alias("ancestor")).distinct()
@@ -127,8 +126,7 @@ def closure(edges: DataFrame, checkpoint_every: int = 1, max_rounds: int = 10_00
     return Closure(known, total, rounds)
 
 
-def closure_and_levels(edges: DataFrame, terms: DataFrame, checkpoint_every: int = 4,
-                       max_rounds: int = 10_000):
+def closure_and_levels(edges: DataFrame, terms: DataFrame, checkpoint_every: int = 4):
     """G6 + G2/G3 in one loop: layer r holds the distinct (child, ancestor)
     pairs joined by a path of exactly r edges.
 
@@ -149,7 +147,7 @@ def closure_and_levels(edges: DataFrame, terms: DataFrame, checkpoint_every: int
     while True:
         if layer.count() == 0:
             break
-        if r > min(max_rounds, n_terms + 1):
+        if r > n_terms + 1:
             raise ValueError("the term graph has a cycle")
         layers.append(layer.withColumn("_r", F.lit(r)))
         nxt = (layer.join(e_join, layer.ancestor == e_join._c)
@@ -194,8 +192,7 @@ def ancestors(clo: Closure) -> DataFrame:
 
 # ------------------------------------------------------------------------ levels
 
-def term_levels(terms: DataFrame, edges: DataFrame, direction: str = "down",
-                max_rounds: int = 10_000) -> tuple[DataFrame, int]:
+def term_levels(terms: DataFrame, edges: DataFrame, direction: str = "down") -> tuple[DataFrame, int]:
     """(term, level) with level = longest path from a root
     (``direction='down'``, roots are 0) or to a leaf (``'up'``, leaves are 0).
 
@@ -213,7 +210,7 @@ def term_levels(terms: DataFrame, edges: DataFrame, direction: str = "down",
     rounds = 0
     while True:
         rounds += 1
-        if rounds > min(max_rounds, n_terms + 1):
+        if rounds > n_terms + 1:
             raise ValueError("the term graph has a cycle")
         cand = (changed.join(e, F.col(TERM) == F.col("_s"))
                 .groupBy(F.col("_d").alias(TERM)).agg((F.max("level") + 1).alias("_cand")))
@@ -351,12 +348,10 @@ def ternary_labels(positives: DataFrame, entries: DataFrame, edges: DataFrame,
     p = positives.select(ENTRY, TERM)
     e = broadcast_if_small(edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")))
     cand_children = p.join(e, F.col(TERM) == F.col("_p")).select(ENTRY, F.col("_c").alias(TERM))
-    # one root per namespace: a bounded list, so it is exploded per entry
-    root_ids = [r[0] for r in root_terms.select(TERM).limit(MAX_ROOTS + 1).collect()]
-    if len(root_ids) > MAX_ROOTS:
-        raise ValueError("more roots than namespaces expected")
-    cand_roots = entries.select(ENTRY).distinct().select(
-        ENTRY, F.explode(F.array(*[F.lit(r) for r in root_ids])).alias(TERM))
+    # every entry meets every root: the roots travel as one row that holds their list
+    root_list = root_terms.select(TERM).distinct().groupBy(F.lit(1).alias("_one")).agg(F.collect_list(TERM).alias("_roots"))
+    cand_roots = (entries.select(ENTRY).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(root_list), "_one")
+                  .select(ENTRY, F.explode("_roots").alias(TERM)))
     # candidates and positives meet in a single aggregate (one shuffle on the
     # cell key) instead of a distinct followed by a join
     flags = (cand_children.unionByName(cand_roots).select(ENTRY, TERM, F.lit(1).alias("_cand"), F.lit(0).alias("_pos"))

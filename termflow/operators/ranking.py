@@ -105,14 +105,14 @@ def moving_average(df: DataFrame, order: str, tie: str, value: str, width: int)
                                              F.avg(value).over(w.rowsBetween(-(width - 1), 0)))))
 
 
-def select_labels(freq: DataFrame, term: str, score: str, k: int, group: str | None = None,
+def select_labels(freq: DataFrame, term: str, score: str, k: int | None, group: str | None = None,
                   min_freq: int | None = None, freq_col: str = "n", skip_top: int = 0) -> DataFrame:
     """Label selection -- optional min-frequency filter, then ranks
-    ``skip_top+1 .. k`` by ``score`` (ties by term), globally or per ``group``."""
+    ``skip_top+1 .. k`` (None: to the last) by ``score`` (ties by term), globally or per ``group``."""
     f = freq if min_freq is None else freq.where(F.col(freq_col) >= min_freq)
     w = (Window.partitionBy(group) if group else Window).orderBy(F.col(score).desc(), F.col(term).asc())
     return (f.withColumn("rank", F.row_number().over(w))
-            .where((F.col("rank") > skip_top) & (F.col("rank") <= k)))
+            .where((F.col("rank") > skip_top) & (F.lit(True) if k is None else F.col("rank") <= k)))
 
 
 def suffix_sum(df: DataFrame, group: str | Sequence[str], order: str, value: str, out: str) -> DataFrame:

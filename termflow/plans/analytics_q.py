@@ -248,15 +248,18 @@ def l5_label_rank_slice(s, d):
     return rk.select_labels(_freq(s, d), "term", "n", 50, min_freq=3, skip_top=5).select("term", "n", F.col("rank").cast("bigint").alias("rank"))
 
 
+TOP_LABELS = 31_466  # the operator's top-N parameter
+
+
 @register("l7_sparse_target_matrix", sql(ANNOT, TERM_FREQ, body="""
-, labels AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS col_id FROM term_freq WHERE n >= 2),
+, labels AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS col_id FROM term_freq WHERE n >= 2 ORDER BY n DESC, term LIMIT 31466),
 rows AS (SELECT entry, row_number() OVER (ORDER BY entry) - 1 AS row_id FROM (SELECT DISTINCT entry FROM annot))
 SELECT r.row_id, l.col_id FROM annot a JOIN rows r ON a.entry = r.entry JOIN labels l ON a.term = l.term"""
    .replace("\n, labels AS", ",\nlabels AS", 1)))
 def l7_sparse_target_matrix(s, d):
     from ..operators import features as fe
     a = fx.annotations(s, d)
-    labels = rk.select_labels(_freq(s, d), "term", "n", 10 ** 9, min_freq=2).select(
+    labels = rk.select_labels(_freq(s, d), "term", "n", TOP_LABELS, min_freq=2).select(
         "term", (F.col("rank") - 1).cast("bigint").alias("col_id"))
     rows = fe.dense_ids(a.select("entry").distinct(), "entry", "row_id")
     return a.join(rows, "entry").join(labels, "term").select("row_id", "col_id")

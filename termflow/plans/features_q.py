@@ -9,6 +9,7 @@ from ..operators import features as fe
 from ..operators import ontology as onto
 from ..operators import ranking as rk
 from ..sources import fixtures as fx
+from .ontology_q import ROOTS
 from .common import (ANNOT, CLOSURE, EDGE, RCLOSURE, TAXONOMY, TERMS, Dims, r6, register, sql)
 
 ANN_TAX = "ann_tax AS (SELECT t.taxon FROM (SELECT DISTINCT entry FROM annot) a JOIN taxonomy t ON a.entry = t.entry)"
@@ -131,13 +132,14 @@ def e17_label_blocks_per_namespace(s, d):
     return v.join(fx.terms(s, d), "term").groupBy("namespace").agg(F.count("*").alias("n_labels"))
 
 
-@register("e18_root_positive_entries", sql(EDGE, CLOSURE, RCLOSURE, ANNOT, body="""
+@register("e18_root_positive_entries", sql(EDGE, ROOTS, CLOSURE, RCLOSURE, ANNOT, body="""
 , pos AS (SELECT DISTINCT a.entry, r.ancestor AS term FROM annot a JOIN rclosure r ON a.term = r.child)
-SELECT DISTINCT entry FROM pos WHERE term = 0""".replace("\n, pos AS", ",\npos AS", 1)))
+SELECT DISTINCT term % 3 AS namespace, entry FROM pos WHERE term IN (SELECT term FROM roots)""".replace("\n, pos AS", ",\npos AS", 1)))
 def e18_root_positive_entries(s, d):
     dims = Dims.of(s, d)
     pos = onto.propagate_labels(fx.annotations(s, d), dims.closure, dims.terms)
-    return pos.where(F.col("term") == 0).select("entry").distinct()
+    tops = onto.roots(dims.terms, dims.edges).join(dims.terms.select("term", "namespace"), "term")
+    return pos.join(tops, "term").select("namespace", "entry").distinct()
 
 
 @register("j14_horizontal_feature_join", sql(body="""

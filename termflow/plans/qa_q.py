@@ -22,14 +22,14 @@ def _raw_submission(s, d):
 def _known(s, d):
     ids = fx.table(s, d, "orders").where(F.col("o_orderstatus") != "P").select(
         F.col("o_orderkey").cast("string").alias("entry"))
-    terms = fx.terms(s, d).where(F.col("term") < 1500).select(F.col("term").cast("string").alias("term"))
+    terms = fx.terms(s, d).where(F.col("term") % 4 != 3).select(F.col("term").cast("string").alias("term"))
     return ids, terms
 
 
 RAW_SUB = """raw AS (SELECT 'EntryID' AS entry, 'term' AS term, 'prob' AS prob
   UNION ALL SELECT CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), printf('%.4f', l_tax * 12) FROM lineitem),
 ids AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS entry FROM orders WHERE o_orderstatus <> 'P'),
-tms AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS term FROM part WHERE p_partkey < 1500),
+tms AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS term FROM part WHERE p_partkey % 4 <> 3),
 p AS (SELECT entry, term, TRY_CAST(prob AS DOUBLE) AS p FROM raw)"""
 
 
@@ -86,7 +86,7 @@ def v8_weight_consistency(s, d):
 
 @register("v9_alignment_check", sql(body="""
 WITH a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS pos FROM embeddings),
-b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY CASE WHEN vec_id < 100 THEN vec_id ELSE 1000000 - vec_id END) AS pos
+b AS (SELECT vec_id AS id, row_number() OVER (ORDER BY CASE WHEN vec_id % 20 = 0 THEN vec_id ELSE -vec_id END) AS pos
       FROM embeddings WHERE label <> 3)
 SELECT count(a.id) AS n_a, count(b.id) AS n_b, count(*) FILTER (WHERE a.id IS DISTINCT FROM b.id) AS n_mismatch,
        min(CASE WHEN a.id IS DISTINCT FROM b.id THEN coalesce(a.pos, b.pos) END) AS first_mismatch
@@ -95,7 +95,7 @@ def v9_alignment_check(s, d):
     from pyspark.sql import Window
     e = fx.table(s, d, "embeddings")
     a = e.select(F.col("vec_id").alias("id"), F.row_number().over(Window.orderBy("vec_id")).cast("bigint").alias("ord"))
-    key = F.when(F.col("vec_id") < 100, F.col("vec_id")).otherwise(1000000 - F.col("vec_id"))
+    key = F.when(F.col("vec_id") % 20 == 0, F.col("vec_id")).otherwise(-F.col("vec_id"))
     b = e.where(F.col("label") != 3).select(F.col("vec_id").alias("id"),
                                             F.row_number().over(Window.orderBy(key)).cast("bigint").alias("ord"))
     return qa.alignment_check(a, b)
@@ -125,11 +125,17 @@ def m4_fold_logit_ensemble(s, d):
     return out.select("entry", "term", r6("prob").alias("prob"))
 
 
+def _one_against_rest(e):
+    """(entry, label_id, y) for every label of the table; the label list travels as one row."""
+    ids = e.where("label is not null").groupBy(F.lit(1).alias("_one")).agg(F.array_sort(F.collect_set("label")).alias("_ids"))
+    return (e.withColumn("_one", F.lit(1)).join(F.broadcast(ids), "_one").select("entry", "label", F.explode("_ids").alias("label_id"))
+            .select("entry", "label_id", F.col("label").eqNullSafe(F.col("label_id")).cast("int").alias("y")))
+
+
 @register("m1_m3_multilabel_logreg")
 def m1_m3_multilabel_logreg(s, d):
     e = fx.embeddings(s, d)
-    labels = e.select("entry", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("label_id"), "label").select(
-        "entry", "label_id", (F.col("label") == F.col("label_id")).cast("int").alias("y"))
+    labels = _one_against_rest(e)
     models = md.fit_multilabel_logreg(e.select("entry", "vec"), labels, alpha=1e-2, max_iter=30)
     return md.score_multilabel(models, e.select("entry", "vec")).select("entry", "label_id", r6("prob").alias("prob"))
 
@@ -137,7 +143,6 @@ def m1_m3_multilabel_logreg(s, d):
 @register("m2_gbt_selected_labels")
 def m2_gbt_selected_labels(s, d):
     e = fx.embeddings(s, d)
-    labels = e.select("entry", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("label_id"), "label").select(
-        "entry", "label_id", (F.col("label") == F.col("label_id")).cast("int").alias("y"))
-    models = md.fit_multilabel_gbt(e.select("entry", "vec"), labels, [0, 1, 2], max_iter=10, max_depth=3)
+    labels = _one_against_rest(e)
+    models = md.fit_multilabel_gbt(e.select("entry", "vec"), labels, max_iter=10, max_depth=3)
     return md.score_multilabel(models, e.select("entry", "vec")).select("entry", "label_id", r6("prob").alias("prob"))

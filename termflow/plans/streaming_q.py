@@ -3,14 +3,11 @@ the driver's files and returns the sink table."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from ..streaming import ingest as st
-from .common import register
+from .common import SNAP_NEW, SNAP_OLD, register, sql
 
 
 def _events_stream(s, d):
@@ -27,9 +24,8 @@ def _negatives(s, d):
 SELECT DISTINCT user_id AS entry, event_type AS term, json_extract_string(props, '$.k') AS source
 FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL""")
 def st1_stream_dedupe(s, d):
-    rows = st.dedupe_annotations(st.annotation_rows(_events_stream(s, d)))
-    out = st.run_to_table(rows.select("entry", "term", "source"), f"st1_{uuid.uuid4().hex[:8]}")
-    return out
+    rows = st.clean_annotations(st.annotation_rows(_events_stream(s, d)))
+    return st.distinct_to_table(rows, ["entry", "term", "source"], st.job_name("st1", d))
 
 
 @register("st2_stream_static_anti_join", """
@@ -41,7 +37,7 @@ def st2_stream_static_anti_join(s, d):
                                      F.col("event_type").alias("term"),
                                      F.round(F.col("value") / 100.0, 6).alias("prob"))
     out = st.remove_negatives(ev, _negatives(s, d))
-    return st.run_to_table(out, f"st2_{uuid.uuid4().hex[:8]}")
+    return st.run_to_table(out, st.job_name("st2", d))
 
 
 @register("st3_stream_top_k_scoring")
@@ -54,10 +50,11 @@ def st3_stream_top_k_scoring(s, d):
     centroids = [[r[f"c{i}"] for i in range(dim)] for r in cent]
     stream = st.stream_files(s, d, "embeddings", emb.schema)
     scored = st.top_k_scores(stream.select("vec_id", "embedding"), "embedding", centroids, k=3)
-    return st.run_to_table(scored, f"st3_{uuid.uuid4().hex[:8]}")
+    return st.run_to_table(scored, st.job_name("st3", d))
 
 
-@register("st4_snapshot_compare_batches")
+@register("st4_snapshot_compare_batches", sql(SNAP_OLD, SNAP_NEW, body="""
+SELECT DISTINCT entry, term FROM snap_old EXCEPT SELECT DISTINCT entry, term FROM snap_new"""))
 def st4_snapshot_compare_batches(s, d):
     old = fx.snapshot(s, d, fx.OLD_SNAPSHOT)
     li_schema = fx.table(s, d, "lineitem").schema
@@ -66,12 +63,5 @@ def st4_snapshot_compare_batches(s, d):
     new = (stream.where((F.col("l_shipdate") >= F.lit(start).cast("timestamp"))
                         & (F.col("l_shipdate") < F.lit(end).cast("timestamp")))
            .select(F.col("l_orderkey").alias("entry"), F.col("l_partkey").alias("term")))
-    path = f"{ensure_checkpoint_dir(s).rstrip('/')}/tables/st4-{uuid.uuid4().hex}"
-    ckpt = f"{ensure_checkpoint_dir(s).rstrip('/')}/streams/st4-{uuid.uuid4().hex}"
-
-    def diff(batch, batch_id):
-        st.snapshot_diff_batch(batch, old).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
-
-    q = new.writeStream.foreachBatch(diff).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.read.parquet(path).drop("batch_id")
+    arrived = st.distinct_to_table(new, ["entry", "term"], st.job_name("st4", d))
+    return st.snapshot_missing(old, arrived)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows up to which a dimension side (closure, vocabulary, term table) is broadcast.
-# Above it the join stays a shuffle join that AQE may still convert at runtime.
-BROADCAST_MAX_ROWS = 2_000_000
+# Bytes up to which a dimension side of known row count and width is hinted for
+# broadcast.  Sides of unknown size are left to adaptive execution, which
+# broadcasts them by their measured shuffle size.
+BROADCAST_MAX_BYTES = 32 << 20
+PAIR_BYTES = 16  # a row of two long ids (edges, closure)
 
 _CHECKPOINT_SET: dict[int, str] = {}
 
@@ -51,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return _CHECKPOINT_SET[key]
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="termflow-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     _CHECKPOINT_SET[key] = path
@@ -77,12 +82,9 @@ def write_table(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None,
-                       max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is known to be under ``max_rows``.
-
-    ``rows`` may be passed when the caller already knows the count (e.g. the
-    closure loop counts its rounds); otherwise one count is taken.
-    """
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= max_rows else df
+def broadcast_if_small(df: DataFrame, rows: int | None = None, row_bytes: int = PAIR_BYTES) -> DataFrame:
+    """Hint ``df`` for broadcast when its size is known (``rows`` counted by the
+    caller, of ``row_bytes`` each) and under the bound.  Without a known size the
+    frame is returned as it is: nothing is counted twice, and adaptive execution
+    decides from the size of the finished stage."""
+    return F.broadcast(df) if rows is not None and rows * row_bytes <= BROADCAST_MAX_BYTES else df

@@ -179,8 +179,9 @@ def read_lineage(spark: SparkSession, path: str) -> DataFrame:
     """Headerless lineage rows with at least 8 tab-separated fields; the
     first 8 are kept, the taxon cast to int, blanks become null."""
     t = spark.read.text(path).select(F.split("value", "\t").alias("p"))
-    bad = F.size("p") < 8
-    t = t.select(F.when(bad, F.raise_error(F.lit("lineage row with fewer than 8 columns"))).alias("_chk"), "p")
+    # the check stands inside the column that all others read, so it is never pruned away
+    t = t.select(F.when(F.size("p") >= 8, F.col("p")).otherwise(
+        F.raise_error(F.lit("lineage row with fewer than 8 columns")).cast("array<string>")).alias("p"))
     cols = [F.col("p").getItem(0).try_cast("int").alias("taxon")] + [
         F.nullif(F.trim(F.col("p").getItem(i)), F.lit("")).alias(n) for i, n in enumerate(LINEAGE_COLUMNS[1:], 1)]
     return t.select(*cols)

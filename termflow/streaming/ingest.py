@@ -3,13 +3,13 @@
 Batch and stream share one transform: every function below takes a
 (streaming or static) DataFrame and returns a DataFrame.  ``run_to_table``
 drives a stream to completion (``availableNow``) with its checkpoint under the
-session's shared checkpoint folder, which is what makes a restarted job resume
-exactly where it stopped.
+session's shared checkpoint folder.  Sink and checkpoint paths follow from the
+job's name alone, so a restarted job of that name resumes where it stopped.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +27,15 @@ def annotation_rows(events: DataFrame) -> DataFrame:
                          (F.col("value") / 100.0).alias("prob"), "ts")
 
 
-def dedupe_annotations(rows: DataFrame, watermark: str | None = "1 day") -> DataFrame:
-    """ST1: per-chunk filter + dedupe of (entry, term, source).  In a stream the
-    state is bounded with a watermark (``dropDuplicatesWithinWatermark``)."""
-    clean = rows.where(F.col("entry").isNotNull() & F.col("term").isNotNull())
-    if rows.isStreaming and watermark:
-        return clean.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["entry", "term", "source"])
-    return clean.dropDuplicates(["entry", "term", "source"])
+def clean_annotations(rows: DataFrame) -> DataFrame:
+    """Annotation rows that name an entry and a term."""
+    return rows.where(F.col("entry").isNotNull() & F.col("term").isNotNull())
+
+
+def dedupe_annotations(rows: DataFrame) -> DataFrame:
+    """ST1, batch form: filter + dedupe of (entry, term, source).  The stream
+    form is ``distinct_to_table`` over ``clean_annotations``."""
+    return clean_annotations(rows).dropDuplicates(["entry", "term", "source"])
 
 
 def remove_negatives(preds: DataFrame, negatives: DataFrame) -> DataFrame:
@@ -58,10 +60,10 @@ def top_k_scores(df: DataFrame, vec: str, centroids: list[list[float]], k: int =
         F.col("_s.label").alias("label"), F.col("_s.score").alias("score"))
 
 
-def snapshot_diff_batch(batch: DataFrame, reference: DataFrame) -> DataFrame:
-    """ST4: rows of the reference release missing from the arriving batch."""
+def snapshot_missing(reference: DataFrame, arrived: DataFrame) -> DataFrame:
+    """ST4: pairs of the reference release that the arrived release does not hold."""
     return (reference.select("entry", "term").distinct()
-            .join(batch.select("entry", "term").distinct(), ["entry", "term"], "left_anti"))
+            .join(arrived.select("entry", "term"), ["entry", "term"], "left_anti"))
 
 
 def stream_files(spark: SparkSession, folder: str, name: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -76,36 +78,51 @@ def stream_events(spark: SparkSession, folder: str, files_per_trigger: int = 1)
     return stream_files(spark, folder, "events", EVENT_SCHEMA, files_per_trigger)
 
 
-def run_to_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def job_paths(spark: SparkSession, name: str) -> tuple[str, str]:
+    """(sink, stream checkpoint) of a named job in the shared folder."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{root}/tables/stream-{name}", f"{root}/streams/{name}"
+
+
+def job_name(name: str, folder: str) -> str:
+    """A stable job name for a query over a folder."""
+    return f"{name}-{hashlib.sha256(folder.rstrip('/').encode()).hexdigest()[:12]}"
+
+
+def run_to_table(df: DataFrame, name: str) -> DataFrame:
     """Run a streaming DataFrame until all available input is processed
     (``availableNow``) into an exactly-once parquet file sink and return that
-    table as a batch DataFrame.  Sink and stream checkpoint default to the
-    session's shared checkpoint folder (nothing is held on the driver)."""
+    table as a batch DataFrame (nothing is held on the driver)."""
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    tag = f"{name}-{uuid.uuid4().hex}"
-    path = path or f"{root}/tables/{tag}"
+    path, checkpoint = job_paths(spark, name)
     q = (df.writeStream.format("parquet").option("path", path).outputMode("append")
-         .option("checkpointLocation", f"{root}/streams/{tag}").trigger(availableNow=True).start())
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def upsert_batches(df: DataFrame, path: str, key: list[str], name: str) -> None:
-    """ST1 sink: ``foreachBatch`` that merges each micro-batch into a parquet
-    table at ``path`` (new keys appended; existing keys kept) -- idempotent per
-    batch id through the stream checkpoint."""
+def distinct_to_table(df: DataFrame, key: list[str], name: str) -> DataFrame:
+    """ST1 sink: the distinct ``key`` values of a stream, over all its batches.
+
+    Each micro-batch is deduplicated and takes a left anti join against what
+    earlier batches have written, so no row is dropped for being late and no
+    stream state grows.  A batch owns the folder ``batch=<id>`` and overwrites it,
+    so a batch that is replayed after a failure gives the same table."""
     spark = df.sparkSession
-    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    path, checkpoint = job_paths(spark, name)
+    schema = df.select(*key).schema.add("batch", "long")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        bs = batch.sparkSession
-        try:
-            cur = bs.read.parquet(path)
-            new = batch.join(cur.select(*key), key, "left_anti")
-        except Exception:  # noqa: BLE001  (first batch: no table yet)
-            new = batch
-        new.write.mode("append").parquet(path)
-
-    q = df.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+        new = batch.select(*key).distinct()
+        if batch_id > 0:
+            before = batch.sparkSession.read.schema(schema).parquet(path).where(F.col("batch") < batch_id)
+            same = [F.col(f"n.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+            cond = same[0]
+            for c in same[1:]:
+                cond = cond & c
+            new = new.alias("n").join(before.alias("b"), cond, "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    q = df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return spark.read.schema(schema).parquet(path).drop("batch")
