@@ -12,19 +12,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, write_table
 
 
 def dense_ids(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
     """W15 for large id sets: 0-based dense index in sorted order of ``col``.
-    Sorting is a range-partitioned shuffle; ``zipWithIndex`` adds per-partition
-    offsets (one small job counts the partitions)."""
-    ordered = df.select(col).distinct().orderBy(col)
-    schema = T.StructType([ordered.schema[col], T.StructField(out, T.LongType(), False)])
-    rdd = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    return df.sparkSession.createDataFrame(rdd, schema)
+
+    The distinct ids are dealt by range and stored sorted; a row's index is its
+    place in its range plus the sizes of the ranges before it, so only one
+    small row a range goes through a single task."""
+    ids = df.select(col).distinct().repartitionByRange(F.col(col).asc_nulls_first()).sortWithinPartitions(F.col(col).asc_nulls_first())
+    ids = write_table(ids.withColumn("_part", F.spark_partition_id()))
+    sizes = ids.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(col).asc_nulls_first())) - 1
+    return ids.withColumn("_in", inside).join(first, "_part").select(col, (F.col("_first") + F.col("_in")).cast("long").alias(out))
 
 
 def vocabulary(values: DataFrame, col: str, min_count: int = 1, top_k: int | None = None,
@@ -80,10 +83,10 @@ def stratified_folds(df: DataFrame, key: str, stratum: Sequence[str] | str, k: i
 
 
 def int_hash(key, seed: int = 42):
-    """Repeatable integer hash of a non-negative integer key (Park-Miller
-    multiplier, exact in 64-bit arithmetic for keys below 1e14)."""
+    """Repeatable integer hash of an integer key (Park-Miller multiplier; the key
+    is reduced first, so that any 64-bit key stays exact)."""
     c = F.col(key) if isinstance(key, str) else key
-    return F.pmod(c * 48271 + seed, F.lit(2147483647))
+    return F.pmod(F.pmod(c.cast("long"), F.lit(2147483647)) * 48271 + seed, F.lit(2147483647))
 
 
 def salted_folds(df: DataFrame, key: str, stratum: str, k: int = 5, buckets: int = 16,

@@ -31,9 +31,12 @@ ENTRY, TERM = "entry", "term"
 
 # ------------------------------------------------------------------ graph build
 
-def restrict_edges(edges: DataFrame, terms: DataFrame) -> DataFrame:
+def restrict_edges(edges: DataFrame, terms: DataFrame, alt_ids: DataFrame | None = None) -> DataFrame:
     """G1: keep child->parent edges whose child and parent are known terms of the
-    same namespace (an edge leaving the namespace is dropped)."""
+    same namespace (an edge leaving the namespace is dropped).  With
+    ``alt_ids(alt_id, term)`` ends that are alternative ids stand for their terms."""
+    if alt_ids is not None:
+        edges = resolve_aliases(edges, alias_map(terms, alt_ids), "child", "parent").distinct()
     t = terms.select(F.col(TERM).alias("_t"), F.col("namespace").alias("_ns"))
     tc = t.select(F.col("_t").alias("child"), F.col("_ns").alias("_cns"))
     tp = t.select(F.col("_t").alias("parent"), F.col("_ns").alias("_pns"))
@@ -50,6 +53,15 @@ def alias_map(terms: DataFrame, alt_ids: DataFrame | None = None) -> DataFrame:
     return base.unionByName(alt_ids.select(F.col("alt_id").alias("term_id"), F.col(TERM))).distinct()
 
 
+def resolve_aliases(df: DataFrame, aliases: DataFrame, *columns: str) -> DataFrame:
+    """Replace alternative ids in ``columns`` by their terms; rows whose
+    id is unknown to ``aliases(term_id, term)`` go."""
+    for c in columns:
+        a = aliases.select(F.col("term_id").alias("_id"), F.col(TERM).alias("_to"))
+        df = df.join(a, F.col(c) == F.col("_id")).withColumn(c, F.col("_to")).drop("_id", "_to")
+    return df
+
+
 def roots(terms: DataFrame, edges: DataFrame) -> DataFrame:
     """Terms without a parent edge."""
     return terms.select(TERM).join(edges.select(F.col("child").alias(TERM)), TERM, "left_anti")
@@ -278,7 +290,7 @@ def propagate_min(scores: DataFrame, clo: Closure, terms: DataFrame, value: str
            .join(n_anc, F.col(TERM) == F.col("_t"), "left")
            .select(ENTRY, TERM, F.when(F.coalesce("_n", F.lit(0)) == F.coalesce("_m", F.lit(0)),
                                        F.least(F.col(value), F.coalesce("_minv", F.col(value))))
-                   .otherwise(F.lit(0.0)).alias(value)))
+                   .otherwise(F.lit(0.0)).alias(value)).where(F.col(value) != 0))
     return out
 
 

@@ -68,12 +68,18 @@ def read_gaf(spark: SparkSession, path: str, columns=("entry", "term", "evidence
     return read_delimited(spark, path, _strings(GAF_COLUMNS), comment="!").select(*columns)
 
 
+def file_order():
+    """A sortable place of a scanned row: file name, start of its split, and its number in the task."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """FASTA records -> (header, id, seq, ord).
 
     ``id`` is the accession: the middle field of ``db|ID|NAME`` headers, else
     the first word.  Sequence lines are concatenated.  ``ord`` keeps file
-    order (monotonic ids follow partition order)."""
+    order over all files: (file name, place of the split in it, place in the split)."""
     raw = spark.read.option("lineSep", "\n>").text(path)
     rec = raw.select(F.regexp_replace("value", r"^>", "").alias("value")).where(F.length(F.trim("value")) > 0)
     header = F.split("value", "\n").getItem(0)
@@ -82,7 +88,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     acc = F.when(first.contains("|"), F.split(first, r"\|").getItem(1)).otherwise(first)
     return rec.select(F.trim(header).alias("header"), acc.alias("id"),
                       seq.alias("seq"),
-                      F.monotonically_increasing_id().alias("ord"))
+                      file_order().alias("ord"))
 
 
 def parse_annotated_headers(fasta: DataFrame, taxon_names: DataFrame | None = None) -> DataFrame:
@@ -118,8 +124,8 @@ def read_obo(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataF
 
     terms: (term, name, namespace, def, alt_ids ARRAY, is_obsolete)
     edges: (child, parent, rel) from ``is_a`` and ``relationship: part_of``.
-    ``strict``: obsolete terms dropped, edges kept only between terms of the
-    same namespace (cross-namespace edges dropped, as the graph build does).
+    ``strict``: obsolete terms dropped, a parent that is an alternative id stands
+    for its term, edges kept only between terms of the same namespace.
     """
     st = spark.read.option("lineSep", "\n\n").text(path)
     st = st.where(F.trim("value").startswith("[Term]"))
@@ -142,6 +148,9 @@ def read_obo(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataF
                                        F.lit("part_of").alias("rel"))))
     terms = terms.drop("_isa", "_partof")
     if strict:
+        ids = terms.select(F.col("term").alias("_id"), F.col("term").alias("_to")).unionByName(
+            terms.select(F.explode("alt_ids").alias("_id"), F.col("term").alias("_to"))).dropDuplicates(["_id"])
+        edges = edges.join(ids, F.col("parent") == F.col("_id")).select("child", F.col("_to").alias("parent"), "rel").distinct()
         ns = terms.select(F.col("term").alias("_t"), F.col("namespace").alias("_ns"))
         edges = (edges.join(ns.withColumnRenamed("_t", "child").withColumnRenamed("_ns", "_cns"), "child")
                  .join(ns.withColumnRenamed("_t", "parent").withColumnRenamed("_ns", "_pns"), "parent")
@@ -212,7 +221,7 @@ def read_predictions(spark: SparkSession, path: str, truth: DataFrame | None = N
     optionally the first ``max_terms`` rows per entry in file order."""
     raw = read_delimited(spark, path, "entry string, term string, prob string")
     df = (raw.withColumn("prob", F.col("prob").try_cast("double")).where(F.col("prob").isNotNull())
-          .withColumn("ord", F.monotonically_increasing_id()))
+          .withColumn("ord", file_order()))
     if truth is not None:
         df = df.join(truth.select("entry").distinct(), "entry", "left_semi")
     if max_terms:
