@@ -33,16 +33,18 @@ MAX_FREQUENT = 1 << 18
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _K = [np.uint64(int(x) | 1) for x in mix64(np.arange(7, 13, dtype=np.uint64))]
 _TOP = np.uint64(1 << 63)
+_PLACE = np.uint64((1 << 16) - 1)
+_HASH = ~(_TOP | _PLACE)  # 47 bits of a gram's hash
 
 
 def grams(b: np.ndarray) -> np.ndarray:
-    """A 63-bit hash of the 32 bytes from every place, by doubling."""
+    """A hash of the 32 bytes from every place, by doubling."""
     h = _BYTE[b]
     step = 1
     for k in _K[:5]:  # 2, 4, 8, 16, 32 bytes
         h = h[:-step] * k + h[step:]
         step *= 2
-    return mix64(h) >> np.uint64(1)
+    return mix64(h)
 
 
 def window_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -63,28 +65,30 @@ class Cutter:
         self.length = length
         self.frequent = np.sort(frequent)
         self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.frequent & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.maybe[((self.frequent >> np.uint64(20)) & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def pieces(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(minimizer, start, end, twice) of the runs of windows: end is the last window's end,
         twice tells whether a piece holds its minimizer more than once (it may repeat itself)."""
         if len(raw) < self.length:
             return (np.zeros(0, np.int64),) * 4
-        h = grams(np.frombuffer(raw, np.uint8))
+        h = grams(np.frombuffer(raw, np.uint8)) & _HASH
         if len(self.frequent):
-            at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            at = np.flatnonzero(self.maybe[((h >> np.uint64(20)) & np.uint64((1 << 22) - 1)).astype(np.int64)])
             if len(at):
                 place = np.searchsorted(self.frequent, h[at])
                 place[place == len(self.frequent)] = 0
                 at = at[self.frequent[place] == h[at]]
                 h[at] |= _TOP
+        # the low 16 bits tell places apart, so that a window's least is its first least gram
+        h |= np.arange(len(h), dtype=np.uint64) & _PLACE
         least = window_least(h, self.length - GRAM + 1)
-        start, end = runs_of(least)
-        n = end - start + self.length - GRAM  # places of grams in a piece
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - start, n)
-        hit = h[place] == np.repeat(least[start], n)
-        times = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
-        return least[start].view(np.int64), start, end + self.length - 1, (times > 1).astype(np.int64)
+        moved = np.r_[False, least[1:] != least[:-1]]
+        value = least >> np.uint64(16)
+        start, end = runs_of(value)
+        moved[start] = False
+        twice = np.add.reduceat(moved.astype(np.int64), start)
+        return value[start].view(np.int64), start, end + self.length - 1, (twice > 0).astype(np.int64)
 
 
 def frequent_grams(texts: DataFrame, sample: int, most: int) -> np.ndarray:
@@ -97,7 +101,7 @@ def frequent_grams(texts: DataFrame, sample: int, most: int) -> np.ndarray:
 
     def run(frames):
         for f in frames:
-            found = [np.unique(grams(np.frombuffer(r, np.uint8))) for t in f["text"] if len(r := t.encode("utf-8", "surrogatepass")) >= LENGTH]
+            found = [np.unique(grams(np.frombuffer(r, np.uint8)) & _HASH) for t in f["text"] if len(r := t.encode("utf-8", "surrogatepass")) >= LENGTH]
             if found:
                 g, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pd.DataFrame({"g": g[n > 2].view(np.int64), "n": n[n > 2]})
@@ -172,6 +176,7 @@ def shared_pieces(texts: DataFrame, wanted: DataFrame, frequent, length: int) ->
     128-bit hash, the text stands on the first row of a piece that a task meets."""
     def run(frames):
         cutter, press, seen = Cutter(frequent.value, length), zstandard.ZstdDecompressor(), set()
+        columns = ["piece", "m", "doc", "start", "size", "text"]
         for f in frames:
             rows = []
             for doc, data, ms in zip(f["doc"], f["packed"], f["ms"]):
@@ -184,20 +189,29 @@ def shared_pieces(texts: DataFrame, wanted: DataFrame, frequent, length: int) ->
                         seen.clear()
                     rows.append((name, m[k], doc, start[k], end[k] - start[k], None if name in seen else text))
                     seen.add(name)
-            yield pd.DataFrame(rows, columns=["piece", "m", "doc", "start", "size", "text"])
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     asked = wanted.groupBy("doc").agg(F.collect_list("m").alias("ms"))
     return packed(texts).join(asked, "doc").mapInPandas(run, "piece binary, m long, doc long, start long, size long, text binary")
 
 
+def eight_bytes(b: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place as one number, first byte highest; zeros follow the end."""
+    wide = np.r_[b, np.zeros(8, np.uint8)].astype(np.uint64)
+    key = np.zeros(len(b), np.uint64)
+    for k in range(8):
+        key = (key << np.uint64(8)) | wide[k:k + len(b)]
+    return key
+
+
 def suffix_array(b: np.ndarray) -> np.ndarray:
     """All suffixes in order (Larsson-Sadakane: each round sorts only the groups that are
     still together, by the rank h places on, and doubles h)."""
     n = len(b)
-    wide = np.r_[b, np.zeros(8, np.uint8)].astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | wide[k:k + n]
+    key = eight_bytes(b)
     sa = np.argsort(key, kind="stable")
     head = np.r_[True, key[sa[1:]] != key[sa[:-1]]]
     h = 8
@@ -212,15 +226,16 @@ def suffix_array(b: np.ndarray) -> np.ndarray:
             return sa
         s = sa[at]
         nxt = rank[np.minimum(s + h, n)]
-        order = np.lexsort((nxt, number[at]))
-        s, nxt, group = s[order], nxt[order], number[at]
+        group = number[at]
+        order = np.argsort(group * (n + 1) + nxt + 1, kind="stable")  # groups stand in order already
+        s, nxt = s[order], nxt[order]
         sa[at] = s
         head[at[1:]] = (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])
         h *= 2
 
 
-def common_prefixes(b: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of every suffix with its left neighbour in the array, up to ``most``.
+def common_prefixes(b: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Common prefix of every suffix with its left neighbour in the array.
 
     Kasai's order in arrays: going through the text, a common prefix is one shorter than the
     one before it unless the preceding bytes differ; only there bytes are compared."""
@@ -231,12 +246,15 @@ def common_prefixes(b: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     start = np.flatnonzero((left <= 0) | (np.arange(n) == 0) | (b[np.arange(n) - 1] != b[np.maximum(left - 1, 0)]))
     have = np.zeros(len(start), np.int64)
     live = np.flatnonzero(left[start] >= 0)
-    while len(live):
+    eight = eight_bytes(b)
+    while len(live):  # eight bytes at a time; what lies behind the end is cut off below
         i, j = start[live] + have[live], left[start[live]] + have[live]
-        ok = (i < n) & (j < n) & (have[live] < most)
+        ok = (i < n) & (j < n)
         live, i, j = live[ok], i[ok], j[ok]
-        live = live[b[i] == b[j]]
-        have[live] += 1
+        other = eight[i] ^ eight[j]
+        have[live] += sum((other < np.uint64(1 << 64 - 8 * k)).astype(np.int64) for k in range(1, 8)) + (other == 0)
+        live = live[other == 0]
+    have = np.minimum(have, n - np.maximum(start, left[start]))
     plcp = np.zeros(n, np.int64)
     first = np.zeros(n, np.int64)
     first[start] = start
@@ -252,7 +270,7 @@ def window_classes(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndar
     b = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
     first = np.cumsum(size + 1) - (size + 1)
     sa = suffix_array(b)
-    lcp = common_prefixes(b, sa, int(size.max()))
+    lcp = common_prefixes(b, sa)
     own = np.repeat(np.arange(len(texts)), size + 1)
     offset = np.arange(len(b)) - first[own]
     whole = offset + length <= size[own]  # suffixes that hold a window; equal windows are neighbours among them

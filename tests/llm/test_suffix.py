@@ -63,7 +63,7 @@ def test_suffix_array_and_prefixes():
         raw = b.tobytes()
         sa = S.suffix_array(b)
         assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
-        lcp = S.common_prefixes(b, sa, len(b))
+        lcp = S.common_prefixes(b, sa)
         for k in range(1, len(sa)):
             x, y = raw[sa[k - 1]:], raw[sa[k]:]
             n = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
