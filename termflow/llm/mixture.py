@@ -118,6 +118,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return inner.select(*cols).unionByName(outer.select(*cols))
 
 
-@query("op3_mix_sources")
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS size, len(list_distinct(w)) AS n_distinct FROM d),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s GROUP BY source),
+capped AS (SELECT *, CAST([3, 1, 2][rank % 3 + 1] AS DOUBLE) AS weight, source_size * CAST(2 AS DOUBLE) AS cap FROM per),
+fill AS (SELECT *, row_number() OVER (ORDER BY cap / weight, rank) AS nth,
+  (sum(source_size) OVER () * CAST(1.5 AS DOUBLE)
+   - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM capped),
+water AS (SELECT arg_min(level, nth) FILTER (WHERE level <= cap / weight) AS level FROM fill),
+plan AS (SELECT f.source, f.source_size, least(f.cap, coalesce(water.level * f.weight, f.cap)) AS target FROM fill f, water),
+x0 AS (SELECT s.*, p.source_size, p.target, coalesce(doc_id, -1) % 2147483647 AS x0 FROM s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+x1 AS (SELECT *, (x0 * 48271 + 20) % 2147483647 AS x1 FROM x0),
+x2 AS (SELECT *, (x1 * x1 + x0) % 2147483647 AS x2 FROM x1),
+x3 AS (SELECT *, (x2 * x2 + 69621) % 2147483647 AS x3 FROM x2),
+keyed AS (SELECT *, -ln((x3 + CAST(0.5 AS DOUBLE)) / 2147483647) / (0.25 + 0.75 * n_distinct / CAST(greatest(size, 1) AS DOUBLE)) AS key,
+  CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM x3),
+upto AS (SELECT *, CAST(round(target) AS BIGINT) - epochs * source_size AS rest,
+  CAST(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS before FROM keyed),
+part AS (SELECT *, greatest(0, least(size, rest - before)) AS part FROM upto)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(epochs * size + part AS BIGINT) AS taken,
+  CAST(epochs + CASE WHEN part = size AND size > 0 THEN 1 ELSE 0 END AS BIGINT) AS copies, source FROM part"""
+
+
+@query("op3_mix_sources", ORACLE)
 def op3(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+    got = mix(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "copies", "source")
