@@ -110,9 +110,25 @@ def l2_norm(vec) -> Column:
     return F.sqrt(F.aggregate(_c(vec), F.lit(0.0), lambda a, x: a + x * x))
 
 
+PRIME = 2147483647  # 2^31 - 1
+
+
+def key_hash(*keys, seed: int = 42) -> Column:
+    """Repeatable hash of integer keys in [0, 2^31 - 1): multiply-add and a squaring
+    per key modulo a prime, exact in 64 bits, so any SQL engine can repeat it."""
+    x = F.lit(seed).cast("long")
+    for k in keys:
+        c = F.pmod(_c(k).cast("long"), F.lit(PRIME))
+        x = F.pmod(x * 48271 + c, F.lit(PRIME))
+        x = F.pmod(x * x + c, F.lit(PRIME))
+    return x
+
+
 def vector_key(vec) -> Column:
-    """hash key of a whole vector (exact duplicates share it)."""
-    return F.xxhash64(_c(vec))
+    """hash key of a whole vector (exact duplicates share it), from its
+    components in millionths."""
+    return F.aggregate(_c(vec), F.lit(1).cast("long"), lambda a, x: F.pmod(
+        a * 48271 + F.pmod(F.floor(x.cast("double") * 1000000).cast("long"), F.lit(PRIME)), F.lit(PRIME)))
 
 
 def parse_int_list(s, default: list[int]) -> Column:

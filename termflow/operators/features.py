@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from ..functions.scalar import key_hash
 from ..session import broadcast_if_small, write_table
 
 
@@ -111,8 +112,7 @@ def hash_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame
 def group_folds(df: DataFrame, key: str, group_key, k: int = 5, seed: int = 42) -> DataFrame:
     """Grouped k-fold -- rows with the same group key (e.g. the hash of an
     identical vector) share a fold: the fold is a seeded hash of the group key."""
-    g = F.xxhash64(group_key, F.lit(seed))
-    return df.withColumn("fold", F.pmod(g, F.lit(k)).cast("int"))
+    return df.withColumn("fold", F.pmod(key_hash(group_key, seed=seed), F.lit(k)).cast("int"))
 
 
 def fold_split(df: DataFrame, folds: DataFrame, fold: int, part: str, key: str = "entry") -> DataFrame:

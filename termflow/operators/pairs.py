@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import PRIME, key_hash
+
 KEY = ["entry", "term"]
 
 
@@ -120,7 +122,7 @@ def tie_noise(df: DataFrame, amplitude: float = 0.0005, seed: int = 42, value: s
               key: Sequence[str] = KEY) -> DataFrame:
     """Repeatable uniform noise in [-amplitude, amplitude) from a hash of
     the key, then clip to [0, 1]."""
-    u = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = key_hash(*key, seed=seed) / float(PRIME)
     noisy = F.col(value) + (u * 2 - 1) * amplitude
     return df.withColumn(value, F.least(F.greatest(noisy, F.lit(0.0)), F.lit(1.0)))
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import key_hash
 from ..session import broadcast_if_small
 
 
@@ -137,11 +138,11 @@ def dense_index(df: DataFrame, col: str, order: str = "value", freq_col: str | N
 
 
 def seeded_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """A repeatable sample of n rows: smallest xxhash64(key, seed)."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """A repeatable sample of n rows: smallest hash of the integer keys."""
+    return df.orderBy(key_hash(*key, seed=seed), *key).limit(n)
 
 
 def hash_fraction(df: DataFrame, key: Sequence[str], frac: float, seed: int = 42) -> DataFrame:
     """Repeatable x % subsample by a hash bucket of the key."""
-    h = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000))
+    h = F.pmod(key_hash(*key, seed=seed), F.lit(1_000_000))
     return df.where(h < int(frac * 1_000_000))

@@ -10,8 +10,8 @@ from ..operators import aggregates as ag
 from ..operators import ontology as onto
 from ..operators import ranking as rk
 from ..sources import fixtures as fx
-from .common import (ANNOT, CLOSURE, EDGE, HITS, PRED_A, PRED_B, PRED_RAW, RCLOSURE, TAXONOMY, TERMS,
-                     Dims, r6, register, sql)
+from .common import (ANNOT, CLOSURE, EDGE, HITS, PRED_A, PRED_B, PRED_RAW, RCLOSURE, TAXONOMY, TERMS, Dims, key_hash_sql,
+                     r6, register, sql)
 
 TERM_FREQ = "term_freq AS (SELECT term, count(*) AS n FROM annot GROUP BY term)"
 
@@ -400,12 +400,12 @@ def w3_aspect_quota_top_k(s, d):
     return out.select("entry", "term", "aspect", r6("prob").alias("prob"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("l8_seeded_sample")
+@register("l8_seeded_sample", sql(ANNOT, body=f"SELECT * FROM annot ORDER BY {key_hash_sql('entry', 'term')}, entry, term LIMIT 100"))
 def l8_seeded_sample(s, d):
     return rk.seeded_sample(fx.annotations(s, d), ["entry", "term"], 100)
 
 
-@register("l9_hash_fraction_sample")
+@register("l9_hash_fraction_sample", sql(ANNOT, body=f"SELECT * FROM annot WHERE {key_hash_sql('entry', 'term')} % 1000000 < 100000"))
 def l9_hash_fraction_sample(s, d):
     return rk.hash_fraction(fx.annotations(s, d), ["entry", "term"], 0.1)
 

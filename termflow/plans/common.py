@@ -83,6 +83,15 @@ class Dims:
 
 # ----------------------------------------------------------- oracle SQL pieces
 
+def key_hash_sql(*keys: str, seed: int = 42) -> str:
+    """SQL of ``scalar.key_hash``."""
+    p, x = 2147483647, f"CAST({seed} AS BIGINT)"
+    for k in keys:
+        x = f"(({x} * 48271 + ({k}) % {p}) % {p})"
+        x = f"(({x} * {x} + ({k}) % {p}) % {p})"
+    return x
+
+
 def sql(*ctes: str, body: str) -> str:
     """Assemble ``WITH RECURSIVE <ctes> <body>`` (just the body without CTEs)."""
     if not ctes:

@@ -10,7 +10,7 @@ from ..operators import ontology as onto
 from ..operators import ranking as rk
 from ..sources import fixtures as fx
 from .ontology_q import ROOTS
-from .common import (ANNOT, CLOSURE, EDGE, RCLOSURE, TAXONOMY, TERMS, Dims, r6, register, sql)
+from .common import (ANNOT, CLOSURE, EDGE, RCLOSURE, TAXONOMY, TERMS, Dims, key_hash_sql, r6, register, sql)
 
 ANN_TAX = "ann_tax AS (SELECT t.taxon FROM (SELECT DISTINCT entry FROM annot) a JOIN taxonomy t ON a.entry = t.entry)"
 
@@ -76,7 +76,11 @@ def e16_fold_split_train(s, d):
     return fe.fold_split(a.select("entry", "term"), folds, 0, "train")
 
 
-@register("e13_grouped_folds")
+@register("e13_grouped_folds", f"""
+WITH k AS (SELECT vec_id AS entry, list_reduce(list_prepend(CAST(1 AS BIGINT), list_transform(embedding, lambda x:
+    ((CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) % 2147483647) + 2147483647) % 2147483647)),
+    lambda a, x: (a * 48271 + x) % 2147483647) AS g FROM embeddings)
+SELECT entry, CAST({key_hash_sql('g')} % 5 AS INTEGER) AS fold FROM k""")
 def e13_grouped_folds(s, d):
     e = fx.embeddings(s, d)
     return fe.group_folds(e.select("entry", "vec"), "entry", fn.vector_key("vec")).select("entry", "fold")
@@ -199,7 +203,8 @@ def j16_hit_label_transfer(s, d):
     return out.select("entry", "term", r6("prob").alias("prob"), "n_hits")
 
 
-@register("j11_alignment_join")
+@register("j11_alignment_join", """
+SELECT 'V' || CAST(vec_id AS VARCHAR) AS id, vec_id AS ref_ord, CASE WHEN vec_id % 2 = 0 THEN label END AS label FROM embeddings""")
 def j11_alignment_join(s, d):
     e = fx.table(s, d, "embeddings")
     ref = e.select(F.concat(F.lit("sp|V"), F.col("vec_id").cast("string"), F.lit("|X")).alias("id"),

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import pairs as pr
 from ..sources import fixtures as fx
-from .common import (ANNOT, PRED_A, PRED_B, PRED_RAW, SNAP_NEW, SNAP_OLD, TAXONOMY, TERMS, r6,
-                     register, sql)
+from .common import (ANNOT, PRED_A, PRED_B, PRED_RAW, SNAP_NEW, SNAP_OLD, TAXONOMY, TERMS, key_hash_sql, r6, register,
+                     sql)
 
 PRED_C = """pred_c AS (SELECT entry, term, max(prob) AS prob FROM pred_raw GROUP BY entry, term)"""
 HIGH_A = "high_a AS (SELECT * FROM pred_a WHERE prob >= 0.5)"
@@ -169,7 +169,9 @@ def p18_consensus_bonus(s, d):
     return _out(pr.consensus_bonus(_high(_a(s, d)), _b(s, d)))
 
 
-@register("p19_tie_noise")
+@register("p19_tie_noise", sql(PRED_A, body=f"""
+SELECT entry, term, round(least(greatest(prob + ({key_hash_sql('entry', 'term')} / CAST(2147483647 AS DOUBLE) * 2 - 1) * 0.0005, 0), 1), 6) AS prob
+FROM pred_a"""))
 def p19_tie_noise(s, d):
     return _out(pr.tie_noise(_a(s, d)))
 

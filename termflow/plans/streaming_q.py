@@ -40,7 +40,14 @@ def st2_stream_static_anti_join(s, d):
     return st.run_to_table(out, st.job_name("st2", d))
 
 
-@register("st3_stream_top_k_scoring")
+@register("st3_stream_top_k_scoring", """
+WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+cent AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS c FROM e GROUP BY label, i),
+names AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM (SELECT DISTINCT label FROM embeddings)),
+scored AS (SELECT e.vec_id, cent.label, sum(CAST(e.x AS DOUBLE) * cent.c) AS score FROM e JOIN cent ON e.i = cent.i GROUP BY e.vec_id, cent.label)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, CAST(idx AS INTEGER) AS label, round(score, 6) AS score FROM (
+  SELECT s.vec_id, n.idx, s.score, row_number() OVER (PARTITION BY s.vec_id ORDER BY s.score DESC, n.idx) AS rank
+  FROM scored s JOIN names n ON s.label = n.label) WHERE rank <= 3""")
 def st3_stream_top_k_scoring(s, d):
     emb = fx.table(s, d, "embeddings")
     # class centroids: one mean vector per label (bounded by the label count)
@@ -50,7 +57,7 @@ def st3_stream_top_k_scoring(s, d):
     centroids = [[r[f"c{i}"] for i in range(dim)] for r in cent]
     stream = st.stream_files(s, d, "embeddings", emb.schema)
     scored = st.top_k_scores(stream.select("vec_id", "embedding"), "embedding", centroids, k=3)
-    return st.run_to_table(scored, st.job_name("st3", d))
+    return st.run_to_table(scored.withColumn("score", F.round("score", 6)), st.job_name("st3", d))
 
 
 @register("st4_snapshot_compare_batches", sql(SNAP_OLD, SNAP_NEW, body="""
