@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ontology as onto
 from ..operators import pairs as pr
+from ..operators import ranking as rk
 from ..sources import fixtures as fx
 from .common import (ANNOT, PRED_A, PRED_B, PRED_RAW, SNAP_NEW, SNAP_OLD, TAXONOMY, TERMS, key_hash_sql, r6, register,
                      sql)
@@ -250,3 +252,30 @@ WHERE abs(coalesce(o.ia, 0) - coalesce(n.ia, 0)) > 1e-6 OR ((coalesce(o.ia, 0) =
 def o10_weight_diff(s, d):
     out = pr.weight_diff(fx.terms(s, d), _new_ia(s, d))
     return out.select("term", r6("old").alias("old"), r6("new").alias("new"), r6("delta").alias("delta"))
+
+
+@register("m5_final_merge", sql(PRED_A, PRED_B, PRED_RAW, PRED_C, HIGH_A, HIGH_B, ANNOT, TERMS, body="""
+, blend AS (SELECT coalesce(a.entry, b.entry) AS entry, coalesce(a.term, b.term) AS term,
+    0.6 * coalesce(a.prob, 0) + 0.4 * coalesce(b.prob, 0) AS prob FROM high_a a FULL JOIN high_b b ON a.entry = b.entry AND a.term = b.term),
+u AS (SELECT * FROM blend UNION ALL SELECT entry, term, prob FROM pred_c WHERE prob >= 0.4
+  UNION ALL SELECT entry, term, CAST(0.99 AS DOUBLE) AS prob FROM annot),
+m AS (SELECT entry, term, round(avg(prob), 6) AS prob FROM u GROUP BY entry, term),
+r AS (SELECT m.*, t.namespace, dense_rank() OVER (PARTITION BY m.entry, t.namespace ORDER BY m.prob DESC) - 1 AS rank
+  FROM m JOIN terms t ON m.term = t.term)
+SELECT entry, term, namespace, prob, CAST(rank AS INTEGER) AS rank FROM r WHERE rank < 500""".replace("\n, blend AS", ",\nblend AS", 1)))
+def m5_final_merge(s, d):
+    """M5: blend of two models, a third model and a constant-score source, mean over the sources
+    that hold a pair, namespace, and the rows of the first 500 score values per entry and namespace."""
+    known = fx.annotations(s, d).select("entry", "term", F.lit(0.99).alias("prob"))
+    blend = pr.full_blend(_high(_a(s, d)), _high(_b(s, d)), 0.6, 0.4)
+    merged = _out(pr.mean_present([blend, _c(s, d).where(F.col("prob") >= 0.4), known]))
+    merged = merged.join(fx.terms(s, d).select("term", "namespace"), "term")
+    out = rk.dense_rank_cut(merged, ["entry", "namespace"], "prob", 500, distinct_values=True)
+    return out.select("entry", "term", "namespace", "prob", F.col("rank").cast("int").alias("rank"))
+
+
+@register("a23_clipped_sums", sql(PRED_RAW, body="""
+SELECT entry, term, round(least(greatest(sum(prob), 0), 1), 6) AS prob FROM pred_raw GROUP BY entry, term"""))
+def a23_clipped_sums(s, d):
+    """Repeated (entry, term) scores are summed, then clipped."""
+    return _out(onto.clip_scores(fx.predictions_raw(s, d)))

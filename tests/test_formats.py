@@ -100,3 +100,19 @@ def test_predictions_reader_and_submission_sink(spark):
     fm.write_submission(spark.createDataFrame([("A", "T1", 0.12345)], "entry string, term string, prob double"), out)
     text = "".join(open(os.path.join(out, x)).read() for x in os.listdir(out) if x.startswith("part-"))
     assert text.strip() == "A\tT1\t0.123"
+
+
+def test_lineage_rows_too_short_raise(spark, tmp_path):
+    import pytest
+    (tmp_path / "ok.tsv").write_text("\t".join(["9", *"abcdefg"]) + "\n")
+    assert fm.read_lineage(spark, str(tmp_path / "ok.tsv")).first().taxon == 9
+    (tmp_path / "bad.tsv").write_text("9\ta\n")
+    with pytest.raises(Exception, match="fewer than 8"):
+        fm.read_lineage(spark, str(tmp_path / "bad.tsv")).select("taxon").collect()
+
+
+def test_first_rows_in_file_order_over_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"p{k}.tsv").write_text("".join(f"E1\tT{k}{i}\t0.{9 - i}\n" for i in range(4)))
+    got = fm.read_predictions(spark, f"{tmp_path}/p*.tsv", max_terms=6)
+    assert sorted(r.term for r in got.collect()) == ["T00", "T01", "T02", "T03", "T10", "T11"]

@@ -110,3 +110,29 @@ def test_max_idempotent_and_monotone(spark, dag):
     d1 = as_dict(v1)
     for child, parent in EDGES:
         assert d1.get(parent, 0) >= d1.get(child, 0)
+
+
+def test_alternative_ids_stand_for_their_terms(spark, tmp_path):
+    """Edges, truth and predictions may name a term by an alternative id."""
+    from termflow.operators import ontology as onto
+    from termflow.sources import formats
+    terms = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "term long, namespace long")
+    alt = spark.createDataFrame([(20, 2), (30, 3)], "alt_id long, term long")
+    edges = spark.createDataFrame([(20, 1), (2, 1), (30, 1), (99, 1)], "child long, parent long")
+    assert sorted(map(tuple, onto.restrict_edges(edges, terms, alt).collect())) == [(2, 1)]
+    scores = spark.createDataFrame([(7, 20, 0.5), (7, 1, 0.2), (7, 98, 0.9)], "entry long, term long, prob double")
+    got = onto.resolve_aliases(scores, onto.alias_map(terms, alt), "term")
+    assert sorted(map(tuple, got.select("entry", "term", "prob").collect())) == [(7, 1, 0.2), (7, 2, 0.5)]
+    (tmp_path / "x.obo").write_text("format-version: 1.2\n\n[Term]\nid: T:1\nname: root\nnamespace: a\nalt_id: T:9\n\n"
+                                    "[Term]\nid: T:2\nname: leaf\nnamespace: a\nis_a: T:9 ! old name\n\n")
+    _, e = formats.read_obo(spark, str(tmp_path / "x.obo"))
+    assert [tuple(r) for r in e.select("child", "parent").collect()] == [("T:2", "T:1")]
+
+
+def test_min_propagation_emits_no_zeros(spark):
+    from termflow.operators import ontology as onto
+    terms = spark.createDataFrame([(1, 0), (2, 0)], "term long, namespace long")
+    clo = onto.closure(spark.createDataFrame([(2, 1)], "child long, parent long"))
+    scores = spark.createDataFrame([(5, 2, 0.5), (6, 2, 0.5), (6, 1, 0.4)], "entry long, term long, prob double")
+    got = sorted(map(tuple, onto.propagate_min(scores, clo, terms).collect()))
+    assert got == [(6, 1, 0.4), (6, 2, 0.4)]
