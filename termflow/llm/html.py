@@ -39,14 +39,18 @@ _WORD = re.compile(r"[a-z]+")
 
 
 def leaning(tag: str, attributes: str, inherited: int) -> int:
-    """1: within content, -1: within boilerplate, 0: unknown; the innermost element that tells decides."""
-    if tag in BOILERPLATE_TAGS:
-        return 0 if tag == "label" and inherited > 0 else -1
+    """1: within content, -1: within boilerplate, 0: unknown; the innermost element that tells
+    decides.  A header within an article holds its title and belongs to it."""
+    if tag in BOILERPLATE_TAGS and not (tag == "header" and inherited > 0):
+        return -1
     found = set()
     if attributes and ("class" in attributes or "id" in attributes or "role" in attributes):
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             found.update(_WORD.findall((a or b or c).lower()))
-    if found & BOILERPLATE_WORDS and tag not in ("body", "html"):
+    against = found & BOILERPLATE_WORDS
+    if inherited > 0:
+        against -= {"header"}
+    if against and tag not in ("body", "html"):
         return -1
     if tag in CONTENT_TAGS or found & CONTENT_WORDS and tag not in ("body", "html"):
         return 1 if inherited >= 0 or tag in CONTENT_TAGS and tag != "article" else -1

@@ -15,6 +15,7 @@ from termflow.llm.html import extract, main_text, min_cut
      "The text.\nMore <b> text."),
     ("<article><p>Text.</p><section class=\"comments\"><p>I do not agree with any of this.</p></section></article><form><p>Your mail</p></form>", "Text."),
     ("<article><p>one<!-- <p>no</p> --> two</p><style>p{}</style></article><div id=cookie-notice>We use cookies.</div>", "one two"),
+    ("<header><p>Site name of ours.</p></header><article><header><h1>Title</h1></header><p>Body.</p><footer>Tags</footer></article>", "Title\nBody."),
     ("<article><p>cut off in a tag <a href='x", "cut off in a tag"),
     ("<body><div class=\"ad\">Buy now and save a lot of money today.</div><div><p>" + "A long paragraph tells a story. " * 10 + "</p></div></body>", ("A long paragraph tells a story. " * 10).strip()),
 ])
