@@ -30,6 +30,7 @@ SPLIT_PIECES = 2000
 #: are kept.  Frequent grams come last as minimizers; that moves work, and no result depends on it.
 SAMPLE_DOCS = 16_384
 MAX_FREQUENT = 1 << 18
+WITNESS = -1
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _K = [np.uint64(int(x) | 1) for x in mix64(np.arange(7, 13, dtype=np.uint64))]
 _TOP = np.uint64(1 << 63)
@@ -141,23 +142,24 @@ def shared_minimizers(texts: DataFrame, frequent, length: int) -> DataFrame:
             km, kd = km[once], kd[once]
             witness = kinds[n > 1]
             spread = mix64(km.view(np.uint64) ^ mix64(kd.view(np.uint64))).view(np.int64)
-            yield pd.DataFrame({"key": np.r_[m[~known], witness, spread], "m": np.r_[m[~known], witness, km],
-                                "doc": np.r_[doc[~known], np.zeros(len(witness), np.int64), kd],
-                                "kind": np.r_[np.zeros((~known).sum(), np.int8), np.ones(len(witness), np.int8), np.full(len(km), 2, np.int8)]})
+            # few bits a row: m is 0 but where the key is a random place, and WITNESS marks witnesses there
+            yield pd.DataFrame({"key": np.r_[m[~known], witness, spread],
+                                "m": np.r_[np.zeros((~known).sum(), np.int64), np.full(len(witness), WITNESS), km + 1],
+                                "doc": np.r_[doc[~known], np.zeros(len(witness), np.int64), kd]})
 
     def keep(frames):
         for f in sorted_runs(frames, "key"):
-            key, m, kind = f["key"].to_numpy(), f["m"].to_numpy(), f["kind"].to_numpy()
-            free = kind == 2  # known already
-            yield pd.DataFrame({"doc": f["doc"].to_numpy()[free], "m": m[free]})
-            key, doc, kind = key[~free], f["doc"].to_numpy()[~free], kind[~free]
+            key, m, doc = f["key"].to_numpy(), f["m"].to_numpy(), f["doc"].to_numpy()
+            free = m > 0  # known already
+            yield pd.DataFrame({"doc": doc[free], "m": m[free] - 1})
+            key, doc, seen = key[~free], doc[~free], m[~free] == WITNESS
             start, end = runs_of(key)
             if len(start):
-                ok = (end - start > 1) | (kind[start] == 1)
-                ok = np.repeat(ok, end - start) & (kind == 0)
+                ok = (end - start > 1) | np.logical_or.reduceat(seen, start)
+                ok = np.repeat(ok, end - start) & ~seen
                 yield pd.DataFrame({"doc": doc[ok], "m": key[ok]})
 
-    rows = texts.mapInPandas(emit, "key long, m long, doc long, kind byte")
+    rows = texts.mapInPandas(emit, "key long, m long, doc long")
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(keep, "doc long, m long")
 
 
