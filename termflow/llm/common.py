@@ -131,27 +131,27 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: (node, root), root = smallest id reachable.
 
-    Each round every node takes the smallest label among itself and its
-    neighbours, and then its label's label, so chains shorten by half.  The
-    labels are a stored table each round, so both sides of the joins are plain
-    shuffles that adaptive execution splits where a node has very many edges.
-    The loop ends when no label changes; more than ``max_rounds`` rounds raise.
+    A label is a node, so the labels are trees.  Each round every node and every
+    label hook under the smallest label that the node, or any member of the label's
+    tree, sees at an edge: whole trees merge, not only the nodes next to a smaller
+    tree.  Then every node takes its label's label.  So rounds grow as the logarithm
+    of the nodes, on chains too.  The labels are a stored table each round, so both
+    sides of the joins are plain shuffles that adaptive execution splits where a
+    node has very many edges.  The loop ends when no edge joins two labels.
     """
     edges = store(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = edges.select("a", "b").union(edges.select("b", "a"))
     labels = store(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    for _ in range(max_rounds):
+    while True:
         at = labels.select(F.col("node").alias("b"), F.col("root").alias("r"))
         near = both.join(at, "b").select(F.col("a").alias("node"), "r").groupBy("node").agg(F.min("r").alias("r"))
-        low = store(labels.join(near, "node").select("node", F.least("root", "r").alias("root"), F.col("root").alias("was")))
-        jump = low.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = store(low.join(jump, "root", "left").select("node", F.coalesce("up", "root").alias("root"), "was"))
-        if new.where("root <> was").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
+        low = store(labels.join(near, "node").select("node", "root", F.least("root", "r").alias("low")))
+        if low.where("low <> root").isEmpty():
+            return labels
+        hooks = low.select("node", "low").union(low.select("root", "low")).groupBy("node").agg(F.min("low").alias("root"))
+        hooks = store(hooks)
+        jump = hooks.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        labels = store(hooks.join(jump, "root").select("node", F.col("up").alias("root")))
