@@ -3,6 +3,8 @@ phrases, a shunting-yard parser evaluates and/or/with expressions of them."""
 
 from __future__ import annotations
 
+import re
+
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,6 +52,54 @@ def normal_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORD).split()
 
 
+_W = r"0-9A-Za-z\x80-\U0010ffff"
+#: A tag in the raw text, with what stands between it and its expression on the line.
+_TAGGED = re.compile(rf"(?<![{_W}])SPDX[^{_W}]+License[^{_W}]+Identifier(?![{_W}])[^{_W}(\r\n]*", re.IGNORECASE | re.ASCII)
+_TOKEN = re.compile(r"[ \t]*([()]|[0-9A-Za-z](?:[0-9A-Za-z.:+-]*[0-9A-Za-z+])?)")
+#: The first token after a line break and comment signs.
+_WRAPPED = re.compile(rf"[ \t]*[\r\n][^{_W}()]*" + _TOKEN.pattern)
+
+
+def tagged_tokens(text: str, at: int = 0) -> tuple[list[str], int]:
+    """Labels, operators and parentheses of the expression at ``at``, and the place of its end.
+
+    An identifier outside the fixed list is a label of its own, in lower case.  Prose may
+    follow: after a small-letter operator it takes more than small letters to be one, and
+    after a line break only identifiers of the list go on with the expression."""
+    out: list[str] = []
+    depth, operand, listed, small, last = 0, True, False, False, at
+    while True:
+        m = _TOKEN.match(text, at)
+        if m is None:
+            m, listed = _WRAPPED.match(text, at), True
+        if m is None:
+            break
+        t = m[1].lower()
+        if t in "()":
+            if t == "(" and not operand or t == ")" and (operand or not depth):
+                break
+            depth += 1 if operand else -1
+            out.append(t)
+        elif t in OPERATORS:
+            if operand:
+                break
+            out.append(t)
+            operand, small = True, m[1] == t
+        else:
+            known = IDENTIFIERS.get(" ".join(w.decode() for w in normal_words(t.removesuffix("+"))))
+            if not operand or known is None and (listed or small and m[1].isalpha() and m[1] == t):
+                break
+            out.append(known or t)
+            operand = False
+        at = m.end()
+        if not operand:
+            listed, last = False, at
+    while out and operand and (out[-1] in OPERATORS or out[-1] == "("):  # an operator without a right side ends before it
+        if out.pop() != "(":
+            operand = False
+    return out, last
+
+
 def shunting_yard(tokens: list[str]) -> list[str] | None:
     """Infix tokens (labels, and/or/with, parentheses) to postfix; None if malformed."""
     out: list[str] = []
@@ -102,7 +152,7 @@ def automaton() -> ahocorasick.Automaton:
     """One automaton over normalised text ' w1 w2 ... '; a pattern is a word
     sequence between single spaces."""
     found: dict[str, list[tuple[str, str]]] = {}
-    for kind, phrases in (("base", BASE), ("notice", NOTICES), ("id", IDENTIFIERS)):
+    for kind, phrases in (("base", BASE), ("notice", NOTICES)):
         for phrase, label in phrases.items():
             found.setdefault(phrase, []).append((kind, label))
     found[TAG] = [("tag", "")]
@@ -113,33 +163,32 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-def expressions(hits: list[tuple[int, int, list[tuple[str, str]]]], ws: list[bytes]) -> list[list[str]]:
-    """Infix expressions: labels that stand apart by nothing but one operator.
+def expressions(hits: list[tuple[int, int, list[tuple[str, str]]]], ws: list[bytes], tagged: list[tuple[int, int, list[str]]] = ()) -> list[list[str]]:
+    """Infix expressions: those of tags, and notice labels that stand apart by nothing but one operator.
 
-    ``hits`` are (first word, number of words, kinds).  After a tag the
-    identifiers count, elsewhere the notice phrases; at one place the longest wins."""
+    ``hits`` are (first word, number of words, kinds), ``tagged`` (first word, word after, tokens)
+    of the expressions after tags; at one place the longest notice phrase wins."""
     names: dict[int, tuple[int, str]] = {}
-    tags = {start + n for start, n, kinds in hits if any(k == "tag" for k, _ in kinds)}
-    idents = {}
     for start, n, kinds in hits:
         for kind, label in kinds:
-            if kind == "id":
-                if n > idents.get(start, (0, ""))[0]:
-                    idents[start] = (n, label)
-            elif kind in ("base", "notice") and n > names.get(start, (0, ""))[0]:
+            if kind in ("base", "notice") and n > names.get(start, (0, ""))[0]:
                 names[start] = (n, label)
+    after = {start: (end, tokens) for start, end, tokens in tagged}
     out, taken = [], -1
-    for start in sorted({*names, *(t for t in tags if t in idents)}):
+    for start in sorted({*names, *after}):
         if start < taken:
             continue
-        pool = idents if start in tags and start in idents else names
+        if start in after:
+            taken, line = after[start]
+            out.append(line)
+            continue
         at, line = start, []
-        while at in pool:
-            n, label = pool[at]
+        while at in names:
+            n, label = names[at]
             line.append(label)
             at += n
             op = ws[at].decode("utf-8", "surrogatepass") if at < len(ws) else ""
-            step = next((s for s in (at + 1, at + 2, at + 3) if s in pool), None)
+            step = next((s for s in (at + 1, at + 2, at + 3) if s in names), None)
             if op not in OPERATORS or step is None:
                 break
             line.append(op)
@@ -149,6 +198,18 @@ def expressions(hits: list[tuple[int, int, list[tuple[str, str]]]], ws: list[byt
     return out
 
 
+def tagged_places(text: str) -> list[tuple[int, int, list[str]]]:
+    """(first word, word after, tokens) of the expression after every tag of a text."""
+    out, words, spot = [], 0, 0
+    for m in _TAGGED.finditer(text):
+        tokens, end = tagged_tokens(text, m.end())
+        words += len(normal_words(text[spot:m.end()]))
+        spot = m.end()
+        if tokens:
+            out.append((words, words + max(1, len(normal_words(text[spot:end]))), tokens))
+    return out
+
+
 def scan_texts(texts: list[str], auto: ahocorasick.Automaton) -> pd.DataFrame:
     rows = []
     for text in texts:
@@ -160,9 +221,10 @@ def scan_texts(texts: list[str], auto: ahocorasick.Automaton) -> pd.DataFrame:
             spot = opening
             hits.append((words, n, kinds))
         base = sorted((s, n, label) for s, n, kinds in hits for kind, label in kinds if kind == "base")
-        exprs = expressions(hits, ws) if hits else []
+        tagged = tagged_places(text) if any(k == "tag" for *_, kinds in hits for k, _ in kinds) else []
+        exprs = expressions(hits, ws, tagged) if hits else []
         values = [evaluate(p) for e in exprs if (p := shunting_yard(e))]
-        labels = {x for e in exprs for x in e if x not in OPERATORS} | {label for *_, label in base}
+        labels = {x for e in exprs for x in e if x not in OPERATORS and x not in "()"} | {label for *_, label in base}
         rows.append((len(ws), len(base), base[0][0] if base else None, base[-1][0] if base else None,
                      ",".join(sorted({label for *_, label in base})), ",".join(sorted(labels)),
                      min(values) if values else 0.0, "; ".join(" ".join(e) for e in exprs)))

@@ -38,3 +38,15 @@ def test_shunting_yard():
     assert evaluate(shunting_yard("gpl with classpath-exception or reserved".split())) == 0.4 + 0.2
     for bad in ("mit or", "or mit", "( mit", "mit )", "mit gpl", ""):
         assert shunting_yard(bad.split()) is None
+
+
+def test_tagged_expressions(make_docs):
+    texts = ["# SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-3.0-only", "SPDX-License-Identifier: BSL-1.0", "SPDX-License-Identifier: MIT AND (LicenseRef-x OR Artistic-2.0)\ncc by",
+             "/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */", "SPDX-License-Identifier: 0BSD OR\n", "SPDX-License-Identifier: (MIT OR", "SPDX-License-Identifier: MIT or see the notes. All rights reserved", "# SPDX-License-Identifier: MIT OR\n#   Apache-2.0\n# next", "SPDX-License-Identifier:\n  ISC\nand more"]
+    got = scan(make_docs(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [r.expressions for r in got] == ["( mit or apache-2.0 ) and gpl-3.0", "bsl-1.0", "mit and ( licenseref-x or artistic-2.0 ); cc-by",
+                                           "gpl-2.0 with classpath-exception", "0bsd", "( mit", "mit; reserved", "mit or apache-2.0", "isc"]
+    assert [round(r.score, 3) for r in got] == [0.4, 0.5, 0.5, 0.6, 0.5, 0.0, 0.0, 1.0, 1.0]
+    assert got[2].labels == "artistic-2.0,cc-by,licenseref-x,mit" and got[0].labels == "apache-2.0,gpl-3.0,mit"
+    for r, t in zip(got, texts):
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(t)
