@@ -2,6 +2,8 @@
 
 from . import (  # noqa: F401  (registers)
     chat,
+    collocations,
+    decontaminate,
     forest,
     html,
     licences,
@@ -11,6 +13,7 @@ from . import (  # noqa: F401  (registers)
     shards,
     suffix,
     tokens,
+    whiten,
 )
 from .common import ORACLES, QUERIES
 
