@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import models as md
-from ..operators import qa
+from ..operators import newton, qa
 from ..sources import fixtures as fx
 from .common import ANNOT, PRED_A, PRED_B, TERMS, r6, register, sql
 
@@ -136,8 +136,8 @@ def _one_against_rest(e):
 def m1_m3_multilabel_logreg(s, d):
     e = fx.embeddings(s, d)
     labels = _one_against_rest(e)
-    models = md.fit_multilabel_logreg(e.select("entry", "vec"), labels, alpha=1e-2, max_iter=30)
-    return md.score_multilabel(models, e.select("entry", "vec")).select("entry", "label_id", r6("prob").alias("prob"))
+    fitted = newton.fit_newton(e.select("entry", "vec"), labels, alpha=1e-2, max_iter=30, tol=1e-10)
+    return newton.score_newton(fitted, e.select("entry", "vec")).select("entry", "label_id", r6("prob").alias("prob"))
 
 
 @register("m2_gbt_selected_labels")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_BYTES = 32 << 20
 PAIR_BYTES = 16  # a row of two long ids (edges, closure)
 
-_CHECKPOINT_SET: dict[int, str] = {}
+_CHECKPOINT_SET: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -49,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
     (local runs, tests) fall back to a fresh folder under /tmp."""
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _CHECKPOINT_SET:
         return _CHECKPOINT_SET[key]
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -79,7 +82,39 @@ def write_table(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the folder of a table that ``write_table`` wrote, once nothing reads it any more."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package (once an application),
+    unless the environment already puts it on their path."""
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    app = spark.sparkContext.applicationId
+    if os.path.realpath(top) in paths or app in _SHIPPED:
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for folder, _, names in os.walk(os.path.join(top, "termflow")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), top))
+    path = os.path.join(tempfile.mkdtemp(prefix="termflow-code-"), "termflow_package.zip")
+    with open(path, "wb") as f:
+        f.write(data.getvalue())
+    spark.sparkContext.addPyFile(path)  # Spark's file server hands it to the executors
+    _SHIPPED.add(app)
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, row_bytes: int = PAIR_BYTES) -> DataFrame:
