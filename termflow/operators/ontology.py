@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut_lineage, write_table
+from .levelwise import run_levels
 
 ENTRY, TERM = "entry", "term"
 
@@ -428,6 +429,9 @@ def propagate_fill(scores: DataFrame, edges: DataFrame, terms: DataFrame, value:
     Levels are heights (leaves 0); filled values travel child -> parent."""
     s = clip_scores(scores, value)
     lv, max_level = levels or term_levels(terms, edges, direction="up")
+    done = run_levels(s, lv, edges, {value: "fill"}, value, up=True)
+    if done is not None:
+        return done
     route = edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
 
     def combine(cur, msgs):
@@ -452,7 +456,16 @@ def conditional_to_marginal(scores: DataFrame, edges: DataFrame, terms: DataFram
     subset (other terms keep s).  Zero results are not emitted.
     """
     s = scores.select(ENTRY, TERM, value)
+    if mode not in ("any", "all"):
+        raise ValueError(mode)
     lv, max_level = levels or term_levels(terms, edges, direction="down")
+    cells, convert = s, None
+    if only_terms is not None:
+        k = broadcast_if_small(only_terms.select(F.col(TERM).alias("_k")).distinct())
+        cells, convert = s.join(k, F.col(TERM) == F.col("_k"), "left"), F.col("_k").isNotNull()
+    done = run_levels(cells, lv, edges, {value: mode}, value, convert=convert)
+    if done is not None:
+        return done
     route = edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
     n_par = broadcast_if_small(edges.groupBy(F.col("child").alias("_c2")).agg(F.count("*").alias("_np")))
     keep = None if only_terms is None else broadcast_if_small(only_terms.select(F.col(TERM).alias("_k")).distinct())
@@ -462,14 +475,12 @@ def conditional_to_marginal(scores: DataFrame, edges: DataFrame, terms: DataFram
         if mode == "any":
             agg = j.groupBy(ENTRY, TERM, value).agg(F.product(1 - F.coalesce("_mv", F.lit(0.0))).alias("_q"))
             new = agg.select(ENTRY, TERM, (F.col(value) * (1 - F.col("_q"))).alias("_new"), F.col(value).alias("_old"))
-        elif mode == "all":
+        else:
             agg = (j.groupBy(ENTRY, TERM, value)
                    .agg(F.product(F.coalesce("_mv", F.lit(0.0))).alias("_q"), F.count("_mv").alias("_m"))
                    .join(n_par, F.col(TERM) == F.col("_c2")))
             new = agg.select(ENTRY, TERM, F.when(F.col("_m") == F.col("_np"), F.col(value) * F.col("_q"))
                              .otherwise(F.lit(0.0)).alias("_new"), F.col(value).alias("_old"))
-        else:
-            raise ValueError(mode)
         if keep is not None:
             new = new.join(keep, F.col(TERM) == F.col("_k"), "left").select(
                 ENTRY, TERM, F.when(F.col("_k").isNotNull(), F.col("_new")).otherwise(F.col("_old")).alias("_new"),
@@ -489,6 +500,9 @@ def suppress_children(scores: DataFrame, edges: DataFrame, terms: DataFrame,
     if threshold <= 0:
         return s
     lv, max_level = levels or term_levels(terms, edges, direction="down")
+    done = run_levels(s, lv, edges, {value: "suppress"}, value, threshold=threshold)
+    if done is not None:
+        return done
     route = edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
 
     def combine(cur, msgs):
@@ -500,6 +514,33 @@ def suppress_children(scores: DataFrame, edges: DataFrame, terms: DataFrame,
     return _message_loop(s, lv, max_level, route, combine, value)
 
 
+def conditional_both(scores: DataFrame, edges: DataFrame, terms: DataFrame, kept: DataFrame | None = None, value: str = "prob",
+                     levels: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """Both marginals of many models in one pass: (entry, term, model, any, all), rows where one is not 0.
+
+    ``scores``: (entry, term, model, value).  ``kept``: (model, term) cells that hold marginals already (the terms a
+    raw model predicts); they keep their value and pass it on.
+    """
+    lv, max_level = levels or term_levels(terms, edges, direction="down")
+    cells, convert = scores.select(ENTRY, TERM, "model", value), None
+    if kept is not None:
+        k = kept.select(F.col("model").alias("_m"), F.col(TERM).alias("_k")).distinct()
+        cells = cells.join(k, (F.col("model") == F.col("_m")) & (F.col(TERM) == F.col("_k")), "left")
+        convert = F.col("_k").isNull()
+    done = run_levels(cells, lv, edges, {"any": "any", "all": "all"}, value, groups=(ENTRY, "model"), convert=convert)
+    if done is not None:
+        return done
+    out = None
+    for mode in ("any", "all"):  # a graph too large to broadcast: one join a level, each model's entries as entries of their own
+        one = cells.select(F.struct(ENTRY, "model").alias(ENTRY), TERM, value)
+        if kept is not None:
+            raise ValueError("cells that keep their value need a term graph that can be broadcast")
+        got = conditional_to_marginal(one, edges, terms, mode, value, (lv, max_level)).select(ENTRY, TERM, F.col(value).alias(mode))
+        out = got if out is None else out.join(got, [ENTRY, TERM], "full")
+    return out.select(F.col(ENTRY)[ENTRY].alias(ENTRY), TERM, F.col(ENTRY)["model"].alias("model"),
+                      F.coalesce("any", F.lit(0.0)).alias("any"), F.coalesce("all", F.lit(0.0)).alias("all"))
+
+
 def neighbour_aggregate(features: DataFrame, edges: DataFrame, direction: str = "bwd",
                         value: str = "prob", layers: int = 1) -> DataFrame:
     """Per layer, mean and max of the neighbours' values along a direction

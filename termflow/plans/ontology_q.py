@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import ontology as onto
@@ -55,7 +57,7 @@ SELECT entry, term, namespace, prob, CAST(rnk - 1 AS BIGINT) AS rank FROM (
   JOIN terms t ON v.term = t.term) WHERE rnk <= 500"""))
 def g8_w1_propagated_top500(spark, d):
     dims = Dims.of(spark, d)
-    v = onto.propagate_max(fx.predictions_b(spark, d), dims.closure, dims.terms)
+    v = onto.propagate_max(_dealt(spark, d), dims.closure, dims.terms)
     v = v.select("entry", "term", r6("prob").alias("prob"))
     ns = _ns(dims)
     v = v.join(ns, v.term == ns._t).drop("_t")
@@ -281,17 +283,22 @@ def _level_sql(kind, direction, propagated=False):
                body=f"SELECT entry, term, round(prob, 6) AS prob FROM v{MAX_SQL_LEVELS} WHERE prob <> 0")
 
 
+def _dealt(spark, d):
+    """Scores dealt once by entry: all that follows stays inside an entry and needs no further exchange."""
+    return fx.predictions_b(spark, d).repartition("entry")
+
+
 @register("g11_fill_propagation", _level_sql("fill", "up"))
 def g11_fill_propagation(spark, d):
     dims = Dims.of(spark, d)
-    out = onto.propagate_fill(fx.predictions_b(spark, d), dims.edges, dims.terms, levels=dims.levels("up"))
+    out = onto.propagate_fill(_dealt(spark, d), dims.edges, dims.terms, levels=dims.levels("up"))
     return out.select("entry", "term", r6("prob").alias("prob"))
 
 
 @register("g15_conditional_any_parent", _level_sql("any", "down", propagated=True))
 def g15_conditional_any_parent(spark, d):
     dims = Dims.of(spark, d)
-    s = onto.propagate_max(fx.predictions_b(spark, d), dims.closure, dims.terms)
+    s = onto.propagate_max(_dealt(spark, d), dims.closure, dims.terms)
     out = onto.conditional_to_marginal(s, dims.edges, dims.terms, "any", levels=dims.levels("down"))
     return out.select("entry", "term", r6("prob").alias("prob"))
 
@@ -299,15 +306,40 @@ def g15_conditional_any_parent(spark, d):
 @register("g16_conditional_all_parents", _level_sql("all", "down", propagated=True))
 def g16_conditional_all_parents(spark, d):
     dims = Dims.of(spark, d)
-    s = onto.propagate_max(fx.predictions_b(spark, d), dims.closure, dims.terms)
+    s = onto.propagate_max(_dealt(spark, d), dims.closure, dims.terms)
     out = onto.conditional_to_marginal(s, dims.edges, dims.terms, "all", levels=dims.levels("down"))
     return out.select("entry", "term", r6("prob").alias("prob"))
 
 
+def _chain(mode: str, kept: bool, name: str) -> str:
+    """The unrolled CTEs of a mode under names of their own; with ``kept`` even terms keep their value."""
+    text = _unrolled(mode, "prop_b", "lvl_down")
+    if kept:
+        old = {"any": "c.prob * (1 - product(1 - coalesce(v.prob, 0)))", "all": "CASE WHEN count(v.prob) = max(n.np) THEN c.prob * product(coalesce(v.prob, 0)) ELSE 0 END"}[mode]
+        text = text.replace(old, f"CASE WHEN c.term % 2 = 0 THEN c.prob ELSE {old} END")
+    return re.sub(r"\b(cells|npar|[vn]\d+)\b", rf"{name}_\1", text)
+
+
+def _both_sql() -> str:
+    one = "SELECT coalesce(x.entry, y.entry) AS entry, coalesce(x.term, y.term) AS term, '{m}' AS model, round(coalesce(x.prob, 0) + 1e-9, 6) AS \"any\", round(coalesce(y.prob, 0) + 1e-9, 6) AS \"all\" FROM (SELECT * FROM {m}any_v{k} WHERE prob <> 0) x FULL JOIN (SELECT * FROM {m}all_v{k} WHERE prob <> 0) y ON x.entry = y.entry AND x.term = y.term"
+    chains = [_chain(mode, m == "raw", m + mode) for m in ("cond", "raw") for mode in ("any", "all")]
+    return sql(EDGE, PRED_B, CLOSURE, RCLOSURE, PROP_B, ROOTS, DEPTH, *chains, body=" UNION ALL ".join(one.format(m=m, k=MAX_SQL_LEVELS) for m in ("cond", "raw")))
+
+
+@register("g16_both_marginals", _both_sql())
+def g16_both_marginals(spark, d):
+    dims = Dims.of(spark, d)
+    s = onto.propagate_max(_dealt(spark, d), dims.closure, dims.terms)
+    models = s.withColumn("model", F.explode(F.array(F.lit("cond"), F.lit("raw"))))
+    kept = dims.terms.where("term % 2 = 0").select(F.lit("raw").alias("model"), "term")
+    out = onto.conditional_both(models, dims.edges, dims.terms, kept, levels=dims.levels("down"))
+    return out.select("entry", "term", "model", r6(F.col("any") + 1e-9).alias("any"), r6(F.col("all") + 1e-9).alias("all"))  # off exact halves
+
+
 @register("g19_suppress_children", _level_sql("suppress", "down", propagated=True))
 def g19_suppress_children(spark, d):
     dims = Dims.of(spark, d)
-    s = onto.propagate_max(fx.predictions_b(spark, d), dims.closure, dims.terms)
+    s = onto.propagate_max(_dealt(spark, d), dims.closure, dims.terms)
     out = onto.suppress_children(s, dims.edges, dims.terms, threshold=0.5, levels=dims.levels("down"))
     return out.select("entry", "term", r6("prob").alias("prob"))
 

@@ -136,3 +136,59 @@ def test_min_propagation_emits_no_zeros(spark):
     scores = spark.createDataFrame([(5, 2, 0.5), (6, 2, 0.5), (6, 1, 0.4)], "entry long, term long, prob double")
     got = sorted(map(tuple, onto.propagate_min(scores, clo, terms).collect()))
     assert got == [(6, 1, 0.4), (6, 2, 0.4)]
+
+
+def _dense(parents, order, s, mode, keep=(), threshold=0.0):
+    """One entry, term by term in the order of levels, on plain dictionaries."""
+    v = {}
+    for t in order:
+        x = s.get(t, 0.0)
+        ps = [v[p] for p in parents[t]]
+        if ps and t not in keep:
+            if mode == "any":
+                q = 1.0
+                for p in ps:
+                    q *= 1 - p
+                x *= 1 - q
+            elif mode == "all":
+                for p in ps:
+                    x *= p
+            elif max(ps) < threshold:
+                x *= max(ps)
+        v[t] = x
+    return {t: x for t, x in v.items() if x}
+
+
+def test_level_modes_equal_a_dense_walk_and_the_join_form(spark, monkeypatch):
+    import random
+
+    from termflow.operators import levelwise
+    from termflow.operators import ontology as onto
+    rng = random.Random(3)
+    parents = {t: sorted(rng.sample(range(t), min(t, rng.choice([1, 1, 2, 3])))) if t > 2 else [] for t in range(30)}
+    edges = spark.createDataFrame([(c, p) for c, ps in parents.items() for p in ps], "child long, parent long")
+    terms = spark.createDataFrame([(t,) for t in range(30)], "term long")
+    scores = {e: {t: rng.choice([0.25, 0.5, 1.0, 0.9]) for t in rng.sample(range(30), rng.randrange(1, 30))} for e in range(40)}
+    cells = spark.createDataFrame([(e, t, x) for e, s in scores.items() for t, x in s.items()], "entry long, term long, prob double")
+    even = terms.where("term % 2 = 0")
+    runs = {"any": lambda: onto.conditional_to_marginal(cells, edges, terms, "any"), "all": lambda: onto.conditional_to_marginal(cells, edges, terms, "all"),
+            "kept": lambda: onto.conditional_to_marginal(cells, edges, terms, "any", only_terms=terms.where("term % 2 = 1")),
+            "suppress": lambda: onto.suppress_children(cells, edges, terms, 0.6), "fill": lambda: onto.propagate_fill(cells, edges, terms)}
+    want = {"any": {}, "all": {}, "kept": {}, "suppress": {}}
+    for e, s in scores.items():
+        for name, mode, keep in (("any", "any", ()), ("all", "all", ()), ("kept", "any", range(0, 30, 2)), ("suppress", "suppress", ())):
+            want[name] |= {(e, t): x for t, x in _dense(parents, range(30), s, mode, keep, 0.6).items()}
+    monkeypatch.setattr(levelwise, "CHUNK_CELLS", 64)
+    local = {k: {(r.entry, r.term): r.prob for r in f().collect()} for k, f in runs.items()}
+    for name, w in want.items():
+        assert local[name].keys() == w.keys() and all(abs(local[name][k] - x) < 1e-12 for k, x in w.items()), name
+    models = cells.selectExpr("entry", "term", "explode(array('c', 'r')) as model", "prob")
+    both = onto.conditional_both(models, edges, terms, even.selectExpr("'r' as model", "term")).collect()
+    assert {(r.entry, r.term): r["any"] for r in both if r.model == "r" and r["any"]}.keys() == want["kept"].keys()
+    for r in both:
+        if r.model == "c":
+            assert abs(r["any"] - want["any"].get((r.entry, r.term), 0)) < 1e-12 and abs(r["all"] - want["all"].get((r.entry, r.term), 0)) < 1e-12
+    monkeypatch.setattr(levelwise, "TOPOLOGY_BYTES", 0)  # the form for a graph that cannot be broadcast
+    for name, f in runs.items():
+        joined = {(r.entry, r.term): r.prob for r in f().collect()}
+        assert joined.keys() == local[name].keys() and all(abs(joined[k] - x) < 1e-12 for k, x in local[name].items()), name
