@@ -7,18 +7,21 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, mix64, query, store, table, text_of, with_key, words
+from .common import mix64, query, store, table, text_of, words
 
 #: Least number of hash buckets an order; there are as many as trusted n-grams, rounded up to a power of two.
 BUCKETS = 1 << 16
-#: Up to so many buckets an order the ratios go to every worker (4 bytes each, 64 MB for both orders); above, they stay a table and are joined.
-MOST_BROADCAST = 1 << 23
 ORDERS = (1, 2)  # words and pairs of words
 #: At most so many trusted rows are learnt from (those with the smallest hash of the id).
 TRUSTED_ROWS = 20_000
+#: Of those, in the same order, only as many as hold this many words together, and none of more than ``LONGEST_TRUSTED`` words:
+#: so there are at most 2^23 buckets an order, and the ratios of both orders are a broadcast of 64 MB at most.
+TRUSTED_WORDS, LONGEST_TRUSTED = 1 << 23, 1 << 16
 #: A document passes with a mean log ratio (natural units a word, over the orders) of at least
 #: this, where too few labelled rows can be held out to set the threshold from them.
 THRESHOLD = -0.5
@@ -27,6 +30,10 @@ LEAST_LABELLED, HELD_ROWS = 100, 2_000
 #: N-grams of prior belief a bucket.
 PRIOR = 1.0
 _SYMBOLS = b"#*$%&|<>"
+#: N-grams that a task gathers before it adds them to its table, and that it adds up before it empties the table.
+HELD_GRAMS, MOST_GRAMS = 1 << 19, 1 << 31
+#: Partial counts of so many neighbouring tasks are added up first.
+TASKS = 64
 
 
 def n_grams(text: str, buckets: int, cache: dict) -> list[np.ndarray]:
@@ -47,23 +54,88 @@ def n_grams(text: str, buckets: int, cache: dict) -> list[np.ndarray]:
     return out
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """The counts of a block of slots: gaps between used slots and counts less one, byte planes, compressed."""
+    at = np.flatnonzero(counts)
+    gaps, extra = np.diff(at, prepend=-1) - 1, counts[at] - 1
+    planes = [gaps & 255, gaps >> 8, *(extra >> np.uint64(8 * k) & np.uint64(255) for k in range(8))]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.astype(np.uint8).tobytes() for p in planes))
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, counts) of ``packed`` counts."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(10, -1)
+    at = np.cumsum(planes[0].astype(np.int64) + (planes[1].astype(np.int64) << 8) + 1) - 1
+    return at, sum(planes[2 + k].astype(np.uint64) << np.uint64(8 * k) for k in range(8)) + np.uint64(1)
+
+
+BLOCKS = "block int, side int, part long, counts binary"
+
+
 def bucket_counts(rows: DataFrame, buckets: int) -> DataFrame:
-    """(slot, n): n-gram counts of all rows; slot = order * buckets + bucket.  Each task adds up its own first."""
-    def run(frames):
-        total = np.zeros(len(ORDERS) * buckets, np.int64)
-        cache: dict = {}
-        for f in frames:
-            for text in f["text"]:
+    """(block, side, part, counts): n-gram counts of rows (side, text), packed by blocks of 65,536 slots; slot =
+    order * buckets + bucket.  Each task adds up its own in one table; a task's rows are of one side."""
+    def run(batches):
+        from pyspark import TaskContext
+        part, cache = TaskContext.get().partitionId(), {}
+        total, held, n_held, n_in, at_side = np.zeros(len(ORDERS) * buckets, np.uint32), [], 0, 0, 0
+
+        def add():
+            if held:
+                at, n = np.unique(np.concatenate(held), return_counts=True)
+                total[at] += n.astype(np.uint32)
+                held.clear()
+
+        def out():
+            add()
+            for block in range(len(total) // BUCKETS):
+                counts = total[block * BUCKETS:(block + 1) * BUCKETS]
+                if counts.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at_side], pa.int32()), pa.array([part], pa.int64()),
+                                                      pa.array([packed(counts.astype(np.uint64))], pa.binary())], ["block", "side", "part", "counts"])
+            total[:] = 0
+
+        for b in batches:
+            for side, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if side != at_side or n_in >= MOST_GRAMS:
+                    yield from out()
+                    at_side, n_in, n_held = side, 0, 0
                 for k, g in enumerate(n_grams(text, buckets, cache)):
-                    if len(g) > buckets // 12:
-                        total[k * buckets:(k + 1) * buckets] += np.bincount(g, minlength=buckets)
-                    else:
-                        np.add.at(total, g + k * buckets, 1)
-        for start in range(0, len(total), BUCKETS):
-            at = np.flatnonzero(total[start:start + BUCKETS]) + start
-            yield pd.DataFrame({"slot": at, "n": total[at]})
-
-    return rows.mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+                    held.append(g + k * buckets)
+                    n_held += len(g)
+                    n_in += len(g)
+                if n_held >= HELD_GRAMS:
+                    add()
+                    n_held = 0
+        yield from out()
+
+    return rows.select("side", "text").mapInArrow(run, BLOCKS)
+
+
+def added_up(counts: DataFrame, whole: bool) -> DataFrame:
+    """Packed counts added up by block and side over groups of tasks, or over all (``whole``): sorted rows stream through a table of one block."""
+    def run(batches):
+        key, total = None, np.zeros(BUCKETS, np.uint64)
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int64()),
+                                               pa.array([packed(total)], pa.binary())], ["block", "side", "part", "counts"])
+
+        for b in batches:
+            for block, side, part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                if key != (block, side, part):
+                    if key is not None:
+                        yield row()
+                    key = (block, side, part)
+                    total[:] = 0
+                at, n = unpacked(data.as_buffer())
+                total[at] += n
+        if key is not None:
+            yield row()
+
+    group = F.lit(0).cast("long") if whole else F.expr(f"part div {TASKS}")
+    dealt = counts.withColumn("part", group)
+    return dealt.repartition("block", "part").sortWithinPartitions("block", "side", "part").mapInArrow(run, BLOCKS)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
@@ -80,7 +152,12 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_ROWS)
     def least(rows, part, n):
         return rows.orderBy(F.xxhash64("id"), "id").limit(n).select("id", F.lit(part).alias("part"))
 
-    picked = (least(sides.where(F.col("good") & ~held), "trusted", most).union(least(sides.where(F.col("good") & held), "good", HELD_ROWS))
+    trusted = least(sides.where(F.col("good") & ~held), "trusted", most)
+    sizes = (docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("id")).groupBy("id", "part")
+             .agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")).where(F.col("n") <= LONGEST_TRUSTED))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # over ``most`` rows at most
+    trusted = sizes.withColumn("upto", upto).where(F.col("upto") <= TRUSTED_WORDS).select("id", "part")
+    picked = (trusted.union(least(sides.where(F.col("good") & held), "good", HELD_ROWS))
               .union(least(sides.where(F.col("bad") & ~F.col("good") & held), "bad", HELD_ROWS)))
     return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("part", "text")
 
@@ -96,34 +173,25 @@ def buckets_for(trusted: DataFrame) -> int:
     return max(BUCKETS, 1 << max(n - 1, 0).bit_length())
 
 
-def ratio_table(trusted: DataFrame, raw: DataFrame, buckets: int) -> DataFrame:
-    """(slot, ratio) of the buckets of the raw corpus: log p(bucket | trusted) - log p(bucket | raw).
+def ratios_of(trusted: DataFrame, raw: DataFrame, buckets: int) -> np.ndarray:
+    """The array (order, bucket) of log p(bucket | trusted) - log p(bucket | raw), 4 bytes each.
 
     Both sides are smoothed by ``PRIOR`` n-grams spread as in the raw corpus: the ratio is
     log((seen + PRIOR) / (expected + PRIOR)), expected = trusted n-grams * raw share, so an
     n-gram too rare to be expected in the trusted rows says nothing against a document."""
-    seen = store(bucket_counts(trusted, buckets)).withColumnRenamed("n", "seen")
-    full = store(bucket_counts(raw, buckets))
-    order = F.floor(F.col("slot") / buckets).cast("int").alias("k")
-    sums = [{r.k: r.s for r in c.groupBy(order).agg(F.sum(x).alias("s")).collect()} for c, x in ((seen, "seen"), (full, "n"))]
-    share = F.lit(0.0)
-    for k in range(len(ORDERS)):
-        share = F.when(F.col("slot") >= k * buckets, float(sums[0].get(k, 0)) / max(sums[1].get(k, 0), 1)).otherwise(share)
-    expected = F.col("n") * share
-    ratio = F.log((F.coalesce("seen", F.lit(0)) + PRIOR) / (expected + PRIOR))
-    return full.join(seen, "slot", "left").select("slot", ratio.cast("float").alias("ratio"))
-
-
-def gathered(ratios: DataFrame, buckets: int) -> np.ndarray:
-    """The ratios as an array (order, bucket); slots come packed by 65,536, 4 bytes each."""
-    def pack(f):
-        part = np.zeros(BUCKETS, np.float32)
-        part[f["slot"].to_numpy() % BUCKETS] = f["ratio"].to_numpy()
-        return pd.DataFrame({"block": [int(f["slot"].iat[0]) // BUCKETS], "part": [part.tobytes()]})
-
-    out = np.zeros(len(ORDERS) * buckets, np.float32)
-    for r in ratios.groupBy(F.floor(F.col("slot") / BUCKETS)).applyInPandas(pack, "block long, part binary").toLocalIterator():
-        out[r.block * BUCKETS:(r.block + 1) * BUCKETS] = np.frombuffer(r.part, np.float32)
+    sides = trusted.select(F.lit(1).alias("side"), "text").unionByName(raw.select(F.lit(0).alias("side"), "text"))
+    counts = store(added_up(added_up(bucket_counts(sides, buckets), False), True))
+    out, seen = np.zeros(len(ORDERS) * buckets, np.float32), np.zeros(len(ORDERS) * buckets, np.uint32)
+    sums = np.zeros((2, len(ORDERS)))
+    for r in counts.toLocalIterator():
+        at, n = unpacked(bytes(r.counts))
+        at += r.block * BUCKETS
+        sums[r.side, r.block * BUCKETS // buckets] += float(n.sum())
+        (seen if r.side else out)[at] = n  # raw counts above 2^24 keep 24 bits
+    for at in range(0, len(out), BUCKETS):
+        k, part = at // buckets, slice(at, at + BUCKETS)
+        expected = out[part].astype(np.float64) * (sums[1, k] / max(sums[0, k], 1.0))
+        out[part] = np.where(out[part] > 0, np.log((seen[part] + PRIOR) / (expected + PRIOR)), 0.0)
     return out.reshape(len(ORDERS), buckets)
 
 
@@ -166,8 +234,8 @@ def measure(text: str) -> tuple:
 
 def llr(grams: list[np.ndarray], ratios: np.ndarray) -> float:
     """Mean log ratio an n-gram, averaged over the orders that the text has."""
-    means = [float(ratios[k][g].mean()) for k, g in enumerate(grams) if len(g)]
-    return sum(means) / len(means) if means else 0.0
+    means = [float(ratios[k][g].mean(dtype=np.float64)) for k, g in enumerate(grams) if len(g)]
+    return round(sum(means) / len(means), 9) if means else 0.0
 
 
 RESULT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -181,24 +249,6 @@ def measured(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in MEASURED.split(", ")])
 
 
-def scored(rows: DataFrame, ratios: DataFrame, buckets: int, text_col: str) -> DataFrame:
-    """``rows`` with ``__llr`` by a join of the n-grams of every document with ``ratios``."""
-    def run(frames):
-        cache: dict = {}
-        for f in frames:
-            for key, text in zip(f[KEY], f["text"]):
-                for k, g in enumerate(n_grams(text, buckets, cache)):
-                    at, n = np.unique(g, return_counts=True)
-                    yield pd.DataFrame({KEY: key, "k": k, "slot": at + k * buckets, "n": n})
-
-    rows = with_key(rows.withColumn("__null", F.lit(None).cast("long")), "__null").drop("__null")
-    rows = store(rows)  # from here on the keys are fixed
-    grams = rows.select(KEY, text_of(text_col).alias("text")).mapInPandas(run, f"{KEY} long, k int, slot long, n long")
-    means = grams.join(ratios, "slot").groupBy(KEY, "k").agg((F.sum(F.col("n") * F.col("ratio").cast("double")) / F.sum("n")).alias("mean"))
-    llrs = means.groupBy(KEY).agg(F.avg("mean").alias("__llr"))
-    return rows.join(llrs, KEY, "left").withColumn("__llr", F.coalesce("__llr", F.lit(0.0))).drop(KEY)
-
-
 class Rules:
     """The rules learnt from a corpus and its labels: ``apply`` puts them on any texts."""
 
@@ -207,36 +257,26 @@ class Rules:
         known = store(labelled_rows(rows, labels))
         trusted = known.where("part = 'trusted'").select("text")
         self.buckets = buckets_for(trusted)
-        self.ratios = ratio_table(trusted, rows.select("text"), self.buckets)
-        self.shared = None
-        if self.buckets <= MOST_BROADCAST:
-            self.shared = docs.sparkSession.sparkContext.broadcast(gathered(self.ratios, self.buckets))
-        else:
-            self.ratios = store(self.ratios)
+        self.shared = docs.sparkSession.sparkContext.broadcast(ratios_of(trusted, rows.select("text"), self.buckets))
         self.threshold = THRESHOLD if threshold is None else threshold
         if threshold is None:
             held = self.apply(known.where("part <> 'trusted'")).where("not __rules.base_failed").select("part", "__rules.llr").toPandas()
             self.threshold = best_threshold(held["llr"][held["part"] == "good"].to_numpy(), held["llr"][held["part"] == "bad"].to_numpy())
 
-    def apply(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``docs`` with the struct ``__rules``, fields as in ``RESULT``."""
-        if self.shared is not None:
-            shared = self.shared
+    def apply(self, docs: DataFrame, text_col: str = "text", as_col: str = "__rules") -> DataFrame:
+        """``docs`` with the struct ``as_col``, fields as in ``RESULT``."""
+        shared = self.shared
 
-            @F.pandas_udf(MEASURED + ", llr double")
-            def rules(texts: pd.Series) -> pd.DataFrame:
-                cache: dict = {}
-                got = measured(texts)
-                got["llr"] = [llr(n_grams(t, shared.value.shape[1], cache), shared.value) for t in texts]
-                return got
+        @F.pandas_udf(MEASURED + ", llr double")
+        def rules(texts: pd.Series) -> pd.DataFrame:
+            cache: dict = {}
+            got = measured(texts)
+            got["llr"] = [llr(n_grams(t, shared.value.shape[1], cache), shared.value) for t in texts]
+            return got
 
-            out = docs.withColumn("__rules", rules(text_of(text_col)))
-        else:
-            base = F.pandas_udf(measured, MEASURED)
-            out = scored(docs, self.ratios, self.buckets, text_col).withColumn("__rules", base(text_of(text_col)))
-            out = out.withColumn("__rules", F.col("__rules").withField("llr", F.col("__llr"))).drop("__llr")
-        kept = ~F.col("__rules.base_failed") & (F.col("__rules.llr") >= self.threshold)
-        return out.withColumn("__rules", F.col("__rules").withField("kept", kept))
+        out = docs.withColumn(as_col, rules(text_of(text_col)))
+        kept = ~F.col(as_col)["base_failed"] & (F.col(as_col)["llr"] >= self.threshold)
+        return out.withColumn(as_col, F.col(as_col).withField("kept", kept))
 
 
 def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
@@ -260,8 +300,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     A null text has no words and fails.  Null ids and repeated rows are judged on
     their own.  Without labels the ratio is near 0 for every document and only
     the base rules decide.  Corpus counts cover all documents; the trusted side
-    is learnt from at most ``TRUSTED_ROWS`` labelled rows.  Without ``threshold``
-    it is set from labelled rows that are held out.
+    is learnt from at most ``TRUSTED_ROWS`` labelled rows of ``TRUSTED_WORDS`` words
+    together.  Without ``threshold`` it is set from labelled rows that are held out where
+    at least ``LEAST_LABELLED`` of either side are labelled and ten of either side are held; with fewer it is ``THRESHOLD``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     judged = Rules(docs, labels, id_col, text_col, threshold).apply(rows)

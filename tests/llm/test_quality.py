@@ -1,4 +1,6 @@
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -55,7 +57,7 @@ def test_verdicts(llm, make_docs):
 
 
 def test_buckets_and_threshold_follow_the_labels(llm, make_docs, monkeypatch):
-    """Junk of ordinary letters is told from prose among 150,000 trusted pairs, on the broadcast and the joined path."""
+    """Junk of ordinary letters is told from prose among 150,000 trusted pairs, and every score equals a plain-dictionary count."""
     rng = np.random.default_rng(5)
     prose = [" ".join(f"w{i}" for i in rng.integers(0, 1500, 500)) for _ in range(400)]
     junk = [" ".join(f"w{i}" for i in np.r_[rng.integers(0, 1500, 420), rng.integers(9000, 9400, 80)]) for _ in range(250)]
@@ -65,9 +67,54 @@ def test_buckets_and_threshold_follow_the_labels(llm, make_docs, monkeypatch):
     got = quality.quality(docs, labels).toPandas().set_index("doc_id")
     assert got.loc[list(range(400)), "kept"].mean() > 0.97
     assert got.loc[[1000 + i for i in range(150, 250)], "kept"].mean() < 0.03
-    monkeypatch.setattr(quality, "MOST_BROADCAST", 0)
-    joined = quality.quality(docs, labels).toPandas().set_index("doc_id").loc[got.index]
-    assert np.allclose(got.llr, joined.llr, atol=1e-5) and (got.kept == joined.kept).mean() > 0.99
+    rules = quality.Rules(docs, labels)
+    picked = quality.labelled_rows(docs, labels).where("part = 'trusted'").collect()
+    want = plain_ratios([r.text for r in picked], [t for _, t in rows], rules.buckets)
+    for i, t in rows[::7]:
+        means = [sum(want[k][g] for g in grams) / len(grams) for k, grams in enumerate(plain_grams(t, rules.buckets))]
+        assert abs(got.llr[i] - sum(means) / 2) < 1e-6
+        assert got.kept[i] == (not got.base_failed[i] and got.llr[i] >= rules.threshold)
+    monkeypatch.setattr(quality, "HELD_GRAMS", 100)
+    monkeypatch.setattr(quality, "MOST_GRAMS", 10_000)
+    monkeypatch.setattr(quality, "TASKS", 1)
+    again = quality.quality(docs.repartition(7), labels).toPandas().set_index("doc_id").loc[got.index]
+    assert (got.llr == again.llr).all() and (got.kept == again.kept).all()
+
+
+def plain_grams(text, buckets):
+    """Buckets of words and pairs, one by one."""
+    h = [zlib.crc32(w.encode()) + 1 for w in WORD.findall(text.lower())]
+    mix = lambda v: int(quality.mix64(np.array([v % 2**64], np.uint64))[0]) % buckets
+    return [[mix(a) for a in h], [mix(a * 0x9E3779B97F4A7C15 + b) for a, b in zip(h, h[1:])]]
+
+
+def plain_ratios(trusted, raw, buckets):
+    out = []
+    sides = [[plain_grams(t, buckets) for t in texts] for texts in (trusted, raw)]
+    for k in range(2):
+        seen, full = (Counter(g for grams in side for g in grams[k]) for side in sides)
+        share = sum(seen.values()) / sum(full.values())
+        out.append({g: math.log((seen[g] + 1) / (n * share + 1)) for g, n in full.items()})
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(0, 65535), st.integers(1, 2**62), max_size=50))
+def test_packed_blocks(counts):
+    block = np.zeros(quality.BUCKETS, np.uint64)
+    for k, v in counts.items():
+        block[k] = v
+    at, n = quality.unpacked(quality.packed(block))
+    assert dict(zip(at.tolist(), n.tolist())) == counts
+
+
+def test_trusted_words_are_bounded(llm, make_docs, monkeypatch):
+    docs = make_docs([(i, "w " * (5 if i % 2 else 50)) for i in range(40)])
+    labels = llm.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "LONGEST_TRUSTED", 20)
+    monkeypatch.setattr(quality, "TRUSTED_WORDS", 33)
+    picked = quality.labelled_rows(docs, labels).collect()
+    assert len(picked) == 6 and all(len(r.text.split()) == 5 for r in picked)
 
 
 def test_best_threshold():
