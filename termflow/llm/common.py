@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termflow.session import ensure_checkpoint_dir
@@ -74,7 +74,17 @@ def store(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path  # for drop_table
+    return out
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, longer by underscores until no column has it (Spark compares names without case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
 
 
 def text_of(name: str = "text") -> Column:
@@ -84,11 +94,30 @@ def text_of(name: str = "text") -> Column:
 KEY = "__row_key"
 
 
-def with_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with a unique row key: the id, or, where ids repeat or are missing
-    anywhere, a number in scan order (the same for every reading of stored rows)."""
-    n, known, kinds = docs.select(F.col(id_col).alias("i")).agg(F.count(F.lit(1)), F.count("i"), F.count_distinct("i")).first()
-    return docs.withColumn(KEY, F.col(id_col).cast("long") if n == known == kinds else F.monotonically_increasing_id())
+#: Keys of rows that have no id of their own lie from here on.
+SHARED_KEYS = 1 << 62
+
+
+def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+    """``docs`` with a unique row key: the id of a row that no other row has; rows whose id is missing or repeats come after
+    all others, in the order of (id, null last, hash of the text).  No other row's key depends on them, nor any key on
+    how the table is laid out."""
+    ids = docs.select(F.col(id_col).cast("long").alias("i"))
+    n, kinds, most = ids.agg(F.count(F.lit(1)), F.count_distinct("i"), F.max("i")).first()
+    if n == kinds and (most or 0) < SHARED_KEYS:
+        return docs.withColumn(key, F.col(id_col).cast("long"))
+    i, h, part, nth = (fresh(x, [*docs.columns, key]) for x in ("_i", "_h", "_part", "_nth"))
+    again = ids.groupBy("i").count().where(F.col("count") > 1).select(F.col("i").alias(fresh("_again", docs.columns)))
+    marked = docs.withColumn(i, F.col(id_col).cast("long")).join(again, F.col(i) == again[again.columns[0]], "left")
+    own = F.col(i).isNotNull() & F.col(again.columns[0]).isNull() & (F.col(i) < SHARED_KEYS)
+    shared = marked.where(~own).drop(again.columns[0]).withColumn(h, F.xxhash64(text_col))
+    order = (F.col(i).asc_nulls_last(), F.col(h))
+    shared = store(shared.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(nth, F.monotonically_increasing_id() % (1 << 33)))
+    sizes = shared.groupBy(F.col(part).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
+    shared = shared.join(F.broadcast(sizes.select("p", before.alias("before"))), F.col(part) == F.col("p")).withColumn(key, F.lit(SHARED_KEYS) + F.col("before") + F.col(nth))
+    cols = [*docs.columns, key]
+    return marked.where(own).withColumn(key, F.col(i)).select(*cols).unionByName(shared.select(*cols))
 
 
 def words(text: str) -> list[bytes]:

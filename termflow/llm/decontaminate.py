@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, query, ship, store, table
+from .common import fresh, mix64, query, ship, store, table
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 10
@@ -194,14 +194,6 @@ def blocks(bench: DataFrame, id_col: str, text_col: str, size: int, most: int) -
         yield Windows([(r.item, bytes(r.words).split(b" ")) for r in part.collect()], size)
 
 
-def fresh(name: str, taken: list[str]) -> str:
-    """``name``, longer by underscores until no column has it (Spark compares names without case)."""
-    low = {c.lower() for c in taken}
-    while name.lower() in low:
-        name = f"_{name}"
-    return name
-
-
 FOUND = "struct<n_words: bigint, runs: array<struct<first: bigint, after: bigint>>, items: array<string>>"
 
 

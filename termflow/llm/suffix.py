@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termflow.session import drop_table
+
 from .common import mix64, query, runs_of, sorted_runs, store, table, text_of
 
 LENGTH = 100  # bytes of a repeated string
@@ -211,28 +213,52 @@ def eight_bytes(b: np.ndarray) -> np.ndarray:
 
 def suffix_array(b: np.ndarray) -> np.ndarray:
     """All suffixes in order (Larsson-Sadakane: each round sorts only the groups that are
-    still together, by the rank h places on, and doubles h)."""
+    still together, by the rank h places on, and doubles h).
+
+    Group, next rank and place share one 64-bit number where they fit, so that a plain sort of numbers does."""
     n = len(b)
-    key = eight_bytes(b)
-    sa = np.argsort(key, kind="stable")
-    head = np.r_[True, key[sa[1:]] != key[sa[:-1]]]
-    h = 8
-    rank = np.empty(n + 1, np.int64)
+    n_bits = n.bit_length()
+    kind = np.int32 if n_bits < 31 else np.int64
+    used = np.flatnonzero(np.bincount(b, minlength=256))
+    code = np.zeros(256, np.uint64)
+    code[used] = np.arange(1, len(used) + 1)
+    bits = len(used).bit_length()
+    h = (64 - n_bits) // bits  # symbols that the first sort sees
+    wide = np.r_[code[b], np.zeros(h, np.uint64)]
+    key = np.zeros(n, np.uint64)
+    for k in range(h):
+        key = (key << np.uint64(bits)) | wide[k:k + n]
+    packed = (key << np.uint64(n_bits)) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    sa = (packed & np.uint64((1 << n_bits) - 1)).astype(kind)
+    packed >>= np.uint64(n_bits)
+    head = np.r_[True, packed[1:] != packed[:-1]]
+    rank = np.empty(n + 1, kind)
     rank[n] = -1
+    at = np.arange(n, dtype=kind)
+    s = sa
     while True:
-        number = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        rank[sa] = number
-        alone = head & np.r_[head[1:], True]
-        at = np.flatnonzero(~alone)  # places in groups that are not sorted out yet
-        if not len(at):
+        first = np.flatnonzero(head)
+        rank[s] = np.repeat(at[first], np.diff(np.r_[first, len(at)]))
+        open_ = np.flatnonzero(~(head & np.r_[head[1:], True]))
+        if not len(open_):
             return sa
-        s = sa[at]
-        nxt = rank[np.minimum(s + h, n)]
-        group = number[at]
-        order = np.argsort(group * (n + 1) + nxt + 1, kind="stable")  # groups stand in order already
-        s, nxt = s[order], nxt[order]
+        at, s, head = at[open_], s[open_], head[open_]
+        m_bits = len(at).bit_length()
+        group = np.cumsum(head) 
+        nxt = rank[np.minimum(s + kind(min(h, n)), n)] + 1
+        if int(group[-1]).bit_length() + n_bits + m_bits <= 64:
+            packed = ((group.astype(np.uint64) << np.uint64(n_bits) | nxt.astype(np.uint64)) << np.uint64(m_bits)) | np.arange(len(at), dtype=np.uint64)
+            packed.sort()
+            order = (packed & np.uint64((1 << m_bits) - 1)).astype(np.int64)
+            packed >>= np.uint64(m_bits)
+        else:
+            packed = group * (n + 1) + nxt.astype(np.int64)
+            order = np.argsort(packed, kind="stable")
+            packed = packed[order]
+        s = s[order]
         sa[at] = s
-        head[at[1:]] = (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])
+        head = np.r_[True, packed[1:] != packed[:-1]]
         h *= 2
 
 
@@ -401,16 +427,23 @@ def removed_ranges(texts: DataFrame, length: int = LENGTH, split: int = SPLIT_PI
                   .select("piece", "m", F.col("at.doc").alias("doc"), F.col("at.start").alias("start"), "text"))
     # every place of a piece but the earliest repeats it whole
     own = kinds.select("piece", F.col("doc").alias("d"), F.col("start").alias("s"))
-    copies = (found.drop("text").join(own, "piece").where("doc > d or doc = d and start > s")
-              .select("doc", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi")))
+    copies = store(found.drop("text").join(own, "piece").where("doc > d or doc = d and start > s")
+                   .select("doc", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi")))
+    drop_table(found)  # from here on every text stands once
     big = store(kinds.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > split))
     usual = kinds.join(big, "m", "left_anti")
     parts = F.ceil(F.col("n") / split)
     dealt = kinds.join(big, "m").withColumn("shard", F.xxhash64("m", F.pmod(F.xxhash64("piece"), parts))).drop("n", "m")
+    used = [kinds, copies, big]
     ranges = copies.unionByName(repeats_in_shards(usual, length))
     if not big.isEmpty():
-        ranges = ranges.unionByName(merge_shards(store(sorted_windows(dealt, length)), length))
-    return store(ranges.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges")))
+        used.append(store(sorted_windows(dealt, length)))
+        ranges = ranges.unionByName(merge_shards(used[-1], length))
+    out = store(ranges.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges")))
+    for t in used:
+        drop_table(t)
+    frequent.unpersist()
+    return out
 
 
 def union_of(ranges) -> tuple[np.ndarray, np.ndarray]:
