@@ -64,16 +64,25 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a restart point
-    that survives lost executors, and a plain scan for the plans above it."""
+    that survives lost executors, and a plain scan for the plans above it.  The shuffle
+    files of the write go with its end: nothing reads them again."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path  # for drop_table
     return out
