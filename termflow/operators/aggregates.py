@@ -66,18 +66,29 @@ def vector_stats(df: DataFrame, vec: str = "vec") -> DataFrame:
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson, and Spearman as Pearson of average (tie-averaged) ranks.
 
-    Ranks come from the table of *distinct* values with their counts (a
-    running sum over it), not from sorting every row; the rank table is
-    joined back on the value."""
-    from ..session import broadcast_if_small
+    The pairs are stored once, counted by distinct (a, b).  Ranks come from the *distinct* values of a side with their counts,
+    by running counts over range partitions: no task holds more than a range of them."""
+    from ..session import broadcast_if_small, write_table
+    from .features import running_sum
+
+    cells = write_table(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("_n")))
 
     def avg_rank(col):
-        counts = df.groupBy(col).agg(F.count("*").alias("_c"))
-        w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranks = counts.select(col, (F.sum("_c").over(w) - (F.col("_c") - 1) / 2.0).alias(f"_rk_{col}"))
-        return broadcast_if_small(ranks)
-    ranked = df.join(avg_rank(a), a).join(avg_rank(b), b)
-    return ranked.agg(F.corr(a, b).alias("pearson"), F.corr(f"_rk_{a}", f"_rk_{b}").alias("spearman"))
+        counts = running_sum(cells.groupBy(col).agg(F.sum("_n").alias("_c")), [col], "_c", "_upto")
+        return broadcast_if_small(counts.select(col, (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(f"_rk_{col}")))
+
+    ranked = cells.join(avg_rank(a), a).join(avg_rank(b), b)
+
+    def corr(x, y):
+        n, w = F.sum("_n"), F.col("_n")
+        mx, my = F.sum(w * x) / n, F.sum(w * y) / n
+        cov = F.sum(w * x * y) / n - mx * my
+        return cov / F.sqrt((F.sum(w * x * x) / n - mx * mx) * (F.sum(w * y * y) / n - my * my))
+
+    shift = cells.agg((F.sum("_n") / 2.0).alias("_mid"))  # ranks about their middle, so that no digits are lost in the squares
+    ranked = ranked.crossJoin(F.broadcast(shift))  # one row
+    return ranked.agg(corr(F.col(a), F.col(b)).alias("pearson"),
+                      corr((F.col(f"_rk_{a}") - F.col("_mid")) / F.col("_mid"), (F.col(f"_rk_{b}") - F.col("_mid")) / F.col("_mid")).alias("spearman"))
 
 
 def histogram(df: DataFrame, col: str, bins: int, lo: float = 0.0, hi: float = 1.0) -> DataFrame:

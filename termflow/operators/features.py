@@ -2,7 +2,7 @@
 
 Vocabularies are small dimension tables (species, ranks, labels); their dense
 indexes use a window.  Large id sets (entries) get dense ids through the
-RDD ``zipWithIndex`` of a sorted DataFrame, which assigns offsets per
+RDD ``range positions`` of a sorted DataFrame, which assigns offsets per
 partition instead of pulling every row into one task.
 """
 
@@ -31,6 +31,20 @@ def dense_ids(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
     return ids.withColumn("_in", inside).join(first, "_part").select(col, (F.col("_first") + F.col("_in")).cast("long").alias(out))
 
 
+def running_sum(df: DataFrame, order: list[str], value: str, out: str = "upto") -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to each, in the order of ``order`` (which must tell rows apart), and its
+    place (from 0) as ``out_no``.  Rows are dealt by range and stored; a row's sum is that within its range plus the sums of the
+    ranges before it, so only one small row a range goes through a single task."""
+    parts = write_table(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    upto = F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = parts.withColumn("_in", upto).withColumn("_nth", F.row_number().over(inside) - 1).join(F.broadcast(first), "_part")
+    return got.withColumn(out, F.col("_s0") + F.col("_in")).withColumn(f"{out}_no", F.col("_n0") + F.col("_nth")).drop("_part", "_in", "_nth", "_s0", "_n0")
+
+
 def vocabulary(values: DataFrame, col: str, min_count: int = 1, top_k: int | None = None,
                rare_bucket: bool = True, start: int = 0) -> DataFrame:
     """Value -> index by descending frequency (ties by value).

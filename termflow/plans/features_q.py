@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..operators import features as fe
+from ..operators import similar
 from ..operators import ontology as onto
 from ..operators import ranking as rk
 from ..sources import fixtures as fx
@@ -203,6 +204,28 @@ def j16_hit_label_transfer(s, d):
     return out.select("entry", "term", r6("prob").alias("prob"), "n_hits")
 
 
+J16_SQL = r"""
+WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents),
+s AS (SELECT DISTINCT id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS g
+  FROM (SELECT id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS query, b.id AS target, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id WHERE a.id % 20 = 0 GROUP BY a.id, b.id),
+j AS (SELECT query, target, shared, x.n AS n_query, y.n AS n_target FROM p JOIN n x ON x.id = query JOIN n y ON y.id = target
+  WHERE shared * 10 >= (x.n + y.n - shared) * 5)
+SELECT query, target, CAST(shared AS INTEGER) AS shared, CAST(n_query AS INTEGER) AS n_query, CAST(n_target AS INTEGER) AS n_target,
+  round(shared / CAST(n_query + n_target - shared AS DOUBLE), 6) AS similarity,
+  CAST(row_number() OVER (PARTITION BY query ORDER BY shared / CAST(n_query + n_target - shared AS DOUBLE) DESC, target) AS INTEGER) AS rank
+FROM j QUALIFY rank <= 5"""
+
+
+@register("j16_similar_sequences", J16_SQL)
+def j16_similar_sequences(s, d):
+    """Every twentieth document as a query against all, as sequences of words."""
+    docs = fx.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+").alias("seq"))
+    out = similar.similar_sequences(docs.where("id % 20 = 0"), docs, k=3, least=0.5, top=5)
+    return out.select("query", "target", "shared", "n_query", "n_target", r6("similarity").alias("similarity"), "rank")
+
+
 @register("j11_alignment_join", """
 SELECT 'V' || CAST(vec_id AS VARCHAR) AS id, vec_id AS ref_ord, CASE WHEN vec_id % 2 = 0 THEN label END AS label FROM embeddings""")
 def j11_alignment_join(s, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import features as fe
 from ..operators import models as md
 from ..operators import newton, qa
 from ..sources import fixtures as fx
@@ -92,12 +93,11 @@ SELECT count(a.id) AS n_a, count(b.id) AS n_b, count(*) FILTER (WHERE a.id IS DI
        min(CASE WHEN a.id IS DISTINCT FROM b.id THEN coalesce(a.pos, b.pos) END) AS first_mismatch
 FROM a FULL JOIN b ON a.pos = b.pos"""))
 def v9_alignment_check(s, d):
-    from pyspark.sql import Window
     e = fx.table(s, d, "embeddings")
-    a = e.select(F.col("vec_id").alias("id"), F.row_number().over(Window.orderBy("vec_id")).cast("bigint").alias("ord"))
+    a = fe.dense_ids(e, "vec_id", "ord").select(F.col("vec_id").alias("id"), "ord")
     key = F.when(F.col("vec_id") % 20 == 0, F.col("vec_id")).otherwise(-F.col("vec_id"))
-    b = e.where(F.col("label") != 3).select(F.col("vec_id").alias("id"),
-                                            F.row_number().over(Window.orderBy(key)).cast("bigint").alias("ord"))
+    b = fe.dense_ids(e.where(F.col("label") != 3).select(key.alias("key")), "key", "ord").select(F.abs("key").alias("id"), "ord")
+    a, b = (x.withColumn("ord", F.col("ord") + 1) for x in (a, b))
     return qa.alignment_check(a, b)
 
 

@@ -38,20 +38,37 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, s
     return r.csv(path)
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
-    """Tab if the first line has a tab, else comma if it has one, else space."""
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0][0] if first else ""
-    return "\t" if "\t" in line else ("," if "," in line else " ")
-
-
-def read_links(spark: SparkSession, path: str, min_score: float | None = None) -> DataFrame:
-    """S2 + N1 input: header file ``protein1 protein2 ... combined_score``; the
-    separator is sniffed, the score column required."""
-    sep = sniff_separator(spark, path)
-    df = spark.read.option("sep", sep).option("header", True).csv(path)
-    require_columns(df, ["protein1", "protein2", "combined_score"])
-    out = df.select("protein1", "protein2", F.col("combined_score").try_cast("double").alias("score"))
+def file_dialects(lines: DataFrame) -> DataFrame:
+    """(file, sep, header) from the first line of every file of ``lines`` (file, start, row, value)."""
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "row").alias("_line"))
+    sep = F.when(F.col("_line").contains("\t"), "\t").when(F.col("_line").contains(","), ",").otherwise(" ")
+    return first.withColumn("sep", sep).select("file", "sep", F.transform(_cells("_line"), lambda c: F.lower(F.trim(c))).alias("header"))
+
+
+def _cells(line: str):
+    """The cells of a line by its file's separator; blanks in a row are one separator."""
+    return F.when(F.col("sep") == " ", F.split(F.trim(line), " +")).when(F.col("sep") == ",", F.split(line, ",")).otherwise(F.split(line, "\t"))
+
+
+def read_links(spark: SparkSession, path, min_score: float | None = None, file_col: str | None = None) -> DataFrame:
+    """S2/S3 + N1 input: ``protein1 protein2 .. combined_score`` files of any separators together (a folder, a glob, a
+    list; .gz too): (protein1, protein2, score[, file_col]).
+
+    Each file's first line gives its own separator (tab, else comma, else blanks) and its own order of columns; a file without one
+    of the three columns raises.  A score that is no number is null."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                                       F.monotonically_increasing_id().alias("row"), "value")
+    dialects = file_dialects(raw)
+    lines = raw.where(F.trim("value") != "").join(dialects, "file").withColumn("_c", _cells("value"))
+
+    def cell(name):
+        place = F.array_position("header", name)
+        return F.when(place > 0, F.trim(F.get(F.col("_c"), (place - 1).cast("int")))).otherwise(
+            F.raise_error(F.concat(F.lit(f"no column {name} in "), F.col("file"))).cast("string"))
+
+    names = ("protein1", "protein2", "combined_score")
+    got = lines.select(*[cell(n).alias(n) for n in names], "file", (F.transform("_c", lambda c: F.lower(F.trim(c))) == F.col("header")).alias("_head")).where("not _head")
+    out = got.select("protein1", "protein2", F.col("combined_score").try_cast("double").alias("score"), *([F.col("file").alias(file_col)] if file_col else []))
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
 
@@ -261,3 +278,12 @@ def dense_to_long(df: DataFrame, labels: DataFrame, vec: str = "scores", min_sco
     lab = labels.select(F.col("idx").alias("pos"), "term")
     return long.join(F.broadcast(lab) if labels.count() < 1_000_000 else lab, "pos").select(
         "entry", "term", F.round("prob", decimals).alias("prob"))
+
+
+def write_json_vocab(values: DataFrame, path: str, col: str = "taxon", name: str = "taxon2idx") -> None:
+    """K7: the distinct values of ``col``, numbered in order, as one JSON object ``{"taxon2idx": {value: index}}``.
+    A vocabulary is one object by its format, so it passes through one task."""
+    from ..operators.features import dense_ids
+    idx = dense_ids(values, col, "idx")
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(col).cast("string").alias("key"), F.col("idx").alias("value")))))
+    idx.agg(F.to_json(F.struct(entries.alias(name))).alias("value")).write.text(path)
