@@ -25,7 +25,7 @@ SELECT DISTINCT user_id AS entry, event_type AS term, json_extract_string(props,
 FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL""")
 def st1_stream_dedupe(s, d):
     rows = st.clean_annotations(st.annotation_rows(_events_stream(s, d)))
-    return st.distinct_to_table(rows, ["entry", "term", "source"], st.job_name("st1", d))
+    return st.distinct_to_table(rows, ["entry", "term", "source"], st.job_name(s, "st1", d, "events"))
 
 
 @register("st2_stream_static_anti_join", """
@@ -37,7 +37,7 @@ def st2_stream_static_anti_join(s, d):
                                      F.col("event_type").alias("term"),
                                      F.round(F.col("value") / 100.0, 6).alias("prob"))
     out = st.remove_negatives(ev, _negatives(s, d))
-    return st.run_to_table(out, st.job_name("st2", d))
+    return st.run_to_table(out, st.job_name(s, "st2", d, "events"))
 
 
 @register("st3_stream_top_k_scoring", """
@@ -57,7 +57,7 @@ def st3_stream_top_k_scoring(s, d):
     centroids = [[r[f"c{i}"] for i in range(dim)] for r in cent]
     stream = st.stream_files(s, d, "embeddings", emb.schema)
     scored = st.top_k_scores(stream.select("vec_id", "embedding"), "embedding", centroids, k=3)
-    return st.run_to_table(scored.withColumn("score", F.round("score", 6)), st.job_name("st3", d))
+    return st.run_to_table(scored.withColumn("score", F.round("score", 6)), st.job_name(s, "st3", d, "embeddings"))
 
 
 @register("st4_snapshot_compare_batches", sql(SNAP_OLD, SNAP_NEW, body="""
@@ -70,5 +70,5 @@ def st4_snapshot_compare_batches(s, d):
     new = (stream.where((F.col("l_shipdate") >= F.lit(start).cast("timestamp"))
                         & (F.col("l_shipdate") < F.lit(end).cast("timestamp")))
            .select(F.col("l_orderkey").alias("entry"), F.col("l_partkey").alias("term")))
-    arrived = st.distinct_to_table(new, ["entry", "term"], st.job_name("st4", d))
+    arrived = st.distinct_to_table(new, ["entry", "term"], st.job_name(s, "st4", d, "lineitem"))
     return st.snapshot_missing(old, arrived)

@@ -4,12 +4,14 @@ Batch and stream share one transform: every function below takes a
 (streaming or static) DataFrame and returns a DataFrame.  ``run_to_table``
 drives a stream to completion (``availableNow``) with its checkpoint under the
 session's shared checkpoint folder.  Sink and checkpoint paths follow from the
-job's name alone, so a restarted job of that name resumes where it stopped.
+job's name, so a restarted job of that name resumes where it stopped; a job over a
+folder that was rewritten gets another name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,9 +86,51 @@ def job_paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{root}/tables/stream-{name}", f"{root}/streams/{name}"
 
 
-def job_name(name: str, folder: str) -> str:
-    """A stable job name for a query over a folder."""
-    return f"{name}-{hashlib.sha256(folder.rstrip('/').encode()).hexdigest()[:12]}"
+def listing(spark: SparkSession, pattern: str) -> dict[str, str]:
+    """Files under a glob: path -> length and time of change."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = {}, list(system.globStatus(path) or [])
+    while todo:
+        s = todo.pop()
+        name = s.getPath().getName()
+        if name.startswith(("_", ".")):
+            continue
+        if s.isDirectory():
+            todo += list(system.listStatus(s.getPath()))
+        else:
+            found[s.getPath().toString()] = f"{s.getLen()}@{s.getModificationTime()}"
+    return found
+
+
+def job_name(spark: SparkSession, name: str, folder: str, table: str) -> str:
+    """The name of the job of a query over the files ``<folder>/<table>*``.
+
+    A folder that only gained files since the job's last run goes on as the same job; one whose
+    files were changed or removed is another input, and starts a job of its own."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    base = f"{name}-{hashlib.sha256(folder.rstrip('/').encode()).hexdigest()[:12]}"
+    now = listing(spark, f"{folder.rstrip('/')}/{table}*")
+    jvm = spark._jvm
+    system = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/jobs/{base}.json")
+    job, before = None, {}
+    if system.exists(path):
+        source = system.open(path)
+        try:
+            known = json.loads(jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        finally:
+            source.close()
+        job, before = known["job"], known["files"]
+    if job is None or any(now.get(f) != state for f, state in before.items()):
+        job = f"{base}-{hashlib.sha256(json.dumps(now, sort_keys=True).encode()).hexdigest()[:12]}"
+    out = system.create(path, True)
+    try:
+        out.write(bytearray(json.dumps({"job": job, "files": now}).encode()))
+    finally:
+        out.close()
+    return job
 
 
 def run_to_table(df: DataFrame, name: str) -> DataFrame:
@@ -101,28 +145,22 @@ def run_to_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+               "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+
+
 def distinct_to_table(df: DataFrame, key: list[str], name: str) -> DataFrame:
     """ST1 sink: the distinct ``key`` values of a stream, over all its batches.
 
-    Each micro-batch is deduplicated and takes a left anti join against what
-    earlier batches have written, so no row is dropped for being late and no
-    stream state grows.  A batch owns the folder ``batch=<id>`` and overwrites it,
-    so a batch that is replayed after a failure gives the same table."""
+    The keys seen are state, dealt by hash over the executors and kept on their disks (RocksDB), with changes written to the
+    shared folder: a batch looks up its own keys only, so its work does not grow with what came before, no row is
+    dropped for being late, and a restarted job goes on from its last batch.  The file sink gives every row once."""
     spark = df.sparkSession
-    path, checkpoint = job_paths(spark, name)
-    schema = df.select(*key).schema.add("batch", "long")
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select(*key).distinct()
-        if batch_id > 0:
-            before = batch.sparkSession.read.schema(schema).parquet(path).where(F.col("batch") < batch_id)
-            same = [F.col(f"n.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
-            cond = same[0]
-            for c in same[1:]:
-                cond = cond & c
-            new = new.alias("n").join(before.alias("b"), cond, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    q = df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(schema).parquet(path).drop("batch")
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        return run_to_table(df.select(*key).dropDuplicates(key), name)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

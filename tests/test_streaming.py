@@ -38,6 +38,19 @@ def test_restart_resumes(spark, folder):
     assert len(again) == 2 * len(first) and set(first) < set(again)
 
 
+def test_rewritten_folder_starts_afresh(spark, folder):
+    """Appended files go on with the job; a folder that is written anew is another input."""
+    first = rows(QUERIES["st1_stream_dedupe"](spark, folder))
+    job = st.job_name(spark, "st1", folder, "events")
+    assert st.job_name(spark, "st1", folder, "events") == job
+    few = fx.table(spark, SF, "events").where("user_id % 3 = 0")
+    few.selectExpr("event_id", "ts", "user_id + 7000000 AS user_id", "event_type", "value", "props").repartition(3).write.mode("overwrite").parquet(f"{folder}/events.parquet")
+    again = rows(QUERIES["st1_stream_dedupe"](spark, folder))
+    assert st.job_name(spark, "st1", folder, "events") != job
+    assert again and not set(again) & set(first)
+    assert rows(QUERIES["st1_stream_dedupe"](spark, folder)) == again
+
+
 def test_snapshot_compare_over_files(spark, folder):
     old, new = fx.snapshot(spark, SF, fx.OLD_SNAPSHOT), fx.snapshot(spark, SF, fx.NEW_SNAPSHOT)
     want = old.select("entry", "term").distinct().join(new.select("entry", "term").distinct(), ["entry", "term"], "left_anti")
