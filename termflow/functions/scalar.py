@@ -49,10 +49,10 @@ def truncate_seq(seq, n: int = 1024) -> Column:
     return F.substring(_c(seq), 1, n)
 
 
-def aspect_code(c) -> Column:
-    """Namespace name or one-letter code -> BPO/MFO/CCO (others unchanged)."""
+def aspect_code(c, unknown: str | None = None) -> Column:
+    """Namespace name or one-letter code -> BPO/MFO/CCO; others unchanged, or ``unknown``."""
     m = _map({**NAMESPACE_CODES, **LETTER_CODES})
-    return F.coalesce(F.element_at(m, _c(c)), _c(c))
+    return F.coalesce(F.element_at(m, _c(c)), _c(c) if unknown is None else F.lit(unknown))
 
 
 def log10_floor(e, floor: float = -300.0) -> Column:

@@ -145,16 +145,21 @@ def weight_counters(weights: DataFrame, value: str = "ia") -> DataFrame:
 
 
 def first_k_means(hits: DataFrame, group: str, order: str, measures: Sequence[str],
-                  ks: Sequence[int] = (1, 3, 5, 10), tie: str | None = None) -> DataFrame:
+                  ks: Sequence[int] = (1, 3, 5, 10), tie: str | None = None, requested: DataFrame | None = None) -> DataFrame:
     """Per group, rank hits by ``order`` desc and average each measure
-    over the first k hits for each k; plus the best hit's value and the hit count."""
+    over the first k hits for each k; plus the best hit's value and the hit count.
+
+    Only the first hits are ranked (tasks pass on no more than the largest k of a group); counts are summed apart.
+    With ``requested`` (a table of group ids) every id has a row, zeros where it has no hit."""
     w = Window.partitionBy(group).orderBy(F.col(order).desc(), *([F.col(tie).asc()] if tie else []))
-    r = hits.withColumn("_rn", F.row_number().over(w))
-    aggs = [F.count("*").alias("n_hits"), F.max(order).alias(f"best_{order}")]
-    for m in measures:
-        for k in ks:
-            aggs.append(F.avg(F.when(F.col("_rn") <= k, F.col(m))).alias(f"{m}_top{k}_mean"))
-    return r.groupBy(group).agg(*aggs)
+    first = hits.select(group, order, *([tie] if tie else []), *measures).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max(ks))
+    means = first.groupBy(group).agg(*[F.avg(F.when(F.col("_rn") <= k, F.col(m))).alias(f"{m}_top{k}_mean") for m in measures for k in ks])
+    counts = hits.groupBy(group).agg(F.count(F.lit(1)).alias("n_hits"), F.max(order).alias(f"best_{order}"))
+    out = counts.join(means, group)
+    if requested is None:
+        return out
+    names = [c for c in out.columns if c != group]
+    return requested.select(group).distinct().join(out, group, "left").select(group, *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
 def soft_f1(df: DataFrame, y: str = "y", p: str = "p", term: str = "term", eps: float = 1e-8) -> DataFrame:

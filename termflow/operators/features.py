@@ -164,6 +164,21 @@ def rarest_label_strata(labels: DataFrame, top: int = 32, entity: str = "entry",
     return ents.join(s, entity, "left").select(entity, F.coalesce("stratum", F.lit(-1)).alias("stratum"))
 
 
+def top_k_one_hot(df: DataFrame, col: str, k: int) -> DataFrame:
+    """``df`` with ``idx``, the place of ``col`` among its ``k`` most frequent values (-1 for others), and ``onehot``, its vector of
+    ``k`` entries (all zeros for -1)."""
+    v = vocabulary(df, col, top_k=k, rare_bucket=False).select(F.col(col).alias("_v"), "idx")
+    j = df.join(F.broadcast(v), F.col(col) == F.col("_v"), "left").withColumn("idx", F.coalesce("idx", F.lit(-1)))
+    return j.withColumn("onehot", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == F.col("idx")).cast("int"))).drop("_v")
+
+
+def regroup_columns(labels: DataFrame, terms: DataFrame) -> DataFrame:
+    """Columns (term, old) of a label matrix regrouped by (namespace, term): (namespace, term, old, new).  Columns whose
+    term is not in ``terms`` go, and the others close up."""
+    j = labels.join(terms.select("term", "namespace"), "term").withColumn("_one", F.lit(1))
+    return running_sum(j, ["namespace", "term"], "_one", "_upto").select("namespace", "term", "old", F.col("_upto_no").alias("new"))
+
+
 def species_one_hot(df: DataFrame, taxon: str, species: list, out: str = "species_onehot") -> DataFrame:
     """E5: a fixed species list -> one-hot of width len+1; position 0 = other."""
     from ..functions.scalar import one_hot

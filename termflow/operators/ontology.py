@@ -63,6 +63,30 @@ def resolve_aliases(df: DataFrame, aliases: DataFrame, *columns: str) -> DataFra
     return df
 
 
+def induced_edges(edges: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The edges with both ends in a label vocabulary (``term``)."""
+    v = vocabulary.select(TERM).distinct()
+    return (edges.join(v.withColumnRenamed(TERM, "child"), "child", "left_semi").join(v.withColumnRenamed(TERM, "parent"), "parent", "left_semi")
+            .select("child", "parent"))
+
+
+def terms_of_interest(terms: DataFrame, edges: DataFrame | None = None, mode: str = "weight") -> DataFrame:
+    """``all`` terms, those ``with_parents``, or those of positive ``weight``.  Where weights are known they are
+    usually what decides; the mode says which holds."""
+    if mode == "all":
+        return terms
+    if mode == "with_parents":
+        return terms.join(edges.select(F.col("child").alias(TERM)).distinct(), TERM, "left_semi")
+    if mode == "weight":
+        return terms.where(F.col("ia") > 0)
+    raise ValueError(mode)
+
+
+def aspect_filter(df: DataFrame, aspect, col: str = "aspect") -> DataFrame:
+    """P5: rows of one aspect; ``ALL`` keeps every row."""
+    return df if aspect == "ALL" else df.where(F.col(col) == aspect)
+
+
 def roots(terms: DataFrame, edges: DataFrame) -> DataFrame:
     """Terms without a parent edge."""
     return terms.select(TERM).join(edges.select(F.col("child").alias(TERM)), TERM, "left_anti")

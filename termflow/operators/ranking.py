@@ -146,3 +146,16 @@ def hash_fraction(df: DataFrame, key: Sequence[str], frac: float, seed: int = 42
     """Repeatable x % subsample by a hash bucket of the key."""
     h = F.pmod(key_hash(*key, seed=seed), F.lit(1_000_000))
     return df.where(h < int(frac * 1_000_000))
+
+
+def allow_list(df: DataFrame, allowed: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The rows whose key stands on an allow-list."""
+    return df.join(allowed.select(*key), list(key), "left_semi")
+
+
+def sorted_places(df: DataFrame, order: Sequence[str], out: str = "place") -> DataFrame:
+    """L1: every row's place (from 0) in a multi-key order that tells rows apart (``-col`` falls), by range partitions:
+    the global order without a single task that holds it."""
+    from .features import running_sum
+    keys = {f"_k{i}": (-F.col(c[1:]) if c.startswith("-") else F.col(c)) for i, c in enumerate(order)}
+    return running_sum(df.withColumns(keys).withColumn("_one", F.lit(1)), list(keys), "_one", "_upto").withColumnRenamed("_upto_no", out).select(*df.columns, out)

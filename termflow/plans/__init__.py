@@ -9,6 +9,7 @@ from . import (  # noqa: F401  (registers)
     ontology_q,
     pairs_q,
     qa_q,
+    selection_q,
     sources_q,
     stacker_q,
     stratify_q,

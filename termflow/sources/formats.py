@@ -213,6 +213,28 @@ def read_lineage(spark: SparkSession, path: str) -> DataFrame:
     return t.select(*cols)
 
 
+def read_truth(spark: SparkSession, path: str, ontologies: DataFrame) -> DataFrame:
+    """Ground-truth lines ``entry term ..`` (any white space): (entry, namespace, term), distinct.  A term, or the term that an
+    alternative id stands for, belongs to the first ontology that holds it; lines of unknown terms go.
+    ``ontologies``: (place, namespace, term_id, term), ids and alternative ids of all ontologies in their order."""
+    words = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w")).where(F.size("w") >= 2)
+    own = ontologies.groupBy("term_id").agg(F.min_by(F.struct("namespace", "term"), "place").alias("_o"))
+    return (words.select(F.get("w", F.lit(0)).alias("entry"), F.get("w", F.lit(1)).alias("term_id")).join(own, "term_id")
+            .select("entry", F.col("_o.namespace").alias("namespace"), F.col("_o.term").alias("term")).distinct())
+
+
+def read_alias_lines(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """The first two tab-separated fields (id, alias) of the lines that hold ``tag``; .gz works natively."""
+    lines = spark.read.text(path).where(F.col("value").contains(tag) & ~F.col("value").startswith("#"))
+    parts = F.split("value", "\t")
+    return lines.select(F.get(parts, F.lit(0)).alias("id"), F.get(parts, F.lit(1)).alias("alias"))
+
+
+def positional_names(df: DataFrame, names) -> DataFrame:
+    """Columns renamed by place: the first to ``names``, the others to col_2, col_3 .."""
+    return df.toDF(*[names[i] if i < len(names) else f"col_{i}" for i in range(len(df.columns))])
+
+
 def read_json_vocab(spark: SparkSession, path: str, top_k: int | None = None) -> DataFrame:
     """``{"taxon2idx": {..}}`` or ``{"root": {"taxon2idx": {..}}}`` or a flat
     map -> sorted int keys (optionally the first K)."""
