@@ -25,7 +25,7 @@ from .common import mix64, query, runs_of, sorted_runs, store, table, text_of
 
 LENGTH = 100  # bytes of a repeated string
 GRAM = 32  # bytes of a minimizer
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
 #: Minimizers with more different pieces than this are dealt to several shards.
 SPLIT_PIECES = 2000
 #: Documents (by a hash of the id) in which frequent grams are looked for, and how many grams
