@@ -30,6 +30,13 @@ BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising b
                               "share sharing social subscribe newsletter signup login popup modal overlay breadcrumb breadcrumbs pagination pager widget "
                               "toolbar search complementary contentinfo copyright legal teaser".split())
 CONTENT_WORDS = frozenset("article articlebody content main post entry story body text".split())
+#: First parts of names that tell of something elsewhere on the page, last parts of names of page-wide wrappers,
+#: elements of forms, elements that quote or list within a text, and words of articles that are not the page's.
+ELSEWHERE = frozenset("has have with without no not hide hidden show is".split())
+PAGE_WORDS = frozenset("page layout site app shell outer root".split())
+FORM_TAGS = frozenset("form fieldset label button dialog".split())
+WITHIN_TEXT = frozenset("blockquote pre q code".split())
+ARTICLES_ELSEWHERE = frozenset("comment comments reply replies respond teaser ad ads advert advertisement promo sponsored sponsor related recommended".split())
 #: Weights of the classifier and of the smoothness edges.
 WEIGHTS = {"bias": 1.0, "container": 6.0, "length": 2.0, "sentence": 1.0, "heading": 1.0, "links": 4.0, "short": 1.0, "next": 0.5, "sibling": 0.5}
 
@@ -38,22 +45,35 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _WORD = re.compile(r"[a-z]+")
 
 
+CONTENT, UNKNOWN, WRAPPER, FORM, BOILERPLATE = 1, 0, -1, -2, -3
+
+
 def leaning(tag: str, attributes: str, inherited: int) -> int:
-    """1: within content, -1: within boilerplate, 0: unknown; the innermost element that tells
-    decides.  A header within an article holds its title and belongs to it."""
-    if tag in BOILERPLATE_TAGS and not (tag == "header" and inherited > 0):
-        return -1
-    found = set()
+    """What an element says of the text in it; the innermost element that tells decides.
+
+    ``CONTENT``, ``UNKNOWN``, or against it: ``WRAPPER`` (a page-wide element whose name merely mentions a listed word), ``FORM``, ``BOILERPLATE``.
+    Names of a class, id or role count one by one; one that starts with has-, with-, no- and the like says what the page has elsewhere.  An
+    article within a wrapper or form is content again, a main element within anything; their own names do not speak
+    against them, but for comments and teasers marked up as articles.  A header within an article holds its title, and a quotation or listing in it belongs to it."""
+    names = []
     if attributes and ("class" in attributes or "id" in attributes or "role" in attributes):
-        for name, a, b, c in _ATTRIBUTE.findall(attributes):
-            found.update(_WORD.findall((a or b or c).lower()))
-    against = found & BOILERPLATE_WORDS
-    if inherited > 0:
-        against -= {"header"}
-    if against and tag not in ("body", "html"):
-        return -1
-    if tag in CONTENT_TAGS or found & CONTENT_WORDS and tag not in ("body", "html"):
-        return 1 if inherited >= 0 or tag in CONTENT_TAGS and tag != "article" else -1
+        for _, a, b, c in _ATTRIBUTE.findall(attributes):
+            names += [w for n in (a or b or c).lower().split() if (w := _WORD.findall(n)) and w[0] not in ELSEWHERE]
+    words = {w for n in names for w in n}
+    if tag == "main":
+        return CONTENT
+    if tag == "article":
+        return BOILERPLATE if words & ARTICLES_ELSEWHERE or inherited == BOILERPLATE else CONTENT
+    if tag in ("body", "html"):
+        return inherited
+    if tag in BOILERPLATE_TAGS and not (tag == "header" and inherited > 0):
+        return BOILERPLATE if tag not in FORM_TAGS else min(inherited, FORM)
+    against = [n for n in names if set(n) & BOILERPLATE_WORDS - ({"header"} if inherited > 0 else set())]
+    if against and not (inherited > 0 and tag in WITHIN_TEXT):
+        wraps = all(len(n) > 1 and n[-1] in PAGE_WORDS for n in against)
+        return min(inherited, WRAPPER) if wraps else BOILERPLATE
+    if words & CONTENT_WORDS:
+        return CONTENT if inherited >= WRAPPER else inherited
     return inherited
 
 
@@ -174,7 +194,7 @@ def costs(b: Block) -> tuple[float, float]:
     if b.lean > 0:
         content += w["container"]
     elif b.lean < 0:
-        boiler += 2 * w["container"]
+        boiler += w["container"] * (0.25 if b.lean == WRAPPER else 2)
     return content, boiler
 
 

@@ -18,6 +18,16 @@ from termflow.llm.html import extract, main_text, min_cut
     ("<header><p>Site name of ours.</p></header><article><header><h1>Title</h1></header><p>Body.</p><footer>Tags</footer></article>", "Title\nBody."),
     ("<article><p>cut off in a tag <a href='x", "cut off in a tag"),
     ("<body><div class=\"ad\">Buy now and save a lot of money today.</div><div><p>" + "A long paragraph tells a story. " * 10 + "</p></div></body>", ("A long paragraph tells a story. " * 10).strip()),
+    ("<div class='layout has-sidebar'><article><p>The text of it.</p></article><div class='sidebar'><p>More of ours.</p></div></div>", "The text of it."),
+    ("<form action=x><div id=top class='no-nav'><article><p>The text of it.</p></article><p>Send us your mail now.</p></div></form>", "The text of it."),
+    ("<main class='legal'><h1>Terms</h1><p>These are the terms of use.</p></main><footer>us</footer>", "Terms\nThese are the terms of use."),
+    ("<div class='share-widget-page'><article><p>The text of it.</p><div class=share>Share this!</div></article></div>", "The text of it."),
+    ("<article><p>He said:</p><blockquote class='alert'>Mind the gap.</blockquote><div class='alert'>Log in to read.</div></article>", "He said:\nMind the gap."),
+    ("<div class='ad-layout'><div class='social-site'><article><section class=comments><article class=comment><p>I object to that.</p></article></section><p>Real text here.</p></article></div></div>", "Real text here."),
+    ("<article><p>Text here.</p></article><aside><article><p>Other story of the day.</p></article></aside><article class='teaser'><p>Read this next.</p></article>", "Text here."),
+    ("<div class='widget-page'><p>" + "A long paragraph tells a story. " * 10 + "</p></div>", ("A long paragraph tells a story. " * 10).strip()),
+    ("<article><p>Text here.</p></article><div class='footer-container'><p>" + "We are a company of old. " * 10 + "</p></div>", "Text here."),
+    ("<article><div class='site-footer-links'><p>About this site of ours.</p></div><p>Text here.</p></article>", "Text here."),
 ])
 def test_pages(page, want):
     assert main_text(page) == want
