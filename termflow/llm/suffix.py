@@ -26,6 +26,8 @@ from .common import mix64, query, runs_of, sorted_runs, store, table, text_of
 LENGTH = 100  # bytes of a repeated string
 GRAM = 32  # bytes of a minimizer
 SHARD_BYTES = 1 << 18
+#: Bytes and number of neighbouring texts that are cut into pieces together, and pieces whose text a task knows it has passed on.
+CUT_BYTES, CUT_TEXTS, SEEN_PIECES = 1 << 15, 1 << 14, 200_000
 #: Minimizers with more different pieces than this are dealt to several shards.
 SPLIT_PIECES = 2000
 #: Documents (by a hash of the id) in which frequent grams are looked for, and how many grams
@@ -71,11 +73,17 @@ class Cutter:
         self.maybe[((self.frequent >> np.uint64(20)) & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def pieces(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(minimizer, start, end, twice) of the runs of windows: end is the last window's end,
+        """``pieces_of`` one text, without the number of the text."""
+        return self.pieces_of([raw])[1:]
+
+    def pieces_of(self, raws: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(text, minimizer, start, end, twice) of the runs of windows of some texts: end is the last window's end,
         twice tells whether a piece holds its minimizer more than once (it may repeat itself)."""
-        if len(raw) < self.length:
-            return (np.zeros(0, np.int64),) * 4
-        h = grams(np.frombuffer(raw, np.uint8)) & _HASH
+        b = np.frombuffer(b"".join(raws), np.uint8)
+        if len(b) < self.length:
+            return (np.zeros(0, np.int64),) * 5
+        sizes = np.array([len(r) for r in raws], np.int64)
+        h = grams(b) & _HASH
         if len(self.frequent):
             at = np.flatnonzero(self.maybe[((h >> np.uint64(20)) & np.uint64((1 << 22) - 1)).astype(np.int64)])
             if len(at):
@@ -86,12 +94,36 @@ class Cutter:
         # the low 16 bits tell places apart, so that a window's least is its first least gram
         h |= np.arange(len(h), dtype=np.uint64) & _PLACE
         least = window_least(h, self.length - GRAM + 1)
+        # windows that lie in one text, text after text
+        n = np.maximum(sizes - self.length + 1, 0)
+        first = np.cumsum(sizes) - sizes
+        before = np.cumsum(n) - n
+        if len(raws) > 1:
+            least = least[np.repeat(first - before, n) + np.arange(n.sum())]
+        if not len(least):
+            return (np.zeros(0, np.int64),) * 5
         moved = np.r_[False, least[1:] != least[:-1]]
         value = least >> np.uint64(16)
-        start, end = runs_of(value)
+        new = np.r_[True, value[1:] != value[:-1]]
+        new[before[n > 0]] = True
+        start = np.flatnonzero(new)
         moved[start] = False
         twice = np.add.reduceat(moved.astype(np.int64), start)
-        return value[start].view(np.int64), start, end + self.length - 1, (twice > 0).astype(np.int64)
+        text = np.searchsorted(before + n, start, "right")
+        end = np.r_[start[1:], len(least)] - before[text] + self.length - 1
+        return text, value[start].view(np.int64), start - before[text], end, (twice > 0).astype(np.int64)
+
+
+def batches_of(raws, most: int = CUT_BYTES):
+    """Numbers (from, to) of neighbouring texts of about ``most`` bytes together."""
+    at, size = 0, 0
+    for k, r in enumerate(raws):
+        size += len(r)
+        if size >= most or k + 1 - at >= CUT_TEXTS:
+            yield at, k + 1
+            at, size = k + 1, 0
+    if at < len(raws):
+        yield at, len(raws)
 
 
 def frequent_grams(texts: DataFrame, sample: int, most: int) -> np.ndarray:
@@ -124,12 +156,13 @@ def shared_minimizers(texts: DataFrame, frequent, length: int) -> DataFrame:
     def emit(frames):
         cutter = Cutter(frequent.value, length)
         for f in frames:
-            ms, docs = [], []
-            for doc, text in zip(f["doc"].to_numpy(), f["text"]):
-                m, _, _, twice = cutter.pieces(text.encode("utf-8", "surrogatepass"))
-                m = np.r_[m, m[twice > 0]]
-                ms.append(m)
-                docs.append(np.full(len(m), doc, np.int64))
+            ms, docs, ids = [], [], f["doc"].to_numpy(np.int64)
+            raws = [t.encode("utf-8", "surrogatepass") for t in f["text"]]
+            for a, b in batches_of(raws):
+                text, m, _, _, twice = cutter.pieces_of(raws[a:b])
+                again = twice > 0
+                ms.append(np.r_[m, m[again]])
+                docs.append(ids[a:b][np.r_[text, text[again]]])
             if not ms:
                 continue
             m, doc = np.concatenate(ms), np.concatenate(docs)
@@ -182,16 +215,18 @@ def shared_pieces(texts: DataFrame, wanted: DataFrame, frequent, length: int) ->
         cutter, press, seen = Cutter(frequent.value, length), zstandard.ZstdDecompressor(), set()
         columns = ["piece", "m", "doc", "start", "size", "text"]
         for f in frames:
-            rows = []
-            for doc, data, ms in zip(f["doc"], f["packed"], f["ms"]):
-                raw = press.decompress(data)
-                m, start, end, _ = cutter.pieces(raw)
-                for k in np.flatnonzero(np.isin(m, np.asarray(ms, np.int64))):
-                    text = raw[start[k]:end[k]]
+            rows, docs, asked = [], f["doc"].to_numpy(np.int64), f["ms"].tolist()
+            raws = [press.decompress(data) for data in f["packed"]]
+            for a, b in batches_of(raws):
+                of, m, start, end, _ = cutter.pieces_of(raws[a:b])
+                # a minimizer has 48 bits; the number of its text in the batch goes above them
+                ms = np.concatenate([np.asarray(asked[k], np.int64) | (k - a) << 48 for k in range(a, b)])
+                for k in np.flatnonzero(np.isin(m | of << 48, ms)).tolist():
+                    text = raws[a + of[k]][start[k]:end[k]]
                     name = hashlib.blake2b(text, digest_size=16).digest()
-                    if len(seen) > 500_000:
+                    if len(seen) > SEEN_PIECES:
                         seen.clear()
-                    rows.append((name, m[k], doc, start[k], end[k] - start[k], None if name in seen else text))
+                    rows.append((name, m[k], docs[a + of[k]], start[k], end[k] - start[k], None if name in seen else text))
                     seen.add(name)
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=columns)
@@ -229,6 +264,7 @@ def suffix_array(b: np.ndarray) -> np.ndarray:
     for k in range(h):
         key = (key << np.uint64(bits)) | wide[k:k + n]
     packed = (key << np.uint64(n_bits)) | np.arange(n, dtype=np.uint64)
+    del wide, key
     packed.sort()
     sa = (packed & np.uint64((1 << n_bits) - 1)).astype(kind)
     packed >>= np.uint64(n_bits)
@@ -268,27 +304,33 @@ def common_prefixes(b: np.ndarray, sa: np.ndarray) -> np.ndarray:
     Kasai's order in arrays: going through the text, a common prefix is one shorter than the
     one before it unless the preceding bytes differ; only there bytes are compared."""
     n = len(b)
-    left = np.empty(n, np.int64)
+    kind = sa.dtype.type
+    left = np.empty(n, kind)
     left[sa[0]] = -1
     left[sa[1:]] = sa[:-1]
-    start = np.flatnonzero((left <= 0) | (np.arange(n) == 0) | (b[np.arange(n) - 1] != b[np.maximum(left - 1, 0)]))
-    have = np.zeros(len(start), np.int64)
-    live = np.flatnonzero(left[start] >= 0)
+    before = np.maximum(left - kind(1), kind(0))
+    same = b[before[1:]] == b[:-1]
+    same &= left[1:] > 0
+    start = np.flatnonzero(np.r_[True, ~same]).astype(kind)
+    base = left[start]
+    have = np.zeros(len(start), kind)
+    live = np.flatnonzero(base >= 0)
     eight = eight_bytes(b)
     while len(live):  # eight bytes at a time; what lies behind the end is cut off below
-        i, j = start[live] + have[live], left[start[live]] + have[live]
-        ok = (i < n) & (j < n)
+        i, j = start[live] + have[live], base[live] + have[live]
+        ok = np.maximum(i, j) < n
         live, i, j = live[ok], i[ok], j[ok]
         other = eight[i] ^ eight[j]
-        have[live] += sum((other < np.uint64(1 << 64 - 8 * k)).astype(np.int64) for k in range(1, 8)) + (other == 0)
-        live = live[other == 0]
-    have = np.minimum(have, n - np.maximum(start, left[start]))
-    plcp = np.zeros(n, np.int64)
-    first = np.zeros(n, np.int64)
-    first[start] = start
-    first = np.maximum.accumulate(first)
-    plcp[start] = have
-    plcp = np.maximum(plcp[first] - (np.arange(n) - first), 0)
+        whole = other == 0
+        have[live[whole]] += kind(8)
+        at = np.flatnonzero(~whole)
+        x = other[at]
+        have[live[at]] += sum((x < np.uint64(1 << 64 - 8 * k)).astype(kind) for k in range(1, 8))
+        live = live[whole]
+    have = np.minimum(have, n - np.maximum(start, base))
+    lengths = np.diff(np.r_[start, n])
+    inside = np.arange(n, dtype=kind) - np.repeat(start, lengths)
+    plcp = np.maximum(np.repeat(have, lengths) - inside, kind(0))
     return plcp[sa]
 
 

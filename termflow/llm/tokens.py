@@ -20,8 +20,8 @@ from tokenizers import Tokenizer
 from .common import mix64, query, table, text_of
 
 #: Entries and bytes up to which a worker keeps encoded pieces and chunk bodies.
-MAX_PIECES = 600_000
-MAX_CHUNK_BYTES = 32 << 20
+MAX_PIECES = 200_000
+MAX_CHUNK_BYTES = 8 << 20
 CHUNK_BITS = 9  # a chunk has 2^9 characters on average
 SLICE_BYTES = 4 << 20  # text taken through the arrays at once
 LONG_PIECE = 64  # pieces of more bytes are not kept
