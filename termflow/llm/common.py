@@ -3,6 +3,7 @@ reading, stored intermediates, sorted-run iteration and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import io
 import os
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -154,6 +156,19 @@ def sorted_runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFra
         yield pd.concat(held, ignore_index=True)
 
 
+def tidied(run):
+    """``run`` over batches, and after its last batch the worker's freed memory goes back to the system: workers stay
+    for later tasks, several to an executor."""
+    def all_batches(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+    return all_batches
+
+
 def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal neighbours."""
     if not len(values):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, query, runs_of, sorted_runs, store, table, text_of
+from .common import components, mix64, query, runs_of, sorted_runs, store, table, text_of, tidied
 
 REGISTERS = 128
 BAND = 4  # registers a band; 32 bands miss a pair at similarity 0.8 with probability 5e-8
@@ -96,7 +96,7 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
             yield got
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n long, fp binary, sketch binary")
+    return rows.mapInPandas(tidied(run), "doc_id long, n long, fp binary, sketch binary")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def band_rows(classes: DataFrame) -> DataFrame:
             h = mix64(h ^ _BAND_SALT)
             yield pd.DataFrame({"bucket": h.view(np.int64).ravel(), "node": np.repeat(f["node"].to_numpy(), k.shape[1])})
 
-    return classes.select("node", "sketch").mapInPandas(run, "bucket long, node long")
+    return classes.select("node", "sketch").mapInPandas(tidied(run), "bucket long, node long")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -129,7 +129,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_of(text_col).alias("text"))
     found = texts.join(wanted, texts["rep"].eqNullSafe(wanted["rep"])).select("node", "fp", "text")
-    return found.mapInPandas(run, "node long, n long, set binary, sketch binary")
+    return found.mapInPandas(tidied(run), "node long, n long, set binary, sketch binary")
 
 
 def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -151,7 +151,7 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"), F.col("sketch").alias("ka"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"), F.col("sketch").alias("kb"))
-    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInPandas(tidied(run), "a long, b long")
 
 
 class Roots:
@@ -242,7 +242,7 @@ def compare_buckets(open_rows: DataFrame, sets: DataFrame, percent: int, block:
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     full = rows.join(sets, "node")
-    return full.repartition("place").sortWithinPartitions("place").mapInPandas(run, "a long, b long")
+    return full.repartition("place").sortWithinPartitions("place").mapInPandas(tidied(run), "a long, b long")
 
 
 def gathered(open_rows: DataFrame, block: int) -> DataFrame:

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, query, store, table, text_of, words
+from .common import mix64, query, store, table, text_of, tidied, words
 
 #: Least number of hash buckets an order; there are as many as trusted n-grams, rounded up to a power of two.
 BUCKETS = 1 << 16
@@ -109,7 +109,7 @@ def bucket_counts(rows: DataFrame, buckets: int) -> DataFrame:
                     n_held = 0
         yield from out()
 
-    return rows.select("side", "text").mapInArrow(run, BLOCKS)
+    return rows.select("side", "text").mapInArrow(tidied(run), BLOCKS)
 
 
 def added_up(counts: DataFrame, whole: bool) -> DataFrame:
@@ -135,7 +135,7 @@ def added_up(counts: DataFrame, whole: bool) -> DataFrame:
 
     group = F.lit(0).cast("long") if whole else F.expr(f"part div {TASKS}")
     dealt = counts.withColumn("part", group)
-    return dealt.repartition("block", "part").sortWithinPartitions("block", "side", "part").mapInArrow(run, BLOCKS)
+    return dealt.repartition("block", "part").sortWithinPartitions("block", "side", "part").mapInArrow(tidied(run), BLOCKS)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
@@ -169,7 +169,7 @@ def buckets_for(trusted: DataFrame) -> int:
         for f in frames:
             yield pd.DataFrame({"n": [sum(len(words(t)) for t in f["text"])]})
 
-    n = trusted.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = trusted.mapInPandas(tidied(run), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return max(BUCKETS, 1 << max(n - 1, 0).bit_length())
 
 
@@ -267,13 +267,14 @@ class Rules:
         """``docs`` with the struct ``as_col``, fields as in ``RESULT``."""
         shared = self.shared
 
-        @F.pandas_udf(MEASURED + ", llr double")
-        def rules(texts: pd.Series) -> pd.DataFrame:
+        def judge(texts: pd.Series) -> pd.DataFrame:
             cache: dict = {}
             got = measured(texts)
             got["llr"] = [llr(n_grams(t, shared.value.shape[1], cache), shared.value) for t in texts]
             return got
 
+        # marked so that a filter on the verdict does not make the plan judge every text twice
+        rules = F.pandas_udf(judge, MEASURED + ", llr double").asNondeterministic()
         out = docs.withColumn(as_col, rules(text_of(text_col)))
         kept = ~F.col(as_col)["base_failed"] & (F.col(as_col)["llr"] >= self.threshold)
         return out.withColumn(as_col, F.col(as_col).withField("kept", kept))

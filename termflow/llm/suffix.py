@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from termflow.session import drop_table
 
-from .common import mix64, query, runs_of, sorted_runs, store, table, text_of
+from .common import mix64, query, runs_of, sorted_runs, store, table, text_of, tidied
 
 LENGTH = 100  # bytes of a repeated string
 GRAM = 32  # bytes of a minimizer
@@ -142,7 +142,7 @@ def frequent_grams(texts: DataFrame, sample: int, most: int) -> np.ndarray:
                 yield pd.DataFrame({"g": g[n > 2].view(np.int64), "n": n[n > 2]})
 
     parts = max(1, -(-min(sample, total) // 2048))
-    counts = picked.repartition(parts).mapInPandas(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counts = picked.repartition(parts).mapInPandas(tidied(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "g").limit(most).select("g").toPandas()
     return top["g"].to_numpy(np.int64).view(np.uint64)
 
@@ -194,8 +194,8 @@ def shared_minimizers(texts: DataFrame, frequent, length: int) -> DataFrame:
                 ok = np.repeat(ok, end - start) & ~seen
                 yield pd.DataFrame({"doc": doc[ok], "m": key[ok]})
 
-    rows = texts.mapInPandas(emit, "key long, m long, doc long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(keep, "doc long, m long")
+    rows = texts.mapInPandas(tidied(emit), "key long, m long, doc long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(tidied(keep), "doc long, m long")
 
 
 def packed(texts: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def packed(texts: DataFrame) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"doc": f["doc"], "packed": [press.compress(t.encode("utf-8", "surrogatepass")) for t in f["text"]]})
 
-    return texts.mapInPandas(run, "doc long, packed binary")
+    return texts.mapInPandas(tidied(run), "doc long, packed binary")
 
 
 def shared_pieces(texts: DataFrame, wanted: DataFrame, frequent, length: int) -> DataFrame:
@@ -234,7 +234,7 @@ def shared_pieces(texts: DataFrame, wanted: DataFrame, frequent, length: int) ->
             yield pd.DataFrame(rows, columns=columns)
 
     asked = wanted.groupBy("doc").agg(F.collect_list("m").alias("ms"))
-    return packed(texts).join(asked, "doc").mapInPandas(run, "piece binary, m long, doc long, start long, size long, text binary")
+    return packed(texts).join(asked, "doc").mapInPandas(tidied(run), "piece binary, m long, doc long, start long, size long, text binary")
 
 
 def eight_bytes(b: np.ndarray) -> np.ndarray:
@@ -404,7 +404,7 @@ def repeats_in_shards(pieces: DataFrame, length: int) -> DataFrame:
             later = later_windows(doc, place, cls)
             yield as_runs(doc[later], place[later], length)
 
-    return pieces.repartition("m").sortWithinPartitions("m").mapInPandas(run, "doc long, lo long, hi long")
+    return pieces.repartition("m").sortWithinPartitions("m").mapInPandas(tidied(run), "doc long, lo long, hi long")
 
 
 def sorted_windows(pieces: DataFrame, length: int) -> DataFrame:
@@ -419,7 +419,7 @@ def sorted_windows(pieces: DataFrame, length: int) -> DataFrame:
                 yield pd.DataFrame({"shard": shard, "window": [None if x else texts[o][s:s + length] for x, o, s in zip(later, own, offset)],
                                     "doc": doc, "place": place, "first": ~later})
 
-    return pieces.repartition("shard").sortWithinPartitions("shard").mapInPandas(run, "shard long, window binary, doc long, place long, first boolean")
+    return pieces.repartition("shard").sortWithinPartitions("shard").mapInPandas(tidied(run), "shard long, window binary, doc long, place long, first boolean")
 
 
 def merge_sorted(lists: list[np.ndarray]) -> np.ndarray:
@@ -456,7 +456,7 @@ def merge_shards(windows: DataFrame, length: int) -> DataFrame:
 
     found = windows.where("not first").select("doc", "place").mapInPandas(own, "doc long, lo long, hi long")
     lists = windows.where("first").repartitionByRange("window").sortWithinPartitions("window")
-    return lists.mapInPandas(run, "doc long, lo long, hi long").unionByName(found)
+    return lists.mapInPandas(tidied(run), "doc long, lo long, hi long").unionByName(found)
 
 
 def removed_ranges(texts: DataFrame, length: int = LENGTH, split: int = SPLIT_PIECES, sample: int = SAMPLE_DOCS) -> DataFrame:
@@ -548,7 +548,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             got.insert(0, "doc_id", f["doc_id"].astype("Int64"))
             yield got
 
-    return with_ranges(docs, id_col, text_col, length, split).select("doc_id", "packed", "ranges").mapInPandas(run, RESULT)
+    return with_ranges(docs, id_col, text_col, length, split).select("doc_id", "packed", "ranges").mapInPandas(tidied(run), RESULT)
 
 
 def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -565,7 +565,7 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             got.insert(0, "doc_id", f["doc_id"].astype("Int64"))
             yield got
 
-    return with_ranges(docs, id_col, text_col, length).select("doc_id", "packed", "ranges").mapInPandas(run, "doc_id long, text string, n_removed long")
+    return with_ranges(docs, id_col, text_col, length).select("doc_id", "packed", "ranges").mapInPandas(tidied(run), "doc_id long, text string, n_removed long")
 
 
 @query("op9_suffix_dedup")

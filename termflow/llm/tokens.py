@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import mix64, query, table, text_of
+from .common import mix64, query, table, text_of, tidied
 
 #: Entries and bytes up to which a worker keeps encoded pieces and chunk bodies.
 MAX_PIECES = 200_000
@@ -297,7 +297,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield got
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(run, RESULT)
+    return rows.mapInPandas(tidied(run), RESULT)
 
 
 def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -311,7 +311,7 @@ def encode_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                 "ids": [x.astype(np.int32) for x in chunks.encode_many(f["text"].tolist())]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, ids array<int>")
+    return rows.mapInPandas(tidied(run), "doc_id long, ids array<int>")
 
 
 @query("op4_bpe_round_trip")
