@@ -1,9 +1,9 @@
 """Feature, vocabulary, label and fold construction (E*, J11-J14).
 
 Vocabularies are small dimension tables (species, ranks, labels); their dense
-indexes use a window.  Large id sets (entries) get dense ids through the
-RDD ``range positions`` of a sorted DataFrame, which assigns offsets per
-partition instead of pulling every row into one task.
+indexes use a window.  Large id sets (entries) get dense ids, and whole tables
+running sums, from range partitions: the value within a range plus the totals of the
+ranges before it, so no task holds more than a range.
 """
 
 from __future__ import annotations
@@ -104,12 +104,17 @@ def int_hash(key, seed: int = 42):
     return F.pmod(F.pmod(c.cast("long"), F.lit(2147483647)) * 48271 + seed, F.lit(2147483647))
 
 
-def salted_folds(df: DataFrame, key: str, stratum: str, k: int = 5, buckets: int = 16,
+#: Rows of a (stratum, hash bucket) that one window sorts, at most, on average.
+FOLD_BUCKET_ROWS = 1_000_000
+
+
+def salted_folds(df: DataFrame, key: str, stratum: str, k: int = 5, buckets: int | None = None,
                  seed: int = 42) -> DataFrame:
     """E12 at scale: each stratum is split into ``buckets`` hash buckets (so no
-    window partition holds a whole large stratum); inside a (stratum, bucket)
+    window partition holds a whole large stratum; by default 16, or more where the counted rows need them); inside a (stratum, bucket)
     rows are ordered by the hash and dealt round-robin into k folds, starting
     at the bucket number so the buckets do not all favour fold 0."""
+    buckets = buckets or max(16, -(-df.count() // FOLD_BUCKET_ROWS))
     h = int_hash(key, seed)
     b = F.pmod(h, F.lit(buckets))
     w = Window.partitionBy(stratum, "_b").orderBy("_h", key)
