@@ -125,7 +125,7 @@ def g17_vocabulary_edges(s, d):
     vocabulary = dims.terms.where("term % 5 <> 0")
     edges = onto.induced_edges(dims.edges, vocabulary)
     raw = fx.predictions_raw(s, d).where("term % 5 <> 0").groupBy("entry", "term").agg(F.max("prob").alias("prob"))
-    out = onto.enforce_parent_ge_child(raw, edges, onto.closure(edges), vocabulary)
+    out = onto.enforce_parent_ge_child(raw, edges, onto.closure_and_levels(edges, vocabulary)[0], vocabulary)
     return out.select("entry", "term", r6("prob").alias("prob"))
 
 
