@@ -34,8 +34,11 @@ def per_entity_summary(df: DataFrame, entity: str = "entry") -> DataFrame:
 
 def dominant_terms(df: DataFrame, share: float = 0.5, entity: str = "entry", term: str = "term") -> DataFrame:
     """A10: terms present in more than ``share`` of the entities."""
+    cells = getattr(df, "_cells", None)
+    if cells is None:
+        cells = df.select(entity, term).distinct()
     n_ent = df.agg(F.countDistinct(entity)).scalar()
-    per = df.groupBy(term).agg(F.countDistinct(entity).alias("n_entities"))
+    per = cells.groupBy(term).agg(F.count(entity).alias("n_entities"))  # counted before the exchange where cells are distinct already
     return (per.select(term, "n_entities", (F.col("n_entities") / n_ent).alias("share"))
             .where(F.col("share") > share))
 

@@ -26,7 +26,7 @@ def _scores(spark, seed):
 
 
 def _rows(df):
-    return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+    return sorted(repr([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.collect())
 
 
 def test_propagation_equals_the_closure_joins_and_makes_no_closure(spark, graph):
@@ -51,3 +51,22 @@ def test_closure_and_levels_of_ends_that_are_no_terms(spark, graph):
     assert clo.rows == 0 and most == 0 and depth.agg(F.max("level")).first()[0] == 0
     with pytest.raises(ValueError):
         onto.closure_and_levels(spark.createDataFrame([(1, 2), (2, 1)], "child long, parent long"), terms.limit(3))
+
+
+def test_ranks_inside_a_partition_equal_the_window(spark, monkeypatch):
+    from termflow.operators import ranking as rk
+    monkeypatch.setattr(rk, "CHUNK_ROWS", 16)
+    rng = random.Random(9)
+    rows = [(e, rng.choice([0, 1, None]), rng.choice([0.1, 0.2, 0.2, 0.7, None, float("nan")])) for e in [None, *range(30)] for _ in range(rng.choice([1, 5, 20]))]
+    df = spark.createDataFrame(rows, "entry long, namespace long, prob double").repartition(3, "entry").sortWithinPartitions("entry")
+    here = rk.dense_rank_cut(df, ["entry", "namespace"], "prob", 2, together="entry")
+    assert "Window" not in here._jdf.queryExecution().toString()
+    assert _rows(here) == _rows(rk.dense_rank_cut(df, ["entry", "namespace"], "prob", 2))
+
+
+def test_dominant_terms_of_propagated_cells_count_before_the_exchange(spark, graph):
+    from termflow.operators import aggregates as ag
+    edges, terms, clo, joined = graph
+    pos = _scores(spark, 4).where("prob > 0.4").select("entry", "term")
+    here, plain = (ag.dominant_terms(onto.propagate_labels(pos, c, terms), 0.1) for c in (clo, joined))
+    assert _rows(here) == _rows(plain)
