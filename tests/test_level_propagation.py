@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,34 @@ def test_dominant_terms_of_propagated_cells_count_before_the_exchange(spark, gra
     pos = _scores(spark, 4).where("prob > 0.4").select("entry", "term")
     here, plain = (ag.dominant_terms(onto.propagate_labels(pos, c, terms), 0.1) for c in (clo, joined))
     assert _rows(here) == _rows(plain)
+
+
+def test_truth_and_predictions_meet_inside_an_entry(spark):
+    """Propagated truth and predictions are not joined cell by cell, and give what the join gives; so do labels and their scores."""
+    from termflow.operators import metrics as mt
+    rng = np.random.default_rng(4)
+    parents = {c: sorted({(c // 2), (c // 3)} - {c}) for c in range(1, 40)}
+    edges = spark.createDataFrame([(c, p) for c, ps in parents.items() for p in ps], "child long, parent long")
+    for copies in (1, 2):
+        terms = spark.createDataFrame([(t, t % 2, t / 8) for t in range(40) for _ in range(copies)], "term long, namespace long, ia double")
+        ann = spark.createDataFrame([(int(e), int(t)) for e, t in rng.integers((0, 0), (30, 40), (60, 2))] + [(None, 3)], "entry long, term long")
+        scores = spark.createDataFrame([(int(e), int(t), float(p)) for (e, t), p in zip(rng.integers((5, 0), (40, 40), (90, 2)), rng.random(90))] + [(None, 5, .5)],
+                                       "entry long, term long, prob double")
+        clo = onto.closure_and_levels(edges, terms)[0]
+        truth, preds = onto.propagate_labels(ann, clo, terms), onto.propagate_max(scores, clo, terms)
+        plain = truth.select("*"), preds.select("*")
+        if copies == 1:
+            plan = onto.matched(truth, preds, terms)._jdf.queryExecution().optimizedPlan().toString()
+            assert "LeftOuter" not in plan and "FullOuter" not in plan
+        for f in (lambda a, b: mt.weighted_fmax(a, b, terms), lambda a, b: mt.threshold_table(a, b, terms, [.2, .5, .7], "pred")):
+            show = lambda df: sorted([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()])
+            assert show(f(truth, preds)) == show(f(*plain))
+        if copies == 1:
+            roots = onto.roots(terms, edges)
+            one = scores.groupBy("entry", "term").agg(F.max("prob").alias("prob"))
+            got = onto.ternary_labels(truth, ann, edges, terms, roots, one)
+            joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x]
+            assert not any("entry#" in x for x in joins)
+            want = onto.ternary_labels(plain[0], ann, edges, terms, roots, one)
+            key = lambda df: sorted(map(str, (r.asDict() for r in df.select("entry", "term", "label", "prob").collect())))
+            assert key(got) == key(want)
