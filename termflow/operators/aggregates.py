@@ -200,13 +200,12 @@ def asymmetric_loss(df: DataFrame, y: str, logit: str, pos_weight: str | None =
 def cutoff_profile(df: DataFrame, cutoffs: Sequence[float], entity: str = "entry", value: str = "prob") -> DataFrame:
     """Per cut-off: entities left, mean / 95th percentile / max rows per entity.
 
-    The cut-offs are a short literal list exploded per row (bounded fan-out),
-    so one aggregate serves them all."""
-    cut = F.explode(F.array(*[F.lit(float(c)) for c in cutoffs])).alias("cutoff")
-    per = (df.select(entity, value, cut).where(F.col(value) >= F.col("cutoff"))
-           .groupBy("cutoff", entity).agg(F.count("*").alias("_n")))
-    return per.groupBy("cutoff").agg(F.count("*").alias("entities"), F.avg("_n").alias("mean_rows"),
-                                     F.percentile("_n", 0.95).alias("p95_rows"), F.max("_n").alias("max_rows"))
+    An entity's rows at all cut-offs are counted in one aggregate; what follows are the few distinct counts of a cut-off."""
+    per = df.groupBy(entity).agg(*[F.count_if(F.col(value) >= float(c)).alias(f"_n{i}") for i, c in enumerate(cutoffs)])
+    each = F.inline(F.array(*[F.struct(F.lit(float(c)).alias("cutoff"), F.col(f"_n{i}").alias("_n")) for i, c in enumerate(cutoffs)]))
+    often = per.select(each).where(F.col("_n") > 0).groupBy("cutoff", "_n").agg(F.count("*").alias("_often"))
+    return often.groupBy("cutoff").agg(F.sum("_often").alias("entities"), (F.sum(F.col("_n") * F.col("_often")) / F.sum("_often")).alias("mean_rows"),
+                                       F.percentile("_n", 0.95, F.col("_often")).alias("p95_rows"), F.max("_n").alias("max_rows"))
 
 
 def score_quantiles(df: DataFrame, qs: Sequence[float], value: str = "prob") -> DataFrame:

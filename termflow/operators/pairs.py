@@ -61,9 +61,12 @@ def weighted_sum(sources: Sequence[DataFrame], weights: Sequence[float] | None =
 
 
 def fold_merge(folds: Sequence[DataFrame], kind: str, value: str = "prob",
-               key: Sequence[str] = KEY) -> DataFrame:
-    """Out-of-fold predictions are disjoint -> sum; test predictions -> mean over k."""
+               key: Sequence[str] = KEY, parts: int | None = None) -> DataFrame:
+    """Out-of-fold predictions are disjoint -> sum; test predictions -> mean over k.  With ``parts``, in so many
+    partitions of the key (``session.parts_of`` the rows), so that a task holds no more of a larger input."""
     u = tagged_union(folds, value, key)
+    if parts is not None:
+        u = u.repartition(parts, *key)
     agg = F.sum(value) if kind == "oof" else F.sum(value) / len(folds)
     return u.groupBy(*key).agg(agg.alias(value))
 

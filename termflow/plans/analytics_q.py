@@ -9,6 +9,7 @@ from ..functions import scalar as fn
 from ..operators import aggregates as ag
 from ..operators import ontology as onto
 from ..operators import ranking as rk
+from ..session import parts_of, write_table
 from ..sources import fixtures as fx
 from .common import (ANNOT, CLOSURE, EDGE, HITS, PRED_A, PRED_B, PRED_RAW, RCLOSURE, TAXONOMY, TERMS, Dims, key_hash_sql,
                      r6, register, sql)
@@ -356,9 +357,8 @@ def a27_masked_bce(s, d):
     dims = Dims.of(s, d)
     ann = fx.annotations(s, d)
     pos = onto.propagate_labels(ann, dims.closure, dims.terms)
-    lab = onto.ternary_labels(pos, ann, dims.edges, dims.terms, onto.roots(dims.terms, dims.edges))
-    x = lab.join(fx.predictions_b(s, d), ["entry", "term"], "left").select(
-        F.col("label").alias("y"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
+    lab = onto.ternary_labels(pos, ann, dims.edges, dims.terms, onto.roots(dims.terms, dims.edges), fx.predictions_b(s, d))
+    x = lab.select(F.col("label").alias("y"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
     out = ag.masked_bce(x, y="y", p="prob")
     return out.select(r6("bce").alias("bce"), "cells", r6("base_rate").alias("base_rate"),
                       r6("base_logit").alias("base_logit"))
@@ -371,11 +371,12 @@ SELECT entry, term, round(sum(prob), 6) AS oof, round(sum(prob * 0.5) / 3, 6) AS
 def a16_fold_merge(s, d):
     from ..operators import features as fe
     from ..operators import pairs as pr
-    a = fx.predictions_a(s, d).withColumn("fold", F.pmod(fe.int_hash("entry", 7), F.lit(3)))
+    a = write_table(fx.predictions_a(s, d).withColumn("fold", F.pmod(fe.int_hash("entry", 7), F.lit(3))))
+    parts = parts_of(s, a.count())
     oof_parts = [a.where(F.col("fold") == k) for k in range(3)]
     test_parts = [a.withColumn("prob", F.col("prob") * 0.5).where(F.col("fold") == k) for k in range(3)]
-    oof = pr.fold_merge(oof_parts, "oof").withColumnRenamed("prob", "oof")
-    test = pr.fold_merge(test_parts, "test").withColumnRenamed("prob", "test")
+    oof = pr.fold_merge(oof_parts, "oof", parts=parts).withColumnRenamed("prob", "oof")
+    test = pr.fold_merge(test_parts, "test", parts=parts).withColumnRenamed("prob", "test")
     return oof.join(test, ["entry", "term"]).select("entry", "term", r6("oof").alias("oof"), r6("test").alias("test"))
 
 

@@ -46,3 +46,33 @@ def test_qualifier_aspect_and_math(spark):
                                  "t array<array<double>>, m array<int>")
     assert pool.select(fn.masked_mean_pool("t", "m").alias("p")).first().p == [2.0, 3.0]
     assert math.isclose(spark.range(1).select(fn.l2_norm(F.array(F.lit(3.0), F.lit(4.0))).alias("n")).first().n, 5.0)
+
+
+def test_cutoff_profile_counts_an_entity_once(spark):
+    """All cut-offs come from one row an entity: no row is multiplied by the number of cut-offs."""
+    import numpy as np
+    from termflow.operators import aggregates as ag
+    rng = np.random.default_rng(1)
+    rows = [(int(e), float(p)) for e, p in zip(rng.integers(0, 40, 300), rng.random(300).round(2))] + [(None, .9), (None, .1), (7, None)]
+    out = ag.cutoff_profile(spark.createDataFrame(rows, "entry long, prob double"), [.2, .5, .95])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("inline(") < plan.index("Aggregate [entry#")
+    for r in out.collect():
+        per = {}
+        for e, p in rows:
+            if p is not None and p >= r.cutoff:
+                per[e] = per.get(e, 0) + 1
+        n = list(per.values())
+        assert (r.entities, r.max_rows) == (len(n), max(n)) and abs(r.mean_rows - np.mean(n)) < 1e-12 and abs(r.p95_rows - np.percentile(n, 95)) < 1e-12
+
+
+def test_fold_merge_in_more_partitions(spark):
+    """The partitions grow with the rows, and the sums do not change."""
+    from termflow.operators import pairs as pr
+    from termflow.session import parts_of
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts_of(spark, 1) == few and parts_of(spark, 100 * (few << 21)) == 100 * few
+    folds = [spark.createDataFrame([(e, t, (e + t) / 4) for e in range(9) if e % 3 == k for t in range(5)], "entry long, term long, prob double") for k in range(3)]
+    got = pr.fold_merge(folds, "test", parts=5 * few)
+    assert got.rdd.getNumPartitions() == 5 * few
+    assert sorted(map(tuple, got.collect())) == sorted((e, t, (e + t) / 4 / 3) for e in range(9) for t in range(5))
