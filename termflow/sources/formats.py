@@ -39,8 +39,11 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, s
 
 
 def file_dialects(lines: DataFrame) -> DataFrame:
-    """(file, sep, header) from the first line of every file of ``lines`` (file, start, row, value)."""
-    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "row").alias("_line"))
+    """(file, sep, header) from the first line of every file of ``lines`` (file, start, row, value).
+
+    Places of lines are aggregated, then the lines at them are looked up: an aggregate over the lines themselves would sort them all."""
+    at = lines.where("start = 0").groupBy("file").agg(F.min("row").alias("row"))
+    first = lines.where("start = 0").join(F.broadcast(at), ["file", "row"]).select("file", F.col("value").alias("_line"))
     sep = F.when(F.col("_line").contains("\t"), "\t").when(F.col("_line").contains(","), ",").otherwise(" ")
     return first.withColumn("sep", sep).select("file", "sep", F.transform(_cells("_line"), lambda c: F.lower(F.trim(c))).alias("header"))
 
@@ -59,7 +62,8 @@ def read_links(spark: SparkSession, path, min_score: float | None = None, file_c
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
                                        F.monotonically_increasing_id().alias("row"), "value")
     dialects = file_dialects(raw)
-    lines = raw.where(F.trim("value") != "").join(dialects, "file").withColumn("_c", _cells("value"))
+    # a row a file: an exchange would bring all lines of a file to one task
+    lines = raw.where(F.trim("value") != "").join(F.broadcast(dialects), "file").withColumn("_c", _cells("value"))
 
     def cell(name):
         place = F.array_position("header", name)
