@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import PRIME, key_hash
+from ..session import parts_of
 
+#: Hits of a partition of a label transfer.
+TRANSFER_HITS = 1 << 20
 KEY = ["entry", "term"]
 
 
@@ -204,11 +207,18 @@ def hit_label_transfer(hits: DataFrame, annotations: DataFrame, k: int = 5, max_
     """J16 (re-aimed similarity join): for each query take its k best hits by
     ``score`` with evalue <= ``max_evalue`` (ties by target), transfer the
     targets' terms, scoring a term by the best hit identity carrying it.
-    ``annotations`` are (entry, term) of the targets."""
+    ``annotations`` are (entry, term) of the targets.
+
+    A target's terms travel to a hit, and from there to its query, as one row; they are unfolded where all hits of a query
+    lie.  Partitions grow with the hits."""
     from pyspark.sql import Window
-    h = hits.where(F.col("evalue") <= max_evalue)
+    n = parts_of(hits.sparkSession, hits.count(), TRANSFER_HITS)
+    h = hits.where(F.col("evalue") <= max_evalue).select("query", "target", "identity", score)
     w = Window.partitionBy("query").orderBy(F.col(score).desc(), F.col("target").asc())
-    top = h.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-    a = annotations.select(F.col("entry").alias("target"), "term").distinct()
-    return top.join(a, "target").groupBy(F.col("query").alias("entry"), "term").agg(
+    top = h.repartition(n, "query").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).select("query", "target", "identity")
+    a = annotations.select(F.col("entry").alias("target"), "term").where("target is not null")
+    a = a.repartition(n, "target").groupBy("target").agg(F.collect_set("term").alias("_terms"), F.max(F.col("term").isNull()).alias("_none"))  # a set has no null
+    a = a.select("target", F.when(F.col("_none"), F.concat("_terms", F.array(F.lit(None)))).otherwise(F.col("_terms")).alias("_terms"))
+    met = top.where("target is not null").repartition(n, "target").join(a, "target").select("query", "identity", "_terms").repartition(2 * n, "query")
+    return met.select(F.col("query").alias("entry"), "identity", F.explode("_terms").alias("term")).groupBy("entry", "term").agg(
         F.max("identity").alias("prob"), F.count("*").alias("n_hits"))
