@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import drop_table, ship_package, write_table
+from ..session import drop_table, parts_of, ship_package, write_table
 from .features import dense_ids
 
 #: Bytes of the Hessians that a task holds; a block has as many labels as fit in.
 HESSIAN_BYTES = 32 << 20
 #: Most labels of a block, and rows of a chunk.
 BLOCK_LABELS, CHUNK_ROWS = 128, 1024
+#: Cells of a partition where they meet their features.
+CELLS_EACH = 1 << 21
 #: Partial sums of a label meet in so many groups first.
 GROUPS = 32
 #: Bytes of coefficients in one broadcast of the scoring pass; more labels take more passes.
@@ -34,36 +36,36 @@ def _width(features: DataFrame, vec: str) -> int:
     return sizes.a or 0
 
 
+def matrix(column: pa.Array, d: int) -> np.ndarray:
+    """A column of lists of ``d`` numbers as rows; a null among them is NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), d)
+
+
 def pack(features: DataFrame, cells: DataFrame, d: int, block_labels: int, vec: str) -> tuple[DataFrame, DataFrame]:
     """Chunks (block, x, y) of the joined rows, and the labels (label_id, block, pos).  A cell that stands
     more than once counts once, as its largest value; null cells are unknown."""
-    known = cells.where("y is not null")
+    known = write_table(cells.where("y is not null").select("entry", "label_id", F.col("y").cast("double").alias("y")))
     labels = dense_ids(known.select("label_id").distinct(), "label_id", "_no")
     labels = write_table(labels.select("label_id", F.expr(f"_no div {block_labels}").alias("block"), F.expr(f"cast(_no % {block_labels} as int)").alias("pos")))
-    rows = (known.join(labels, "label_id").groupBy("entry", "block", "pos").agg(F.max(F.col("y").cast("double")).alias("y"))
+    n = parts_of(cells.sparkSession, known.count(), CELLS_EACH)  # cells and features are dealt by entry, once
+    rows = (known.join(labels, "label_id").where("entry is not null").repartition(n, "entry").groupBy("entry", "block", "pos").agg(F.max("y").alias("y"))
             .groupBy("entry", "block").agg(F.collect_list("pos").alias("pos"), F.collect_list("y").alias("y"))
-            .join(features.where(F.col(vec).isNotNull()).select("entry", F.transform(vec, lambda e: e.cast("double")).alias("x")), "entry")
+            .join(features.where(F.col(vec).isNotNull() & F.col("entry").isNotNull()).select("entry", F.transform(vec, lambda e: e.cast("double")).alias("x")).repartition(n, "entry"), "entry")
             .select("block", "x", "pos", "y").sortWithinPartitions("block"))
 
     def run(batches):
-        held: list[tuple] = []
-
-        def chunk():
-            block, n = held[0][0], len(held)
-            x, y = np.array([r[1] for r in held], np.float64).reshape(n, d), np.full((n, block_labels), np.nan)
-            for i, (_, _, pos, cell) in enumerate(held):
-                y[i, pos] = cell
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([x.tobytes()], pa.binary()),
-                                               pa.array([y.astype(np.float32).tobytes()], pa.binary())], ["block", "x", "y"])
-
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and (row[0] != held[0][0] or len(held) >= CHUNK_ROWS):
-                    yield chunk()
-                    held = []
-                held.append(row)
-        if held:
-            yield chunk()
+            if not b.num_rows:
+                continue
+            block, x, many = b.column(0).to_numpy(), matrix(b.column(1), d), b.column(2).value_lengths().to_numpy()
+            y = np.full((len(x), block_labels), np.nan, np.float32)
+            y[np.repeat(np.arange(len(x)), many), b.column(2).flatten().to_numpy()] = b.column(3).flatten().to_numpy()
+            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+            for first, last in zip(cuts[:-1], cuts[1:]):
+                for at in range(first, last, CHUNK_ROWS):
+                    end = min(at + CHUNK_ROWS, last)
+                    yield pa.RecordBatch.from_arrays([pa.array([block[at]], pa.int64()), pa.array([x[at:end].tobytes()], pa.binary()),
+                                                      pa.array([y[at:end].tobytes()], pa.binary())], ["block", "x", "y"])
 
     return write_table(rows.mapInArrow(run, "block long, x binary, y binary")), labels
 
@@ -190,7 +192,7 @@ def score_newton(fitted: DataFrame, features: DataFrame, vec: str = "vec", score
             for b in batches:
                 if not b.num_rows or not len(names):
                     continue
-                x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+                x = matrix(b.column(1), w.shape[1] - 1)
                 step = max(1, (1 << 18) // len(names))
                 for at in range(0, len(x), step):
                     p = 1 / (1 + np.exp(-np.clip(w[:, 0] + x[at:at + step] @ w[:, 1:].T, -700, 700)))

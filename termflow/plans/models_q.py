@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import newton
+from ..session import write_table
 from ..sources import fixtures as fx
 from .common import r6, register, sql
 
@@ -52,7 +53,7 @@ def _orders(s, d):
     cells = (used.withColumn("_one", F.lit(1)).join(F.broadcast(labels), "_one").select("entry", "used", F.explode("labels").alias("label_id"))
              .join(fx.table(s, d, "orders").select(F.col("o_orderkey").alias("entry"), "o_orderstatus"), "entry"))
     y = F.when(F.array_contains("used", F.col("label_id")), 1).when(F.col("o_orderstatus") != "P", 0)
-    return x, cells.select("entry", "label_id", y.alias("y"))
+    return write_table(x), cells.select("entry", "label_id", y.alias("y"))
 
 
 @register("m1_newton_coefficients", sql(CELL, newton_sql(), body=f"""
