@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from .common import mix64, query, table, text_of, tidied
 
 #: Entries and bytes up to which a worker keeps encoded pieces and chunk bodies.
-MAX_PIECES = 200_000
+MAX_PIECES = 600_000
 MAX_CHUNK_BYTES = 8 << 20
 CHUNK_BITS = 9  # a chunk has 2^9 characters on average
 SLICE_BYTES = 4 << 20  # text taken through the arrays at once
@@ -40,18 +40,25 @@ def byte_values() -> dict[str, int]:
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BLANK, _LETTER, _POINT = (np.isin(np.arange(256), [*x]) for x in (b" \t\n\x0b\x0c\r", range(65, 91), b",.;:!?"))
+_BLANK, _LETTER, _POINT = (np.isin(np.arange(256), [*x]) for x in (b" \t\n\x0b\x0c\r", range(65, 91), b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 _LETTER |= np.isin(np.arange(256), range(97, 123))
+_CLOSES = _POINT & (np.arange(256) != ord("'"))
 _BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64))
 _POWERS = np.cumprod(np.full(LONG_PIECE, _MIX, np.uint64))
 
 
+def _gathered(ids: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs of ``count`` ids from ``at`` on, one after another."""
+    ends = np.cumsum(count)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - count), count)]
+
+
 class Codec:
     """Encodes as the tokenizers library does; one per Python worker and vocabulary.
 
-    A pre-token always starts where white space follows something else, and
-    where a point follows a letter, so a text falls into pieces that are
-    encoded apart with the same ids.  Arrays find the different pieces of many
+    A pre-token always starts where white space follows something else, where
+    a sign follows a letter, and where a letter follows a sign other than the
+    apostrophe, so a text falls into pieces that are encoded apart with the same ids.  Arrays find the different pieces of many
     texts at once; each is encoded once and its ids are gathered for every place.
     """
 
@@ -71,39 +78,38 @@ class Codec:
         self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
         self.bytes = np.frombuffer(b"".join(strings), np.uint8)
         self.written = str.maketrans({chr(v): c for v, c in self.letters.items()})
+        self.space = self.letters[ord(" ")]
         self.clear()
 
     def clear(self) -> None:
-        self.slot_of: dict[int, int] = {}
-        self.n_slots = 0
+        self.known = np.zeros(0, np.uint64)  # hashes of the kept pieces, sorted; the arrays beside go with them
+        self.at = np.zeros(0, np.uint32)
+        self.count = np.zeros(0, np.uint16)
+        self.again = np.zeros(0, bool)  # met after the slice that brought it
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.at = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
 
-    def _word(self, piece: str) -> list[int]:
+    def _trim(self, room: int) -> None:
+        """Keeps the pieces that were met again, if ``room`` more fit beside them."""
+        kept = self.again
+        if np.count_nonzero(kept) + room > MAX_PIECES:
+            return self.clear()
+        at, count = self.at[kept], self.count[kept].astype(np.int64)
+        ids = _gathered(self.ids, at, count)
+        self.known, self.count, self.again = self.known[kept], self.count[kept], np.zeros(len(at), bool)
+        self.at, self.ids, self.used = (np.cumsum(count) - count).astype(np.uint32), np.r_[ids, np.zeros(1 << 16, np.uint32)], len(ids)
+
+    def _word(self, piece: bytes) -> list[int]:
         """Ids of one piece: a plain word is one pre-token and goes to the model of the
         tokenizers library as it stands, any other piece through its whole encoder."""
-        bare = piece[1:] if piece[:1] == " " else piece
-        if bare.isalpha() and max(bare) < "\u0250" or bare in (".", ",") and bare == piece:
-            return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.written))]
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
-
-    def _keep(self, hashes: list[int], pieces: list[str]) -> None:
-        got = [self._word(p) for p in pieces]
-        flat = np.array([i for g in got for i in g], np.uint32)
-        counts = np.array([len(g) for g in got], np.int64)
-        first = self.n_slots
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
-        while first + len(counts) > len(self.at):
-            self.at, self.count = np.r_[self.at, np.zeros_like(self.at)], np.r_[self.count, np.zeros_like(self.count)]
-        self.ids[self.used:self.used + len(flat)] = flat
-        self.at[first:first + len(counts)] = self.used + np.cumsum(counts) - counts
-        self.count[first:first + len(counts)] = counts
-        self.used += len(flat)
-        self.n_slots += len(counts)
-        self.slot_of.update(zip(hashes, range(first, first + len(counts))))
+        bare = piece[1:] if piece[:1] == b" " else piece
+        if bare.isalpha() or bare.isdigit() or piece in (b".", b","):  # of bytes: ASCII alone
+            return [t.id for t in self.model.tokenize(piece.decode().replace(" ", self.space))]
+        text = piece.decode("utf-8", "surrogatepass")
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha() and max(word) < "\u0250":
+            return [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.written))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
@@ -135,35 +141,47 @@ class Codec:
         lead = np.zeros(len(b), bool)
         lead[2:] = (b[:-2] >= 0xC3) & (b[:-2] <= 0xDF)
         solid = (b < 0x80) & (b > 0x20) & (b != 0x7F) | (b >= 0x80) & np.r_[lead[1:], False]
-        cut[1:] = blank[1:] & solid[:-1] | _POINT[b[1:]] & _LETTER[b[:-1]]
+        cut[1:] = blank[1:] & solid[:-1] | _POINT[b[1:]] & _LETTER[b[:-1]] | _LETTER[b[1:]] & _CLOSES[b[:-1]]
         cut[first[:-1]] = True
         start = np.flatnonzero(cut)
         end = np.r_[start[1:], len(b)]
         n = end - start
-        place = np.arange(len(b), dtype=np.int64) - np.repeat(start, n)
-        h = np.add.reduceat(_BYTE_HASH[b] * _POWERS[np.minimum(place, LONG_PIECE - 1)], start)
+        place = np.arange(len(b), dtype=np.int32)
+        place -= np.repeat(start.astype(np.int32), n)
+        h = _BYTE_HASH[b]
+        h *= _POWERS[np.minimum(place, LONG_PIECE - 1, out=place)]
+        h = np.add.reduceat(h, start)
         h = mix64(h + n.astype(np.uint64))
         h[n > LONG_PIECE] = mix64(np.flatnonzero(n > LONG_PIECE).astype(np.uint64)) | np.uint64(1)  # on its own
         kinds, where, which = np.unique(h, return_index=True, return_inverse=True)
-        if self.n_slots + len(kinds) > MAX_PIECES:
-            self.clear()
-        keys = kinds.tolist()
+        if len(self.known) + len(kinds) > MAX_PIECES:
+            self._trim(len(kinds))
         long = n[where] > LONG_PIECE
-        slots = list(map(self.slot_of.get, keys))
-        new = [i for i, s in enumerate(slots) if s is None or long[i]]
-        if new:
-            self._keep([keys[i] for i in new], [raw[start[where[i]]:end[where[i]]].decode("utf-8", "surrogatepass") for i in new])
-            for i in new:
-                slots[i] = self.slot_of[keys[i]]
-        slot = np.array(slots, np.int64)[which]
-        count = self.count[slot]
-        ends = np.cumsum(count)
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.at[slot] - (ends - count), count)]
-        bounds = np.r_[0, ends][np.searchsorted(start, first)]
+        spot = np.searchsorted(self.known, kinds)
+        met = np.zeros(len(kinds), bool)
+        met[spot < len(self.known)] = self.known[spot[spot < len(self.known)]] == kinds[spot < len(self.known)]
+        met &= ~long
+        at, count = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+        at[met], count[met] = self.at[spot[met]], self.count[spot[met]]
+        self.again[spot[met]] = True
+        new, passing = np.flatnonzero(~met & ~long), np.flatnonzero(long)  # those that pass are not kept
+        todo = np.r_[new, passing]
+        if len(todo):
+            got = [self._word(raw[i:j]) for i, j in zip(start[where[todo]].tolist(), end[where[todo]].tolist())]
+            flat = np.fromiter((i for g in got for i in g), np.uint32)
+            count[todo] = np.fromiter(map(len, got), np.int64, len(got))
+            at[todo] = self.used + np.cumsum(count[todo]) - count[todo]
+            if self.used + len(flat) > len(self.ids):
+                self.ids = np.r_[self.ids[:self.used], np.zeros((self.used >> 1) + len(flat), np.uint32)]
+            self.ids[self.used:self.used + len(flat)] = flat
+            self.known, self.at, self.count, self.again = (np.insert(kept, spot[new], x) for kept, x in (
+                (self.known, kinds[new]), (self.at, at[new]), (self.count, count[new]), (self.again, False)))
+            self.used += int(count[new].sum())
+        count = count[which]
+        ids = _gathered(self.ids, at[which], count)
+        bounds = np.r_[0, np.cumsum(count)][np.searchsorted(start, first)]
         for (k, _), i, j in zip(held, bounds, bounds[1:]):
             out[k] = ids[i:j]
-        for i in np.flatnonzero(long):
-            self.slot_of.pop(keys[i], None)
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]

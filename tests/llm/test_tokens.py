@@ -62,6 +62,21 @@ def test_bounded_tables(monkeypatch):
         assert np.array_equal(got, ids_of(c.tokenizer, t))
 
 
+def test_pieces_met_again_are_kept(monkeypatch):
+    """Rare pieces make room, common ones are encoded once; signs are cut off words."""
+    c = tokens.Codec(tokens.default_vocabulary())
+    monkeypatch.setattr(tokens, "MAX_PIECES", 120)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 300)
+    asked, plain = [], c._word
+    monkeypatch.setattr(c, "_word", lambda piece: asked.append(piece) or plain(piece))
+    texts = ["the common (words) of all-texts*** it's " + " ".join(f"rare{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}{i}" for i in range(40)) for k in range(30)]
+    for got, t in zip(c.encode_many(texts), texts):
+        assert np.array_equal(got, ids_of(c.tokenizer, t))
+    common = [x if isinstance(x, bytes) else x.encode() for x in asked]
+    assert common.count(b" common") == common.count(b" of") == common.count(b"words") == common.count(b"***") == 1
+    assert len(c.known) <= 240
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_files(make_docs, reference, bits):
     rows = [(i * 3 % 41, TEXTS[i % len(TEXTS)]) for i in range(41)] + [(50, "tie"), (50, "tie"), (None, "none")]
