@@ -45,6 +45,17 @@ def test_propagation_equals_the_closure_joins_and_makes_no_closure(spark, graph)
     assert "df" not in vars(clo), "a propagation made the closure table"
 
 
+def test_steps_of_a_large_graph_lie_in_buckets(spark, graph, monkeypatch):
+    """The edges are dealt once, not in every round, and the levels are the same."""
+    edges, terms = graph[:2]
+    want = [sorted(map(tuple, x[0].collect())) for x in onto.closure_and_levels(edges, terms)[1:]]
+    made, plain = [], onto.write_buckets
+    monkeypatch.setattr(onto, "BROADCAST_MAX_BYTES", 0)
+    monkeypatch.setattr(onto, "write_buckets", lambda df, key, rows: made.append(rows) or plain(df, key, rows))
+    got = [sorted(map(tuple, x[0].collect())) for x in onto.closure_and_levels(edges, terms)[1:]]
+    assert got == want and made == [2 * edges.distinct().count()]
+
+
 def test_closure_and_levels_of_ends_that_are_no_terms(spark, graph):
     edges, terms, clo, joined = graph
     assert _rows(clo.df) == _rows(joined.df)
