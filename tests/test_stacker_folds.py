@@ -2,8 +2,10 @@
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from termflow.functions.scalar import key_hash
 from termflow.operators import levelwise, stacker, stratify
@@ -54,6 +56,37 @@ def test_stacker_equals_dense_arrays(spark, monkeypatch):
     assert delta.count() == differ  # no cell is stored that the base has
 
 
+def test_a_large_entry_is_joined_once(monkeypatch):
+    """Its rows are copied once, not with every batch that comes."""
+    copied = []
+
+    class Counting:
+        @staticmethod
+        def from_batches(held):
+            copied.append(sum(b.num_rows for b in held))
+            return pa.Table.from_batches(held)
+    monkeypatch.setattr(levelwise, "pa", SimpleNamespace(Table=Counting))
+    nth = [1, 2, 1, *range(1, 1001), *range(1, 4), 1]
+    rows = pa.table({"_nth": nth, "x": range(len(nth))})
+    got = list(levelwise.whole_entries(rows.to_batches(max_chunksize=10), most=10))
+    assert pa.concat_tables(got).equals(rows) and all(t["_nth"][0].as_py() == 1 for t in got) and len(got) >= 3
+    assert sum(copied) <= 3 * len(nth)
+
+
+def test_stacker_sends_one_graph(spark, monkeypatch):
+    """The graph is made once for base and delta, and base rows reach the driver without their names."""
+    made, plain = [], levelwise.topology
+    for module in (levelwise, stacker):
+        monkeypatch.setattr(module, "topology", lambda *a, **k: made.append(1) or plain(*a, **k), raising=False)
+    edges = spark.createDataFrame([(1, 0), (2, 1)], "child long, parent long")
+    frames = (spark.createDataFrame([("e", 1, "c", 0.5)], "entry string, term long, model string, prob double"), spark.createDataFrame([("c", True)], "model string, conditional boolean"),
+              spark.createDataFrame([("c", 1)], "model string, term long"), spark.createDataFrame([(t, 0.1, 0.2) for t in range(3)], "term long, prior_raw double, prior_cond double"))
+    base, delta = stacker.stack(*frames, edges, onto.term_levels(spark.range(3).toDF("term"), edges, direction="down")[0])
+    assert len(made) == 1 and base.count() == 3
+    got = {r.term: (r.known, round(r["all"], 9), round(r["any"], 9)) for r in delta.collect()}
+    assert got == {1: (0, 0.1, 0.1), 2: (1, 0.02, 0.02)}
+
+
 def plain_rounds(pairs, k, top, hashes):
     own, freq = {}, Counter(t for _, t in pairs)
     picked = sorted(freq, key=lambda t: (-freq[t], t))[:top]
