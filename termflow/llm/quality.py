@@ -12,21 +12,22 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .common import mix64, query, store, table, text_of, tidied, words
 
 #: Least number of hash buckets an order; there are as many as trusted n-grams, rounded up to a power of two.
 BUCKETS = 1 << 16
 ORDERS = (1, 2)  # words and pairs of words
-#: At most so many trusted rows are learnt from (those with the smallest hash of the id).
-TRUSTED_ROWS = 20_000
-#: Of those, in the same order, only as many as hold this many words together, and none of more than ``LONGEST_TRUSTED`` words:
-#: so there are at most 2^23 buckets an order, and the ratios of both orders are a broadcast of 64 MB at most.
-TRUSTED_WORDS, LONGEST_TRUSTED = 1 << 23, 1 << 16
+#: Every trusted row is learnt from whole.  Bounds that may be set, None for none: rows (those with the smallest hash of the id),
+#: words of the rows together, words of a row.
+TRUSTED_ROWS = TRUSTED_WORDS = LONGEST_TRUSTED = None
+#: The most hash buckets an order, however many n-grams they count: the ratios of both orders are a broadcast of 64 MB at most.
+MOST_BUCKETS = 1 << 23
 #: A document passes with a mean log ratio (natural units a word, over the orders) of at least
 #: this, where too few labelled rows can be held out to set the threshold from them.
 THRESHOLD = -0.5
-#: Labelled rows of each side that it takes to hold a fifth of them out, and the most that are held out.
-LEAST_LABELLED, HELD_ROWS = 100, 2_000
+#: Labelled rows of each side that it takes to hold a fifth of them out.
+LEAST_LABELLED = 100
 #: N-grams of prior belief a bucket.
 PRIOR = 1.0
 _SYMBOLS = b"#*$%&|<>"
@@ -138,39 +139,50 @@ def added_up(counts: DataFrame, whole: bool) -> DataFrame:
     return dealt.repartition("block", "part").sortWithinPartitions("block", "side", "part").mapInArrow(tidied(run), BLOCKS)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
-    """(part, text): 'trusted' texts of at most ``most`` documents labelled good and not toxic.
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """(part, text): 'trusted' texts of all documents labelled good and not toxic (of ``most`` where that or a bound of the module is set).
 
     With ``LEAST_LABELLED`` documents or more labelled good and labelled bad, a fifth of
-    either (by a hash, at most ``HELD_ROWS``) is held out as 'good' and 'bad'."""
+    either (by a hash) is held out as 'good' and 'bad'."""
+    most = most or TRUSTED_ROWS
     sides = (labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id"))
              .agg(F.max(F.expr("coalesce(quality = 1 and coalesce(toxic, 0) = 0, false)")).alias("good"), F.max(F.expr("coalesce(quality = 0, false)")).alias("bad")))
     sides = store(docs.select(F.col("doc_id").alias("id")).distinct().join(sides, "id"))
-    enough = sides.agg(F.count_if("good"), F.count_if(F.expr("bad and not good"))).first()
+    *enough, rows = sides.agg(F.count_if("good"), F.count_if(F.expr("bad and not good")), F.count(F.lit(1))).first()
     held = (F.pmod(F.xxhash64("id", F.lit("held")), F.lit(5)) == 0) & F.lit(min(enough) >= LEAST_LABELLED)
-
-    def least(rows, part, n):
-        return rows.orderBy(F.xxhash64("id"), "id").limit(n).select("id", F.lit(part).alias("part"))
-
-    trusted = least(sides.where(F.col("good") & ~held), "trusted", most)
-    sizes = (docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("id")).groupBy("id", "part")
-             .agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n")).where(F.col("n") <= LONGEST_TRUSTED))
-    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # over ``most`` rows at most
-    trusted = sizes.withColumn("upto", upto).where(F.col("upto") <= TRUSTED_WORDS).select("id", "part")
-    picked = (trusted.union(least(sides.where(F.col("good") & held), "good", HELD_ROWS))
-              .union(least(sides.where(F.col("bad") & ~F.col("good") & held), "bad", HELD_ROWS)))
-    return docs.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("part", "text")
+    part = F.when(F.col("good"), F.when(held, "good").otherwise("trusted")).when(F.col("bad") & held, "bad")
+    picked = sides.select("id", part.alias("part")).where("part is not null")
+    if most or TRUSTED_WORDS or LONGEST_TRUSTED:
+        trusted = _bounded(docs, picked.where("part = 'trusted'"), most, TRUSTED_WORDS, LONGEST_TRUSTED)
+        picked = trusted.union(picked.where("part <> 'trusted'"))
+    return docs.join(broadcast_if_small(picked, rows), F.col("doc_id") == F.col("id")).select("part", "text")
+
+
+def _bounded(docs: DataFrame, trusted: DataFrame, rows: int | None, of_words: int | None, longest: int | None) -> DataFrame:
+    """Of ``trusted`` (id, part) those within the bounds, in the order of the hash of the id."""
+    if rows:
+        trusted = trusted.orderBy(F.xxhash64("id"), "id").limit(rows)
+    if not of_words and not longest:
+        return trusted
+    sizes = docs.join(trusted, F.col("doc_id") == F.col("id")).groupBy("id", "part").agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n"))
+    if longest:
+        sizes = sizes.where(F.col("n") <= longest)
+    if of_words:
+        upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        sizes = sizes.withColumn("upto", upto).where(F.col("upto") <= of_words)
+    return sizes.select("id", "part")
 
 
 def buckets_for(trusted: DataFrame) -> int:
-    """Power of two that is at least the number of trusted n-grams: what other n-grams of a bucket
-    add to ``expected`` is then below ``PRIOR`` on average, however large the corpus is."""
+    """Power of two that is at least the number of trusted n-grams, up to ``MOST_BUCKETS``: what other n-grams of a bucket
+    add to ``expected`` is then below ``PRIOR`` on average, however large the corpus is.  More trusted n-grams than that share
+    the buckets; all of them are counted."""
     def run(frames):
         for f in frames:
             yield pd.DataFrame({"n": [sum(len(words(t)) for t in f["text"])]})
 
     n = trusted.mapInPandas(tidied(run), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return max(BUCKETS, 1 << max(n - 1, 0).bit_length())
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << max(n - 1, 0).bit_length()))
 
 
 def ratios_of(trusted: DataFrame, raw: DataFrame, buckets: int) -> np.ndarray:
@@ -181,13 +193,13 @@ def ratios_of(trusted: DataFrame, raw: DataFrame, buckets: int) -> np.ndarray:
     n-gram too rare to be expected in the trusted rows says nothing against a document."""
     sides = trusted.select(F.lit(1).alias("side"), "text").unionByName(raw.select(F.lit(0).alias("side"), "text"))
     counts = store(added_up(added_up(bucket_counts(sides, buckets), False), True))
-    out, seen = np.zeros(len(ORDERS) * buckets, np.float32), np.zeros(len(ORDERS) * buckets, np.uint32)
+    out, seen = np.zeros(len(ORDERS) * buckets, np.float32), np.zeros(len(ORDERS) * buckets, np.float32)
     sums = np.zeros((2, len(ORDERS)))
     for r in counts.toLocalIterator():
         at, n = unpacked(bytes(r.counts))
         at += r.block * BUCKETS
         sums[r.side, r.block * BUCKETS // buckets] += float(n.sum())
-        (seen if r.side else out)[at] = n  # raw counts above 2^24 keep 24 bits
+        (seen if r.side else out)[at] = n  # counts above 2^24 keep 24 bits
     for at in range(0, len(out), BUCKETS):
         k, part = at // buckets, slice(at, at + BUCKETS)
         expected = out[part].astype(np.float64) * (sums[1, k] / max(sums[0, k], 1.0))
@@ -260,8 +272,9 @@ class Rules:
         self.shared = docs.sparkSession.sparkContext.broadcast(ratios_of(trusted, rows.select("text"), self.buckets))
         self.threshold = THRESHOLD if threshold is None else threshold
         if threshold is None:
-            held = self.apply(known.where("part <> 'trusted'")).where("not __rules.base_failed").select("part", "__rules.llr").toPandas()
-            self.threshold = best_threshold(held["llr"][held["part"] == "good"].to_numpy(), held["llr"][held["part"] == "bad"].to_numpy())
+            held = self.apply(known.where("part <> 'trusted'")).where("not __rules.base_failed").select(F.expr("part = 'good'").alias("good"), "__rules.llr").toArrow()
+            good, score = (held[c].to_numpy() for c in ("good", "llr"))  # nine bytes a held-out row
+            self.threshold = best_threshold(score[good], score[~good])
 
     def apply(self, docs: DataFrame, text_col: str = "text", as_col: str = "__rules") -> DataFrame:
         """``docs`` with the struct ``as_col``, fields as in ``RESULT``."""
@@ -301,8 +314,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     A null text has no words and fails.  Null ids and repeated rows are judged on
     their own.  Without labels the ratio is near 0 for every document and only
     the base rules decide.  Corpus counts cover all documents; the trusted side
-    is learnt from at most ``TRUSTED_ROWS`` labelled rows of ``TRUSTED_WORDS`` words
-    together.  Without ``threshold`` it is set from labelled rows that are held out where
+    is learnt from all documents labelled good that are not held out.  Without ``threshold`` it is set from labelled rows that are held out where
     at least ``LEAST_LABELLED`` of either side are labelled and ten of either side are held; with fewer it is ``THRESHOLD``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))

@@ -121,3 +121,29 @@ def test_best_threshold():
     good, bad = np.linspace(-0.2, 0.3, 50), np.linspace(-2, -0.6, 30)
     assert abs(quality.best_threshold(good, bad) + 0.4) < 1e-9
     assert quality.best_threshold(good, bad[:5]) == quality.THRESHOLD
+
+
+def test_every_labelled_row_is_learnt_from(llm, make_docs):
+    """More trusted rows, held rows and words than were taken once."""
+    rows = [*((i, f"good text {i}") for i in range(21_000)), *((100_000 + i, f"bad text {i}") for i in range(10_500)), (21_000, "long " * 70_000)]
+    labels = llm.createDataFrame([(i, int(i < 100_000), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    picked = quality.labelled_rows(make_docs(rows), labels).groupBy("part").count().collect()
+    found = {r["part"]: r["count"] for r in picked}
+    held = labels.where("pmod(xxhash64(doc_id, 'held'), 5) = 0").groupBy("quality").count().collect()
+    held = {r["quality"]: r["count"] for r in held}
+    assert held[0] > 2_000 and found == {"good": held[1], "bad": held[0], "trusted": 21_001 - held[1]}
+    assert held[1] > 2_000 or found["trusted"] > 17_000
+    whole = quality.labelled_rows(make_docs(rows), labels.where("quality = 1"))
+    assert whole.count() == 21_001 and whole.where("length(text) = 350000 and part = 'trusted'").count() == 1
+
+
+def test_buckets_stay_bounded_while_every_gram_counts(llm, make_docs, monkeypatch):
+    monkeypatch.setattr(quality, "BUCKETS", 64)
+    monkeypatch.setattr(quality, "MOST_BUCKETS", 128)
+    texts = [" ".join(f"w{i}" for i in range(k, k + 50)) for k in range(40)]
+    docs = make_docs([*enumerate(texts)])
+    rules = quality.Rules(docs, llm.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int"))
+    assert rules.buckets == 128
+    want = plain_ratios(texts[:30], texts, 128)
+    for k in range(2):
+        assert all(abs(rules.shared.value[k][g] - x) < 1e-5 for g, x in want[k].items())
