@@ -79,3 +79,51 @@ def test_rounding_of_doubles_is_that_of_spark(spark):
     df = spark.createDataFrame(rows, "x double")
     assert df.where(~r6_double("x").eqNullSafe(r6("x"))).count() == 0
     assert df.where(r6_double("x").cast("string") != r6("x").cast("string")).count() == 0
+
+
+def test_names_of_terms_travel_with_the_graph(spark):
+    """No hash table of the terms is made, on the driver or in the tasks, unless a term comes twice; null names and ends that are no terms."""
+    from termflow.operators import ontology as onto
+    terms = spark.createDataFrame([(0, 7), (1, None), (2, 9), (None, 5)], "term long, namespace long")
+    edges = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (2, 5)], "child long, parent long")
+    ann = spark.createDataFrame([(10, 2), (11, 3), (None, 1)], "entry long, term long")
+    clo = onto.closure_and_levels(edges, terms)[0]
+    want = [(None, 0, 7), (None, 1, None), (10, 0, 7), (10, 1, None), (10, 2, 9), (11, 0, 7), (11, 1, None)]
+    got = onto.propagate_labels(ann, clo, terms)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(got) == sorted(want, key=str) and rows(got._cells) == sorted([w[:2] for w in want], key=str)
+    twice = terms.union(terms.where("term = 2"))
+    again = onto.propagate_labels(ann, onto.closure_and_levels(edges, twice)[0], twice)
+    assert rows(again) == sorted([*want, (10, 2, 9)], key=str) and rows(again._cells) == sorted([w[:2] for w in want], key=str)
+    wide = spark.range(30_000).selectExpr("id as term", "id % 3 as namespace")
+    plan = onto.propagate_labels(ann, onto.closure_and_levels(edges, wide)[0], wide)._jdf.queryExecution().executedPlan().toString()
+    assert "namespace" not in plan
+
+
+def test_ranks_in_the_task_that_propagates(spark):
+    from termflow.operators import ontology as onto
+    from termflow.operators import ranking as rk
+    from termflow.plans.common import r6, r6_double
+    rng = np.random.default_rng(8)
+    terms = spark.createDataFrame([(i, i % 2) for i in range(40)], "term long, namespace long")
+    edges = spark.createDataFrame(sorted({(i, int(i * x)) for i in range(1, 40) for x in rng.random(2)}), "child long, parent long")
+    cells = [(int(e), int(t), float(v)) for e, t, v in zip(rng.integers(0, 30, 200), rng.integers(0, 40, 200), rng.choice([0.0, 1e-7, 2e-7, 0.1, 0.1000001, 0.5, 0.9], 200))]
+    s = spark.createDataFrame([*{c[:2]: c for c in cells}.values(), (None, 3, 0.4)], "entry long, term long, prob double")
+    for of in (terms, terms.union(terms.where("term = 2"))):
+        clo = onto.closure_and_levels(edges, of)[0]
+        v = onto.propagate_max(s, clo, of, name="namespace", shown=r6_double)
+        got = rk.dense_rank_cut(v, ["entry", "namespace"], "prob", 2, together="entry")
+        plain = onto.propagate_max(s, clo, of).select("entry", "term", r6("prob").alias("prob")).join(of.select("term", "namespace"), "term")
+        want = rk.dense_rank_cut(plain, ["entry", "namespace"], "prob", 2)
+        names = ["entry", "term", "namespace", "prob", "rank"]
+        key = lambda df: sorted(map(str, df.select(names).collect()))
+        assert key(got) == key(want) and key(v.withColumn("rank", v.prob)) == key(plain.withColumn("rank", plain.prob))
+
+
+def test_annotations_are_dealt_by_a_number(spark, tmp_path):
+    """Adaptive execution does not join these partitions, however few bytes they hold; pairs are distinct."""
+    from termflow.sources import fixtures as fx
+    rows = [(o, p, f) for o in range(50) for p in (1, 2, 2) for f in "RN"] + [(None, 3, "R"), (None, 3, "R")]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = fx.annotations(spark, str(tmp_path))
+    assert got.count() == 101 and "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
